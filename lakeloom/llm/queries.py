@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, simhash
+from . import exact, language, mixing, quality, simhash
 from .common import own_columns, table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    labels = own_columns(table(spark, sf_dir, "labels"), ["doc_id", "quality"])
+    held = quality.held_out()
+    scored = quality.quality_scores(docs, labels, train=~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"])
+    held = language.held_out()
+    return language.language_scores(docs, train=~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     return simhash.simhash_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -27,6 +41,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
