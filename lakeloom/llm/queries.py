@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html, language, mixing, quality, simhash
+from . import exact, html, language, mixing, neighbours, quality, simhash
 from .common import own_columns, table
 
 
@@ -29,6 +29,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_scores(docs, train=~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = own_columns(table(spark, sf_dir, "embeddings"), ["vec_id", "embedding"])
+    return neighbours.nearest(vectors, F.col("id") % 100 == 0)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     return simhash.simhash_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
     "op5_language_id": op5_language_id,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
