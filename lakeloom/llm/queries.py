@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html, language, mixing, neighbours, quality, simhash
+from . import exact, html, language, mixing, neighbours, packing, quality, simhash
 from .common import own_columns, table
 
 
@@ -23,6 +23,17 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(own_columns(table(spark, sf_dir, "pages"), ["page_id", "url", "html"]))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return packing.pack_digests(docs, tokenizer_path())
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"])
     held = language.held_out()
@@ -52,6 +63,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
