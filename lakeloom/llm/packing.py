@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,20 +43,26 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), {"": b""}, cache_words
+        self.tokenizer, self.known, self.cache_words = Tokenizer.from_file(path), {"": b""}, cache_words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > self.cache_words:
-            self.cache = {"": b""}
-        cache = self.cache
-        new = list({w for words in split for w in words if w not in cache})
+        if len(self.known) > self.cache_words:
+            self.known = {"": b""}
+        known = self.known
+        new = list({w for words in split for w in words if w not in known})
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([cache[w] for w in words]) for words in split]
+                known[word] = np.array(found.ids, "<u4").tobytes()
+        return [b"".join([known[w] for w in words]) for words in split]
+
+
+@cache
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker."""
+    return WordTokenizer(path)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -65,7 +72,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, end = WordTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = shared_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 out = []
@@ -94,7 +101,7 @@ def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[n
     return best, take
 
 
-def solve_lp(counts: np.ndarray, capacity: int, rounds: int = 12, rate: float = 2.0, reprice: int = 10) -> dict[Config, float]:
+def solve_lp(counts: np.ndarray, capacity: int, rounds: int = 12, rate: float = 1.0, reprice: int = 10) -> dict[Config, float]:
     """A cover {configuration: amount} of almost all of ``counts`` (by length, from 0), nothing covered twice.
 
     Round t of ``rounds`` brings every length to t / rounds of its count. Each
