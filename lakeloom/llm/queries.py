@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html, language, mixing, neighbours, packing, quality, simhash
+from . import exact, html, language, licenses, mixing, neighbours, packing, quality, simhash
 from .common import own_columns, table
 
 
@@ -34,6 +34,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(docs, tokenizer_path())
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return licenses.license_matches(docs).select("doc_id", "template_id", "license", "n_shingles", F.round("containment", 6).alias("containment"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"])
     held = language.held_out()
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licenses.oracle_sql(),
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
