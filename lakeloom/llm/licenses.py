@@ -132,7 +132,7 @@ def oracle_sql(templates: Sequence[tuple[str, str, str]] = TEMPLATES, threshold:
         ds AS (SELECT doc_id, i - 1 AS pos, {shingle} AS s FROM (SELECT *, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM d)),
         hit AS (SELECT doc_id, pos, template_id, license, s, n_shingles, width, greatest(1, width // 4) AS stride FROM ds JOIN ts USING (s) JOIN size USING (template_id)),
         win AS (SELECT *, (pos // stride - unnest(range(0, width // stride))) * stride AS start FROM hit),
-        held AS (SELECT doc_id, template_id, license, n_shingles, start, count(DISTINCT s) / n_shingles AS containment FROM win WHERE start >= 0 GROUP BY ALL)
+        held AS (SELECT doc_id, template_id, license, n_shingles, start, count(DISTINCT s) / n_shingles AS containment FROM win WHERE start >= 0 GROUP BY doc_id, template_id, license, n_shingles, start)
         SELECT doc_id, template_id, license, cast(n_shingles AS INTEGER) AS n_shingles, round(max(containment), 6) AS containment
         FROM held WHERE containment >= {threshold} GROUP BY doc_id, template_id, license, n_shingles
     """
