@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -33,8 +34,24 @@ SALTS = 16
 Config = tuple[int, ...]  # lengths, the largest first
 
 
+#: Words of these letters are one word to the tokenizer too.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _stem(word: str) -> tuple[str, str]:
+    """``word`` without its last punctuation, and that punctuation: tokens part there. Letters of A-Z fall to a-z, as the tokenizer's do."""
+    if "<|" in word:  # may hold a special token
+        return word, ""
+    if word.isascii():
+        word = word.lower()
+    stem = word.rstrip(_PUNCTUATION)
+    return (stem, word[len(stem) :]) if stem and stem[-1] < "\u0100" and stem[-1].isalnum() else (word, "")
+
+
 class WordTokenizer:
-    """A tokenizer whose tokens never reach over a blank: words are encoded once and remembered.
+    """A lower-casing tokenizer whose tokens never reach over a blank, nor from a letter or digit to
+    punctuation after it: words are encoded once and remembered.
 
     ``cache_words`` bounds the memory; the result doesn't depend on it.
     """
@@ -44,6 +61,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.cache_words = Tokenizer.from_file(path), {"": b""}, cache_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
@@ -51,11 +71,23 @@ class WordTokenizer:
         if len(self.known) > self.cache_words:
             self.known = {"": b""}
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        new = {w: _stem(w) for words in split for w in words if w not in known}
+        parts = {p for pair in new.values() for p in pair if p not in known}
+        plain = [p for p in parts if _PLAIN.fullmatch(p)]
+        for at in range(0, len(plain), 1000):  # one token sequence a word: many words are encoded as one text
+            part = plain[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                known.update((word, raw[a:b]) for word, a, b in zip(part, [0, *ends], ends))
+        other = [p for p in parts if p not in known]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[word] = np.array(found.ids, "<u4").tobytes()
+        for word, (stem, tail) in new.items():
+            known[word] = known[stem] + known[tail]
         return [b"".join([known[w] for w in words]) for words in split]
 
 
