@@ -89,8 +89,8 @@ def surrogate_key(*columns: Column | str) -> Column:
 
 
 def event_key(*columns: Column | str) -> Column:
-    """[X9, P14] SHA-256 over the trimmed columns joined by '||'; null counts as ''."""
-    return F.sha2(F.concat_ws("||", *[F.coalesce(F.trim(_c(x).cast("string")), F.lit("")) for x in columns]), 256)
+    """[X9, P14] SHA-256 over the columns joined by '||'; null counts as ''."""
+    return F.sha2(F.concat_ws("||", *[F.coalesce(_c(x).cast("string"), F.lit("")) for x in columns]), 256)
 
 
 def short_name(prefix: str, *columns: Column | str) -> Column:
@@ -102,13 +102,12 @@ def short_name(prefix: str, *columns: Column | str) -> Column:
 
 
 def clock_seconds(x: Column | str) -> Column:
-    """[X1] Seconds of 'S', 'M:S' or 'H:M:S' with fractions; null for anything else."""
+    """[X1] Seconds of 'M:S' or 'H:M:S' with fractions; null for anything else."""
     parts = F.split(F.trim(_c(x)), ":")
     n, at = F.size(parts), lambda i: F.get(parts, F.lit(i)).try_cast("double")
     return (
         F.when(n == 3, at(0) * 3600 + at(1) * 60 + at(2))
         .when(n == 2, at(0) * 60 + at(1))
-        .when(n == 1, at(0))
     )
 
 
@@ -118,7 +117,7 @@ def gap_seconds(x: Column | str) -> Column:
     return (
         F.when(text.isNull() | F.lower(text).contains("lap"), F.lit(None).cast("double"))
         .when((text == "") | text.contains(":"), F.lit(0.0))
-        .otherwise(F.ltrim(F.lit("+"), text).try_cast("double"))
+        .otherwise(F.ltrim(text, F.lit("+")).try_cast("double"))
     )
 
 
@@ -127,7 +126,7 @@ def day_part(hour: Column | str) -> Column:
     h = _c(hour)
     return (
         F.when(h.between(6, 9), "morning_rush").when(h.between(10, 15), "midday")
-        .when(h.between(16, 19), "evening_rush").when(h.between(20, 22), "evening").otherwise("night")
+        .when(h.between(16, 19), "evening_rush").when(h.between(20, 22), "evening").otherwise("overnight")
     )
 
 
@@ -173,23 +172,19 @@ def hour_from_path(path: Column | str) -> Column:
 
 # --- categories ----------------------------------------------------------
 
-#: Results that count as finished, and words of the other groups.
-FINISHED = ("Finished", "+1 Lap", "+2 Laps", "+3 Laps", "+4 Laps", "+5 Laps", "Lapped")
-MECHANICAL = ("engine", "gearbox", "transmission", "hydraulics", "brakes", "suspension", "electrical", "power unit", "clutch", "overheating", "oil", "fuel", "turbo", "wheel", "tyre", "puncture", "water", "battery", "exhaust", "steering", "mechanical", "throttle", "vibrations", "radiator", "differential", "driveshaft")
-ACCIDENT = ("accident", "collision", "spun", "damage", "crash")
+#: Results that count as finished, and words of the retirement groups.
+FINISHED = ("Finished", "+1 Lap", "+2 Laps", "+3 Laps", "+4 Laps", "+5 Laps")
+NOT_STARTED = ("Did not qualify", "Did not prequalify")
+MECHANICAL = ("Engine", "Gearbox", "Hydraulics", "Brakes", "Electrical", "Transmission", "Clutch", "Turbo", "Oil", "Water", "Fire", "Exhaust", "Wheel", "Suspension", "Differential", "Alternator", "Fuel", "ERS", "MGU", "Power Unit", "Overheating")
+ACCIDENT = ("Accident", "Collision", "Spun off", "Damage")
 
 
 def status_category(x: Column | str) -> Column:
-    """[X4] Finished, disqualified, did not start, mechanical, accident or other."""
-    s, low = F.trim(_c(x)), F.lower(F.trim(_c(x)))
+    """[X4] FINISHED, DISQUALIFIED, DID_NOT_START, RETIRED_MECHANICAL, RETIRED_ACCIDENT or OTHER; the first that fits."""
+    s = _c(x)
     return (
-        F.when(s.isNull() | (s == ""), "OTHER")
-        .when(s.isin(*FINISHED) | s.rlike(r"^\+\d+ Laps?$"), "FINISHED")
-        .when(low.contains("disqualified"), "DISQUALIFIED")
-        .when(low.rlike("did not (start|qualify)|withdr"), "DNS")
-        .when(contains_any(s, MECHANICAL), "MECHANICAL")
-        .when(contains_any(s, ACCIDENT), "ACCIDENT")
-        .otherwise("OTHER")
+        F.when(s.isin(*FINISHED), "FINISHED").when(s == "Disqualified", "DISQUALIFIED").when(s.isin(*NOT_STARTED), "DID_NOT_START")
+        .when(contains_any(s, MECHANICAL), "RETIRED_MECHANICAL").when(contains_any(s, ACCIDENT), "RETIRED_ACCIDENT").otherwise("OTHER")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,71 +11,68 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import contains_any
 
+#: Words of questions that aren't answered, and the least score of an answer.
+OFF_LIMITS = (
+    "salary", "ctc", "compensation", "pay", "package", "expected salary", "notice period", "joining date", "availability",
+    "when can you join", "interviewing with", "interview status", "which companies", "offer", "why did you leave",
+    "reason for leaving", "opinion on", "thoughts on", "what do you think of", "future plans",
+)
+LOW_CONFIDENCE = 0.20
+
 #: Where a text is cut, the best first; '' cuts anywhere.
-SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+SEPARATORS = ("\n\n", "\n", " ", "")
+_HEADING = re.compile(r"^#{1,2} .+", re.M)
 
 
 def split_text(text: str, size: int = 500, overlap: int = 50, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the best separator that makes them small enough; a piece
-    begins with up to ``overlap`` characters of whole parts of the one before."""
-    text = text.strip()
-    if len(text) <= size:
-        return [text] if text else []
-    sep, rest = next((s, separators[i + 1 :]) for i, s in enumerate(separators) if s == "" or s in text)
-    parts = [text[i : i + size - overlap] for i in range(0, len(text), size - overlap)] if sep == "" else [p for p in text.split(sep) if p]
-    if sep == "":
-        return [text[max(0, i - overlap) : i + size - overlap] for i in range(0, len(text), size - overlap)]
+    """Pieces of at most ``size`` characters, trimmed.
+
+    The text is cut at the first separator it holds, which stays with the part behind it; parts that are too long are cut at the next
+    ones. Neighbouring parts are joined while they fit, and a piece begins with up to ``overlap`` characters of whole parts of the one before.
+    """
+    level = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    sep, finer = separators[level], separators[level + 1 :]
+    raw = list(text) if sep == "" else text.split(sep)
+    parts = raw if sep == "" else [p for p in [raw[0], *[sep + p for p in raw[1:]]] if p]
     out: list[str] = []
     held: list[str] = []
-
-    def length(xs: Sequence[str]) -> int:
-        return sum(map(len, xs)) + len(sep) * max(len(xs) - 1, 0)
-
+    length = 0
     for part in parts:
-        if len(part) > size:
-            if held:
-                out.append(sep.join(held))
-                held = []
-            out += split_text(part, size, overlap, rest)
+        if len(part) > size and finer:
+            out.append("".join(held))
+            held, length = [], 0
+            out += split_text(part, size, overlap, finer)
             continue
-        if held and length([*held, part]) > size:
-            out.append(sep.join(held))
-            while held and (length(held) > overlap or length([*held, part]) > size):
-                held.pop(0)
+        if held and length + len(part) > size:
+            out.append("".join(held))
+            while held and (length > overlap or length + len(part) > size):
+                length -= len(held.pop(0))
         held.append(part)
-    if held:
-        out.append(sep.join(held))
+        length += len(part)
+    out.append("".join(held))
     return [x for x in (p.strip() for p in out) if x]
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: int = 500, overlap: int = 50) -> DataFrame:
-    """[R2, R3] (id, source, chunk_index, chunk_id, text, section) of each chunk.
+def section_at(text: str, position: int) -> str:
+    """The last heading of level 1 or 2 before a position, else 'Introduction'."""
+    found = _HEADING.findall(text, 0, position)
+    return found[-1].lstrip("#").strip() if found else "Introduction"
 
-    The section is the last heading of level 1 or 2 before the chunk's first place in the text, else 'Introduction'.
-    """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: int = 500, overlap: int = 50) -> DataFrame:
+    """[R2, R3] (id, source, chunk_index, chunk_id, text, section) of each chunk; the section is that of the chunk's first place in the text."""
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, source, text in zip(pdf["_id"], pdf["_source"], pdf["_text"]):
                 for i, piece in enumerate(split_text(text or "", size, overlap)):
-                    out.append((doc, source, i, piece, max((text or "").find(piece), 0)))
-            yield pd.DataFrame(out, columns=["_id", "_source", "chunk_index", "chunk", "at"])
+                    out.append((doc, source, i, f"{source}_chunk_{i}", piece, section_at(text, max(text.find(piece), 0))))
+            yield pd.DataFrame(out, columns=["_id", "source", "chunk_index", "chunk_id", "text", "section"])
 
-    kind = dict(docs.dtypes)[id_col]
-    made = rows.mapInPandas(run, f"_id {kind}, _source string, chunk_index int, chunk string, at long")
-    headings = (
-        rows.select("_id", F.posexplode(F.regexp_extract_all("_text", F.lit(r"(?m)^#{1,2} +(.*)$"), F.lit(1))).alias("k", "heading"), "_text")
-        .select("_id", "heading", F.expr("instr(_text, heading)").cast("long").alias("place"))
-    )
-    before = made.join(headings.select("_id", "heading", "place"), "_id", "left").filter("place IS NULL OR place <= at + 1")
-    section = before.groupBy("_id", "chunk_index").agg(F.max_by("heading", "place").alias("section"))
-    named = made.join(section, ["_id", "chunk_index"], "left")
-    return named.select(
-        F.col("_id").alias(id_col), F.col("_source").alias("source"), "chunk_index",
-        F.concat_ws("_", "_source", F.lit("chunk"), "chunk_index").alias("chunk_id"), F.col("chunk").alias("text"), F.coalesce(F.trim("section"), F.lit("Introduction")).alias("section"),
-    )
+    return rows.mapInPandas(run, f"_id {kind}, source string, chunk_index int, chunk_id string, text string, section string").withColumnRenamed("_id", id_col)
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -95,13 +93,13 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def low_confidence(scored: DataFrame, queries: DataFrame, query_col: str = "query_id", threshold: float = 0.2) -> DataFrame:
+def low_confidence(scored: DataFrame, queries: DataFrame, query_col: str = "query_id", threshold: float = LOW_CONFIDENCE) -> DataFrame:
     """[R5] (query, best_score, low_confidence): no hit, or none that reaches the threshold."""
     best = scored.groupBy(query_col).agg(F.max("score").alias("best_score"))
     return queries.select(query_col).distinct().join(best, query_col, "left").withColumn("low_confidence", F.coalesce(F.col("best_score") < threshold, F.lit(True)))
 
 
-def guarded(df: DataFrame, column: str, words: Sequence[str], name: str = "off_limits") -> DataFrame:
+def guarded(df: DataFrame, column: str, words: Sequence[str] = OFF_LIMITS, name: str = "off_limits") -> DataFrame:
     """[R6] Whether a text holds one of the words."""
     return df.withColumn(name, contains_any(column, words))
 
@@ -117,13 +115,16 @@ def history(messages: DataFrame, conversation: str = "conv_id", turn: str = "tur
     return grouped.select(conversation, F.concat_ws("\n", F.transform("m", lambda x: x["line"])).alias("context"), F.size("m").alias("n_messages"))
 
 
-def prompts(questions: DataFrame, hits: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
-    """[R7] (key, prompt): history, chunks with source and section in order of rank, question."""
-    line = F.concat(F.lit("["), "source", F.lit(" / "), "section", F.lit("]\n"), "text")
-    found = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("h"))
+def prompts(questions: DataFrame, hits: DataFrame, contexts: DataFrame, key: str, instructions: str = "") -> DataFrame:
+    """[R7] (key, prompt): instructions, history, chunks with source and section in order of rank, question."""
+    line = F.concat(F.lit("[Source: "), "source", F.lit(" | Section: "), "section", F.lit("]\n"), "text", F.lit("\n\n"))
+    found = hits.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "").alias("found"))
     joined = questions.join(contexts, key, "left").join(found, key, "left")
-    parts = [F.coalesce("context", F.lit("")), F.concat_ws("\n\n", F.transform(F.coalesce("h", F.array().cast("array<struct<rank:int,line:string>>")), lambda x: x["line"])), F.col("question")]
-    return joined.select(key, F.concat_ws("\n\n---\n\n", *parts).alias("prompt"))
+    prompt = F.concat(
+        F.lit(f"{instructions}\n\nCONVERSATION HISTORY:\n"), F.coalesce(F.concat("context", F.lit("\n")), F.lit("")),
+        F.lit("\nRETRIEVED CONTEXT:\n"), F.coalesce("found", F.lit("")), F.lit("QUESTION: "), F.col("question"), F.lit("\n\nAnswer using only the context above."),
+    )
+    return joined.select(key, prompt.alias("prompt"))
 
 
 def route(off_limits: Column, low: Column) -> Column:

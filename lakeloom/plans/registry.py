@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import commerce, documents, history, motorsport, music, quality, rides, scalars, streams, taxi  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
