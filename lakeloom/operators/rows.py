@@ -73,4 +73,4 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 
 def difference(all_keys: DataFrame, processed: DataFrame, keys: Keys) -> DataFrame:
     """[U4, S15] Distinct keys of the first that the second lacks; nulls count as equal."""
-    return all_keys.select(*keys).exceptAll(all_keys.select(*keys).intersect(processed.select(*keys))).distinct()
+    return all_keys.select(*keys).subtract(processed.select(*keys))
