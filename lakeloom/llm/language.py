@@ -75,17 +75,25 @@ class KernelModel:
         return kernel.astype(np.float64) @ self.weights
 
 
-def fit(seen: np.ndarray, langs: list[str], landmarks: int = 128, ridge: float = 0.1) -> KernelModel:
-    """Kernel ridge regression, one language against the rest, on Nyström features."""
+def _unit(bits: list[bytes]) -> np.ndarray:
+    """Presence vectors of unit length, from packed bits."""
+    seen = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)
+    return seen.astype(np.float32) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True, dtype=np.float32), 1))
+
+
+def fit(bits: list[bytes], langs: list[str], landmarks: int = 128, ridge: float = 0.1) -> KernelModel:
+    """Kernel ridge regression, one language against the rest, on Nyström features.
+
+    Rows are unpacked a block at a time.
+    """
     names = sorted(set(langs))
     y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
     each = max(1, landmarks // len(names))
     marks = np.concatenate([np.flatnonzero([lang == name for lang in langs])[:each] for name in names])
-    unit = seen.astype(np.float32) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True), 1))
-    land = np.ascontiguousarray(unit[marks].T)
+    land = np.ascontiguousarray(_unit([bits[i] for i in marks]).T)
     values, vectors = np.linalg.eigh((land.T @ land).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    phi = (unit @ land).astype(np.float64) @ root
+    phi = np.concatenate([(_unit(bits[at : at + 64]) @ land).astype(np.float64) for at in range(0, len(bits), 64)]) @ root
     n_of = np.maximum((y > 0).sum(axis=0), 1)
     row = 1.0 / n_of[np.argmax(y, axis=1)]  # languages weigh alike
     row *= len(row) / row.sum()
@@ -137,8 +145,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["_id"], bytes(r["bits"])))
     model = None
     if rows:
-        seen = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(bool)
-        model = fit(seen, [r["lang"] for r in rows], landmarks, ridge)
+        model = fit([bytes(r["bits"]) for r in rows], [r["lang"] for r in rows], landmarks, ridge)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
