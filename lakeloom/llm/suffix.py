@@ -4,21 +4,22 @@ A byte is removed if a string of ``span`` bytes that covers it also starts earli
 
 1. Each window of ``span`` bytes names an anchor: the first position with the least hash of ``GRAM`` bytes
    in it. Equal windows name equal anchors, and the windows of an anchor follow each
-   other, so a document becomes a few (hash, anchor, windows) rows. The rows are dealt by hash;
-   only hashes met twice go on. No window is lost and none is sampled.
-2. Whole copies of an earlier text need no search; only the first of them goes on.
-3. The segments that the remaining anchors' windows cover are dealt by hash. A
-   shard joins its segments into one text, sorts its suffixes by induced sorting,
+   other, so a document becomes a few (hash of the gram, hash of the bytes that its windows cover, place) rows.
+   They are dealt and sorted by hash. No window is lost and none is sampled.
+2. Of equal segments only the first goes on; all windows of the others start earlier too. A gram with one segment
+   needs no search. Whole copies, and what near copies share, end here.
+3. The other segments are dealt by gram. A shard joins its segments into one text, sorts its suffixes by induced sorting,
    and computes the permuted common prefixes. Windows between which the
    common prefix stays at ``span`` or more are equal; all but the earliest are marked.
-   An anchor met more than ``hot_rows`` times is dealt again by the longer strings that ``PART`` windows share.
-4. Marked windows are united to spans a document.
+   A gram with more than ``hot_rows`` segments is dealt again by the longer strings that ``PART`` windows share.
+4. Marked windows are united to spans a document. The texts are shuffled once: both joins with them use the same exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,16 @@ PART = 9
 #: Positions of a piece of text fit in so many bits; longer texts are read in overlapping pieces.
 _BITS = 20
 _MIX = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and of its inverse, modulo 2^64."""
+    n = 1 << _BITS
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -53,8 +64,8 @@ def _slide_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - have)], v[width - have :]) if width > have else v
 
 
-def anchors(raw: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor, first window, last window) of each anchor of a text, in order."""
+def anchors(raw: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, segment's hash, anchor, first window, last window) of each anchor of a text, in order."""
     out = []
     step = (1 << _BITS) - 2 * span
     for at in range(0, max(len(raw) - span + 1, 0), step):
@@ -66,10 +77,15 @@ def anchors(raw: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray,
         first = np.concatenate([[0], turn])
         last = np.concatenate([turn, [len(named)]]) - 1
         p = named[first]
-        out.append((h[p].view(np.int64), p + at, first + at, last + at))
+        up, down = _powers()
+        summed = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_MIX[piece] * up[: len(piece)], out=summed[1:])
+        segment = (summed[last + span] - summed[first]) * down[first]
+        segment = (segment ^ (segment >> np.uint64(32)) ^ (last - first).astype(np.uint64)) * np.uint64(_BASE) + (p - first).astype(np.uint64)
+        out.append((h[p].view(np.int64), segment.view(np.int64), p + at, first + at, last + at))
     if not out:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -274,58 +290,95 @@ def _anchor_rows(span: int, gram: int):
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 got = [anchors(t, span, gram) for t in pdf["raw"].iloc[at : at + 200]]
-                key, p, first, last = (np.concatenate(x) for x in zip(*got))
+                key, segment, p, first, last = (np.concatenate(x) for x in zip(*got))
                 rid = np.repeat(pdf["rid"].iloc[at : at + 200].to_numpy(), [len(x[0]) for x in got])
-                yield pd.DataFrame({"key": key, "rid": rid, "place": (p << 14) | ((p - first) << 7) | (last - first)})
+                yield pd.DataFrame({"key": key, "segment": segment, "rid": rid, "place": (p << 14) | ((p - first) << 7) | (last - first)})
 
     return run
 
 
-def _met_twice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows, sorted by key, whose key another row has too; one row is held back at most."""
-    held = None
-    for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        key = pdf["key"].to_numpy()
-        equal = np.zeros(len(key) + 1, bool)
-        if len(key) > 1:
-            equal[1:-1] = key[1:] == key[:-1]
-        keep = equal[:-1] | equal[1:]
-        if held is not None:
-            keep[0] = keep[0] or held_twice
-            emitted = held_twice
-        else:
-            emitted = False
-        if len(key):
-            # The last row waits for its neighbour; whether it has an equal one before it is kept.
-            last_before = bool(equal[-2]) if len(key) > 1 else emitted
-            out = pdf.iloc[:-1][keep[:-1]]
-            held, held_twice = pdf.iloc[[-1]], last_before
-            if len(out):
-                yield out
-    if held is not None and held_twice:
-        yield held
-
-
-def _segments(span: int, gram: int):
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first and last window of packed places."""
+    p = place >> 14
+    first = p - ((place >> 7) & 127)
+    return p, first, first + (place & 127)
+
+
+#: Flags of an anchor: its segment is to be searched; so, and its gram is hot; its segment was met before.
+SEARCH, HOT, COPY = 0, 1, 2
+
+
+def _sift(hot_rows: int):
+    """Anchors sorted by (key, segment, rid, place) to flagged ones; those alone with their gram go.
+
+    At most ``hot_rows`` rows of the open gram are held back.
+    """
+
+    def out(rows: pd.DataFrame, flag: int | np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"rid": rows["rid"], "key": rows["key"], "place": rows["place"], "flag": flag}).astype({"flag": "int32"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = open_key = None
+        held: list[pd.DataFrame] = []
+        count = 0
+
+        def close() -> Iterator[pd.DataFrame]:
+            if held and count > 1:
+                yield out(pd.concat(held), SEARCH)
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key, segment = pdf["key"].to_numpy(), pdf["segment"].to_numpy()
+            copy = np.empty(len(pdf), bool)
+            copy[0] = before == (key[0], segment[0])
+            copy[1:] = (key[1:] == key[:-1]) & (segment[1:] == segment[:-1])
+            before = (key[-1], segment[-1])
+            if copy.any():
+                yield out(pdf[copy], COPY)
+            rows = pdf[~copy]
+            if not len(rows):
+                continue
+            key = rows["key"].to_numpy()
+            mine, last = key == open_key if open_key is not None else np.zeros(len(key), bool), key == key[-1]
+            if mine.any():
+                count += int(mine.sum())
+                if count > hot_rows:
+                    yield out(pd.concat([*held, rows[mine]]), HOT)
+                    held = []
+                else:
+                    held.append(rows[mine])
+                if mine.all():
+                    continue
+            yield from close()
+            middle = rows[~mine & ~last]
+            if len(middle):
+                _, at, n = np.unique(middle["key"].to_numpy(), return_inverse=True, return_counts=True)
+                n = n[at]
+                yield out(middle[n > 1], np.where(n > hot_rows, HOT, SEARCH)[n > 1])
+            open_key, count, held = key[-1], int(last.sum()), [rows[last]]
+            if count > hot_rows:
+                yield out(held[0], HOT)
+                held = []
+        yield from close()
+
+    return run
+
+
+def _segments(span: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for rid, raw, places in zip(pdf["rid"].tolist(), pdf["raw"], pdf["places"]):
-                for x in places:
-                    key, place, hot = x["key"], x["place"], x["hot"]
-                    p, first = place >> 14, (place >> 14) - ((place >> 7) & 127)
-                    last = first + (place & 127)
-                    if not hot:
+            for rid, raw, keys, places, flags in zip(pdf["rid"].tolist(), pdf["raw"], pdf["keys"], pdf["places"], pdf["flags"]):
+                for flag, key, p, first, last in zip(*(x[flags != COPY].tolist() for x in (flags, keys, *_unpack(places)))):
+                    if flag == SEARCH:
                         out.append((key, rid, first, raw[first : last + span]))
                         continue
                     for a in range(p - (p - first) // PART * PART - PART, last + 1, PART):
-                        # Windows p - j for j in one part of [0, span - gram]: they share the bytes between.
+                        # Windows from a + 1 to a + PART share the bytes between.
                         lo, hi = max(first, a + 1), min(last, a + PART)
                         if lo <= hi:
-                            shared = raw[a + PART : a + 1 + span]
-                            name = hashlib.blake2b(shared + (p - a).to_bytes(4, "little"), digest_size=8).digest()
+                            name = hashlib.blake2b(raw[a + PART : a + 1 + span] + (p - a).to_bytes(4, "little"), digest_size=8).digest()
                             out.append((int.from_bytes(name, "little", signed=True), rid, lo, raw[lo : hi + span]))
             for at in range(0, len(out), 20_000):
                 yield pd.DataFrame(out[at : at + 20_000], columns=["key", "rid", "first", "seg"])
@@ -333,23 +386,21 @@ def _segments(span: int, gram: int):
     return run
 
 
-def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping and touching spans as one."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def unite(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping and touching spans [a, b) as one, in order."""
+    order = np.argsort(a, kind="stable")
+    a, far = a[order], np.maximum.accumulate(b[order]) if len(b) else b
+    new = np.concatenate([[True], a[1:] > far[:-1]]) if len(a) else np.empty(0, bool)
+    ends = np.append(np.flatnonzero(new)[1:], len(a)) - 1 if len(a) else np.empty(0, np.int64)
+    return a[new], far[ends]
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, _id, raw): rid orders rows by id, null ids last, then by text hash; equal rows share it."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(rid, _id, raw), and whether rid is unique: it orders rows by id, null ids last, then by text hash; equal rows share it."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), clean_text(text_col).cast("binary").alias("raw"))
     ids = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or _id is null")
     if ids.isEmpty():
-        return rows.select(F.col("_id").alias("rid"), "_id", "raw")
+        return rows.select(F.col("_id").alias("rid"), "_id", "raw"), True
     tied = rows.withColumn("tie", F.sha2("raw", 256))
     parts = cut(
         tied.select("_id", "tie").distinct()
@@ -358,33 +409,34 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     at = F.row_number().over(Window.partitionBy("part").orderBy(F.col("_id").asc_nulls_last(), "tie"))
     index = cut(parts.withColumn("at", at).join(sizes.select("part", "base"), "part").select(F.col("_id").alias("i"), F.col("tie").alias("t"), (F.col("base") + F.col("at")).alias("rid")))
-    return tied.join(index, tied["_id"].eqNullSafe(index["i"]) & (tied["tie"] == index["t"])).select("rid", "_id", "raw")
+    return tied.join(index, tied["_id"].eqNullSafe(index["i"]) & (tied["tie"] == index["t"])).select("rid", "_id", "raw"), False
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_rows: int = 20_000, shard_bytes: int = 1_000_000) -> DataFrame:
-    """For every row of ``docs``: id, ``raw`` (its bytes), ``spans`` array of (a, b): the bytes [a, b) to remove, united, in order.
+    """For every row of ``docs``: id, ``raw`` (its bytes), ``starts`` and ``ends``: spans of bytes to remove, that may overlap, in no order.
 
     Texts are bytes in UTF-8, null is empty. Earlier means a smaller id, null ids last, or an earlier
     place in the text. Rows equal in id and text share a result; rows of one id with different texts follow each other
-    by hash. Texts shorter than ``span`` lose nothing. An empty table gives no rows.
+    by hash. Texts shorter than ``span`` have none. An empty table gives no rows.
     """
-    rows = _numbered(docs, id_col, text_col)
-    info = cut(rows.select("rid", F.length("raw").alias("n"), F.sha2("raw", 256).alias("sha")).distinct())
-    firsts = info.filter(F.col("n") >= span).groupBy("sha").agg(F.min("rid").alias("first"))
-    firsts = cut(firsts)
-    # One copy of each text may hold something new.
-    found = rows.filter(F.length("raw") >= span).select("rid", "raw").mapInPandas(_anchor_rows(span, gram), "key long, rid long, place long")
-    twice = cut(found.repartition("key").sortWithinPartitions("key").mapInPandas(_met_twice, "key long, rid long, place long").join(firsts.select(F.col("first").alias("rid")), "rid", "left_semi").distinct())
-    hot = twice.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("key", F.lit(True).alias("hot"))
-    places = twice.join(hot, "key", "left").groupBy("rid").agg(F.collect_list(F.struct("key", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places"))
-    texts = rows.select("rid", "raw")
-    segments = texts.join(places, "rid").select("rid", "raw", "places").mapInPandas(_segments(span, gram), "key long, rid long, first long, seg binary")
+    rows, unique = _numbered(docs, id_col, text_col)
+    once = rows if unique else rows.dropDuplicates(["rid"])
+    found = once.filter(F.length("raw") >= span).select("rid", "raw").mapInPandas(_anchor_rows(span, gram), "key long, segment long, rid long, place long")
+    flagged = found.repartition("key").sortWithinPartitions("key", "segment", "rid", "place").mapInPandas(_sift(hot_rows), "rid long, key long, place long, flag int")
+    listed = flagged.groupBy("rid").agg(F.collect_list(F.struct("key", "place", "flag")).alias("x"))
+    listed = listed.select(F.col("rid").alias("_rid"), F.col("x.key").alias("keys"), F.col("x.place").alias("places"), F.col("x.flag").alias("flags"))
+    segments = once.join(listed, once["rid"] == listed["_rid"]).select("rid", "raw", "keys", "places", "flags").mapInPandas(_segments(span), "key long, rid long, first long, seg binary")
     marked = segments.repartition("key").sortWithinPartitions("key").mapInPandas(_shard(span, shard_bytes), "rid long, a long, b long")
-    per_doc = cut(marked.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("s")))
-    copies = info.filter(F.col("n") >= span).join(firsts, "sha").filter("rid <> first")
-    whole = copies.select("rid", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))).alias("s"))
-    verdicts = per_doc.unionByName(whole).withColumnRenamed("rid", "_rid")
-    return rows.join(verdicts, rows["rid"] == verdicts["_rid"], "left").select(F.col("_id").alias(id_col), "raw", F.col("s").alias("spans"))
+    marked = marked.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("s")).select(F.col("rid").alias("_sid"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    copies = F.filter(F.arrays_zip("places", "flags"), lambda x: x["flags"] == COPY)
+    first = lambda x: F.shiftright(x["places"], 14) - F.shiftright(x["places"], 7).bitwiseAND(127)
+    none = F.array().cast("array<long>")
+    both = rows.join(listed, rows["rid"] == listed["_rid"], "left").join(marked, rows["rid"] == marked["_sid"], "left").withColumn("copies", copies)
+    return both.select(
+        F.col("_id").alias(id_col), "raw",
+        F.concat(F.coalesce(F.transform("copies", first), none), F.coalesce("a", none)).alias("starts"),
+        F.concat(F.coalesce(F.transform("copies", lambda x: first(x) + x["places"].bitwiseAND(127) + span), none), F.coalesce("b", none)).alias("ends"),
+    )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -393,14 +445,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, raw, spans in zip(pdf["_id"], pdf["raw"], pdf["spans"]):
-                united = unite([(s["a"], s["b"]) for s in spans]) if spans is not None else []
+            for doc, raw, starts, ends in zip(pdf["_id"], pdf["raw"], pdf["starts"], pdf["ends"]):
+                starts, ends = unite(starts, ends)
                 at, kept = 0, []
-                for a, b in united:
+                for a, b in zip(starts.tolist(), ends.tolist()):
                     kept.append(raw[at:a])
                     at = b
                 whole = b"".join([*kept, raw[at:]])
-                out.append((doc, len(raw), len(raw) - len(whole), len(united), whole, hashlib.sha256(whole).hexdigest()))
+                out.append((doc, len(raw), len(raw) - len(whole), len(starts), whole, hashlib.sha256(whole).hexdigest()))
             yield pd.DataFrame(out, columns=["_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     found = repeated_spans(docs, id_col, text_col, **options).withColumnRenamed(id_col, "_id")
