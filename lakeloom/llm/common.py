@@ -35,3 +35,12 @@ def clean_text(column: str = "text") -> Column:
 def own_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Only ``names`` of ``df``, so that further columns can't clash."""
     return df.select(*[F.col(f"`{x}`") for x in names])
+
+
+def id_text(id_col: str) -> Column:
+    """An id as text, for Python batches: pandas would make numbers with nulls floats."""
+    return F.col(id_col).cast("string").alias("_id")
+
+
+def id_back(id_col: str) -> Column:
+    return F.col("_id").cast("long").alias(id_col)

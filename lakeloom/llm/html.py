@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_back, id_text
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 
@@ -246,6 +248,6 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             texts = [extract(h) for h in pdf["_html"]]
             yield pd.DataFrame({"_id": pdf["_id"], "_url": pdf["_url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col("url").alias("_url"), F.col(html_col).alias("_html"))
-    out = rows.mapInPandas(run, "_id long, _url string, text string, n_chars long")
-    return out.withColumnRenamed("_id", id_col).withColumnRenamed("_url", "url")
+    rows = pages.select(id_text(id_col), F.col("url").alias("_url"), F.col(html_col).alias("_html"))
+    out = rows.mapInPandas(run, "_id string, _url string, text string, n_chars long")
+    return out.select(id_back(id_col), F.col("_url").alias("url"), "text", "n_chars")

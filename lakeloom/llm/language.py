@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import id_back, id_text
+
 BUCKETS = 1 << 15
 MAX_N = 3
 #: Texts are read in pieces of so many characters, with an overlap; all of a text is read.
@@ -153,8 +155,8 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             langs, scores = predict(pdf["_text"].tolist(), shared.value)
             yield pd.DataFrame({"_id": pdf["_id"], "lang_pred": langs, "score": scores})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return texts.mapInPandas(run, "_id long, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    texts = docs.select(id_text(id_col), F.col(text_col).alias("_text"))
+    return texts.mapInPandas(run, "_id string, lang_pred string, score double").select(id_back(id_col), "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_back, id_text
 
 CAPACITY = 2048
 SALTS = 16
@@ -114,10 +114,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                     ids += end
                     out += [(doc, k, k * capacity, len(x) // 4, x) for k, b in enumerate(range(0, len(ids), 4 * capacity)) if (x := ids[b : b + 4 * capacity])]
                 frame = pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids"])
-                yield frame.astype({"_id": "Int64"})
+                yield frame
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id long, piece int, start long, length long, ids binary").withColumnRenamed("_id", id_col)
+    rows = docs.select(id_text(id_col), F.col(text_col).alias("_text"))
+    return rows.mapInPandas(run, "_id string, piece int, start long, length long, ids binary").select(id_back(id_col), "piece", "start", "length", "ids")
 
 
 def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,8 +286,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", r
                 at[mine] = a + np.searchsorted(runs["rank"][a:b], rank[mine], side="right") - 1
             yield pdf[kept].assign(sequence_id=runs["base"][at] + rank - runs["rank"][at], offset=runs["offset"][at])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return numbered.mapInPandas(run, f"{schema}, sequence_id long, offset long")
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
+    schema = ", ".join(f"`{name}` {'string' if name == id_col else kind}" for name, kind in kinds.items())
+    out = numbered.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"{schema}, sequence_id long, offset long")
+    return out.withColumn(id_col, F.col(id_col).cast(kinds[id_col]))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:

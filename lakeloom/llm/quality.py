@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_back, id_text
 
 FEATURES = (
     "words", "distinct_words", "chars_a_word", "upper", "symbols", "stops", "digits", "pipes",
@@ -82,8 +82,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for pdf in batches:
             yield pd.DataFrame({"_id": pdf["_id"], "x": [statistics(t) for t in pdf["_text"]]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id long, x array<double>").select(F.col("_id").alias(id_col), "x")
+    rows = docs.select(id_text(id_col), F.col(text_col).alias("_text"))
+    return rows.mapInPandas(run, "_id string, x array<double>").select(id_back(id_col), "x")
 
 
 @dataclass
@@ -142,7 +142,7 @@ def score(feats: DataFrame, model: Discriminant | None, id_col: str = "doc_id")
             scores = model.scores(x) if model else np.full(len(pdf), 0.5)
             yield pd.DataFrame({"_id": pdf["_id"], "score": scores, "predicted": (scores >= 0.5).astype(np.int32)})
 
-    return feats.select(F.col(id_col).alias("_id"), "x").mapInPandas(run, "_id long, score double, predicted int").withColumnRenamed("_id", id_col)
+    return feats.select(id_text(id_col), "x").mapInPandas(run, "_id string, score double, predicted int").select(id_back(id_col), "score", "predicted")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_back, id_text
 from .graph import connected_components
 
 #: For each byte value, its bits, the least significant first.
@@ -67,8 +67,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle, seed) for t in pdf["_text"]], np.uint64)
             yield pd.DataFrame({"_id": pdf["_id"], "fp": fps.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id long, fp long").select(F.col("_id").alias(id_col), "fp")
+    rows = docs.select(id_text(id_col), F.col(text_col).alias("_text"))
+    return rows.mapInPandas(run, "_id string, fp long").select(id_back(id_col), "fp")
 
 
 class BKTree:

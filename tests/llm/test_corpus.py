@@ -451,3 +451,19 @@ def test_remove_repeats_of_repeated_ids(spark):
     n, m = len(a), len(b)
     assert sorted(got, key=repr) == sorted([(1, n, 0), (1, n, 0), (2, n + m, n), (None, m, m), (3, n, n), (2, 0, 0)], key=repr)
     assert suffix.remove_repeats(df.limit(0)).count() == 0
+
+
+# --- ids -----------------------------------------------------------------
+
+
+def test_large_and_null_ids_keep_their_value(spark):
+    big = 2**60 + 1
+    df = docs(spark, ["one two three four", None, "one two three four"], ids=[big, None, big + 1])
+    labels = spark.createDataFrame([(big, 1)], "doc_id long, quality int")
+    frames = [
+        quality.quality_scores(df, labels), language.language_scores(df), simhash.simhash_components(df), packing.pack_digests(df, TOKENIZER),
+        suffix.remove_repeats(df), exact.exact_classes(df), mixing.mix_plan(df),
+        html.main_texts(df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))).withColumnRenamed("page_id", "doc_id"),
+    ]
+    for f in frames:
+        assert sorted((r[0] or 0 for r in f.select("doc_id").collect())) == [0, big, big + 1], f.columns
