@@ -288,11 +288,19 @@ def _shard(span: int, shard_bytes: int):
 def _anchor_rows(span: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                got = [anchors(t, span, gram) for t in pdf["raw"].iloc[at : at + 200]]
-                key, segment, p, first, last = (np.concatenate(x) for x in zip(*got))
-                rid = np.repeat(pdf["rid"].iloc[at : at + 200].to_numpy(), [len(x[0]) for x in got])
-                yield pd.DataFrame({"key": key, "segment": segment, "rid": rid, "place": (p << 14) | ((p - first) << 7) | (last - first)})
+            if not len(pdf):
+                continue
+            pdf = pdf.sort_values("rid")
+            got = [anchors(t, span, gram) for t in pdf["raw"]]
+            key, segment, p, first, last = (np.concatenate(x) for x in zip(*got))
+            rid = np.repeat(pdf["rid"].to_numpy(), [len(x[0]) for x in got])
+            place = (p << 14) | ((p - first) << 7) | (last - first)
+            # Segments met earlier in this batch need no search: they are dealt at random, so common ones don't meet in one task.
+            order = np.argsort(key ^ (segment * np.int64(0x5851F42D4C957F2D)), kind="stable")
+            copy = np.zeros(len(key), bool)
+            copy[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (segment[order[1:]] == segment[order[:-1]])
+            key = np.where(copy, (rid ^ (place << 20)) * np.int64(0x2545F4914F6CDD1D), key)
+            yield pd.DataFrame({"key": key, "segment": segment, "rid": rid, "place": place, "copy": copy})
 
     return run
 
@@ -327,6 +335,10 @@ def _sift(hot_rows: int):
                 yield out(pd.concat(held), SEARCH)
 
         for pdf in batches:
+            known = pdf["copy"].to_numpy()
+            if known.any():
+                yield out(pdf[known], COPY)
+                pdf = pdf[~known]
             if not len(pdf):
                 continue
             key, segment = pdf["key"].to_numpy(), pdf["segment"].to_numpy()
@@ -420,8 +432,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by hash. Texts shorter than ``span`` have none. An empty table gives no rows.
     """
     rows, unique = _numbered(docs, id_col, text_col)
+    # Both joins with the texts are to see the same rows and columns, so that Spark shuffles them once.
+    rows = rows.filter("rid IS NOT NULL").select("rid", "raw") if unique else rows
     once = rows if unique else rows.dropDuplicates(["rid"])
-    found = once.filter(F.length("raw") >= span).select("rid", "raw").mapInPandas(_anchor_rows(span, gram), "key long, segment long, rid long, place long")
+    found = once.filter(F.length("raw") >= span).select("rid", "raw").mapInPandas(_anchor_rows(span, gram), "key long, segment long, rid long, place long, copy boolean")
     flagged = found.repartition("key").sortWithinPartitions("key", "segment", "rid", "place").mapInPandas(_sift(hot_rows), "rid long, key long, place long, flag int")
     listed = flagged.groupBy("rid").agg(F.collect_list(F.struct("key", "place", "flag")).alias("x"))
     listed = listed.select(F.col("rid").alias("_rid"), F.col("x.key").alias("keys"), F.col("x.place").alias("places"), F.col("x.flag").alias("flags"))
@@ -433,7 +447,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     none = F.array().cast("array<long>")
     both = rows.join(listed, rows["rid"] == listed["_rid"], "left").join(marked, rows["rid"] == marked["_sid"], "left").withColumn("copies", copies)
     return both.select(
-        F.col("_id").alias(id_col), "raw",
+        F.col("rid" if unique else "_id").alias(id_col), "raw",
         F.concat(F.coalesce(F.transform("copies", first), none), F.coalesce("a", none)).alias("starts"),
         F.concat(F.coalesce(F.transform("copies", lambda x: first(x) + x["places"].bitwiseAND(127) + span), none), F.coalesce("b", none)).alias("ends"),
     )
