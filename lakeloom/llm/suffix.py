@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_text, cut
+from .common import clean_text, cut, id_back, id_text
 
 SPAN = 100
 GRAM = 32
@@ -469,5 +469,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((doc, len(raw), len(raw) - len(whole), len(starts), whole, hashlib.sha256(whole).hexdigest()))
             yield pd.DataFrame(out, columns=["_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    found = repeated_spans(docs, id_col, text_col, **options).withColumnRenamed(id_col, "_id")
-    return found.mapInPandas(run, "_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumnRenamed("_id", id_col)
+    found = repeated_spans(docs, id_col, text_col, **options).select(id_text(id_col), "raw", "starts", "ends")
+    out = found.mapInPandas(run, "_id string, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return out.select(id_back(id_col), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
