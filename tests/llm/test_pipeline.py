@@ -17,7 +17,7 @@ def test_stages(spark, sf, tmp_path):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, sf)
         if name != names[-1]:
-            assert sorted(out.columns) == COLUMNS
+            assert sorted(out.columns) == sorted(COLUMNS)
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         counts.append(docs.count())
