@@ -53,14 +53,16 @@ class WordTokenizer:
     """A lower-casing tokenizer whose tokens never reach over a blank, nor from a letter or digit to
     punctuation after it: words are encoded once and remembered.
 
-    ``cache_words`` bounds the memory; the result doesn't depend on it.
+    ``cache_words`` bounds the memory: beyond it the words become the old generation, from which those met
+    again come back. The result doesn't depend on it.
     """
 
-    def __init__(self, path: str, cache_words: int = 600_000) -> None:
+    def __init__(self, path: str, cache_words: int = 900_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.cache_words = Tokenizer.from_file(path), {"": b""}, cache_words
+        self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
+        self.known, self.old = {"": b""}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -69,9 +71,11 @@ class WordTokenizer:
         """The ids of each text, little-endian unsigned 32-bit."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.cache_words:
-            self.known = {"": b""}
-        known = self.known
-        new = {w: _stem(w) for words in split for w in words if w not in known}
+            self.known, self.old = {"": b""}, self.known
+        known, old = self.known, self.old
+        met = {w for words in split for w in words if w not in known}
+        known.update((w, old[w]) for w in met if w in old)
+        new = {w: _stem(w) for w in met if w not in old}
         parts = {p for pair in new.values() for p in pair if p not in known}
         plain = [p for p in parts if _PLAIN.fullmatch(p)]
         for at in range(0, len(plain), 1000):  # one token sequence a word: many words are encoded as one text
