@@ -76,19 +76,9 @@ def shard_quotas(draws: DataFrame, depth: int, seed: int) -> DataFrame:
     return tokens.groupBy("source", F.col("node").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 8, block_words: int = 1 << 16, seed: int = 17, weights: Column | None = None) -> DataFrame:
-    """What the mix takes of every row of ``docs``.
-
-    Returns id, ``source``, ``size`` (words; null text: 0), ``source_size``,
-    ``target`` (its source's), ``taken`` (words, repeats counted) and
-    ``draws``, an array of (pass, shard, words). ``shards`` is a power of two.
-    Null is a source of its own, the last. Empty documents are taken 0 words,
-    a source of only empty ones has target 0. Equal rows are mixed as separate
-    rows; which of them a border cuts is left open, the rest depends on ids and
-    sizes alone, so reruns agree. An empty table gives no rows.
-    """
-    depth = shards.bit_length() - 1
-    if 1 << depth != shards:
+def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17, weights: Column | None = None, block_words: int = 1 << 16, max_blocks: int = 1 << 20, shard_words: int = 1 << 22) -> tuple[DataFrame, int]:
+    """See :func:`mix_plan`; also the number of shards."""
+    if shards is not None and shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     words = F.regexp_count(clean_text(text_col), F.lit(WORD)).cast("long")
     sizes = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words.alias("size")))
@@ -97,8 +87,13 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         .withColumn("words", F.round("target").cast("long"))
         .withColumn("passes", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0).cast("int"))
         .withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
-        .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("int"))
     )
+    total = sources.agg(F.sum("source_size")).head()[0] or 0
+    if shards is None:
+        shards = 1 << max(0, (total // shard_words).bit_length())
+    depth = shards.bit_length() - 1
+    block_words = max(block_words, total // max_blocks)
+    sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("int"))
     dealt = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.col("blocks")).cast("int"))
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
@@ -139,7 +134,23 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.col("_id").alias(id_col), "source", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + last).alias("taken"),
         F.filter(of_draw, lambda d: d["words"] > 0).alias("draws"),
-    )
+    ), shards
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """What the mix takes of every row of ``docs``.
+
+    Returns id, ``source``, ``size`` (words; null text: 0), ``source_size``,
+    ``target`` (its source's), ``taken`` (words, repeats counted) and
+    ``draws``, an array of (pass, shard, words). ``shards`` is a power of two; by default
+    there are as many as make a shard about ``shard_words`` words. Blocks have ``block_words`` words,
+    more where they would number over ``max_blocks``: that bounds the tree, whatever the size of the corpus.
+    Null is a source of its own, the last. Empty documents are taken 0 words,
+    a source of only empty ones has target 0. Equal rows are mixed as separate
+    rows; which of them a border cuts is left open, the rest depends on ids and
+    sizes alone, so reruns agree. An empty table gives no rows.
+    """
+    return _plan(docs, id_col, text_col, source_col, **options)[0]
 
 
 def cut_words(text: Column, words: Column) -> Column:
@@ -148,20 +159,20 @@ def cut_words(text: Column, words: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), words), "")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 8, seed: int = 17, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17, **options) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, a row for each time that the mix takes a document.
 
     A document at a border is cut to the words taken from it. The rows
-    lie in one partition a shard, in random order. Each id stands for one document.
+    lie in one partition a shard, in random order; what the writer makes of it is a file a shard. Each id stands for one document.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col, shards, seed=seed, **options)
+    plan, shards = _plan(docs, id_col, text_col, source_col, shards, seed, **options)
     draws = plan.select(F.col(id_col).alias("_mix_id"), F.col("size").alias("_mix_size"), F.explode("draws").alias("_mix_draw"))
     text = F.when(F.col("_mix_draw")["words"] < F.col("_mix_size"), cut_words(F.col(text_col), F.col("_mix_draw")["words"].cast("int"))).otherwise(F.col(text_col))
     out = docs.join(draws, docs[id_col].eqNullSafe(draws["_mix_id"]))
     order = F.xxhash64(F.lit(seed + 5), F.col("_mix_draw"), F.col("_mix_id"))
     return (
         out.withColumns({text_col: text, "_mix_order": order, "_mix_shard": F.col("_mix_draw")["shard"]})
-        .repartition(shards, "_mix_shard")
+        .repartitionById(shards, F.col("_mix_shard"))
         .sortWithinPartitions("_mix_shard", "_mix_order")
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
