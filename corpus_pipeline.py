@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import exact, mixing, packing, quality, simhash
+from lakeloom.llm import exact, mixing, nearcopies, packing, quality
 from lakeloom.llm.common import table
 from lakeloom.llm.queries import tokenizer_path
 
@@ -28,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id."""
-    return simhash.near_dedup(docs)
+    """One document of each group of texts that share 0.8 of their five-word shingles: the one with the smallest id."""
+    return nearcopies.jaccard_dedup(docs, threshold=0.8, width=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
