@@ -40,9 +40,16 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_classes` keeps, with all their columns.
+    """One row of each text, with all its columns: the one with the smallest ("min") or largest ("max") id.
 
-    Each id stands for one document here.
+    The row is chosen in the aggregation, so neither repeated ids nor null ids bring a copy back. Null ids
+    never win over others; rows that share text and id differ at most in other columns, one of them stays.
     """
-    kept = exact_classes(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    best = {"min": F.min_by, "max": F.max_by}[keep]
+    none = F.col(id_col).isNull() if keep == "min" else F.col(id_col).isNotNull()
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    order = F.struct(none, F.col(id_col), F.xxhash64(*others, *[c.isNull() for c in others], F.col(text_col).isNull()))
+    row = F.struct(F.col(text_col).isNull().alias("_null"), *others)
+    classes = docs.groupBy(F.md5(clean_text(text_col)).alias("_md5"), clean_text(text_col).alias("_text")).agg(best(row, order).alias("_row"))
+    text = F.when(~F.col("_row")["_null"], F.col("_text")).alias(text_col)
+    return classes.select(*[text if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])

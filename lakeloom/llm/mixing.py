@@ -76,12 +76,18 @@ def shard_quotas(draws: DataFrame, depth: int, seed: int) -> DataFrame:
     return tokens.groupBy("source", F.col("node").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
 
+def _row_key(docs: DataFrame, text_col: str) -> list[Column]:
+    """What tells the rows of one id apart: 128 bits of the text, 64 of all columns. Rows that agree in it are equal."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.md5(clean_text(text_col)).alias("_md5"), F.xxhash64(*every, *[c.isNull() for c in every]).alias("_rest")]
+
+
 def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17, weights: Column | None = None, block_words: int = 1 << 16, max_blocks: int = 1 << 20, shard_words: int = 1 << 22) -> tuple[DataFrame, int]:
     """See :func:`mix_plan`; also the number of shards."""
     if shards is not None and shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     words = F.regexp_count(clean_text(text_col), F.lit(WORD)).cast("long")
-    sizes = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words.alias("size")))
+    sizes = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words.alias("size"), *_row_key(docs, text_col)))
     sources = cut(
         source_targets(sizes, weights)
         .withColumn("words", F.round("target").cast("long"))
@@ -95,7 +101,7 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     block_words = max(block_words, total // max_blocks)
     sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("int"))
     dealt = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_md5"), F.col("blocks")).cast("int"))
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
     blocks = (
         dealt.groupBy("source", "block")
@@ -122,7 +128,7 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     placed = placed.groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("_draws"))
     kept = blocks.select("source", "block", "block_words", "extra").join(placed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
     kept = kept.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "block_words", "extra", "_draws")
-    in_block = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 4), "_id"), "_id", "size")
+    in_block = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 4), "_id", "_md5"), "_id", "size", "_md5", "_rest")
     whole = dealt.join(kept, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
     whole = whole.withColumn("_before", F.sum("size").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("_before")))
@@ -133,7 +139,7 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return whole.select(
         F.col("_id").alias(id_col), "source", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + last).alias("taken"),
-        F.filter(of_draw, lambda d: d["words"] > 0).alias("draws"),
+        F.filter(of_draw, lambda d: d["words"] > 0).alias("draws"), "_md5", "_rest",
     ), shards
 
 
@@ -150,7 +156,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows; which of them a border cuts is left open, the rest depends on ids and
     sizes alone, so reruns agree. An empty table gives no rows.
     """
-    return _plan(docs, id_col, text_col, source_col, **options)[0]
+    return _plan(docs, id_col, text_col, source_col, **options)[0].drop("_md5", "_rest")
 
 
 def cut_words(text: Column, words: Column) -> Column:
@@ -163,12 +169,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed corpus: the columns of ``docs``, a row for each time that the mix takes a document.
 
     A document at a border is cut to the words taken from it. The rows
-    lie in one partition a shard, in random order; what the writer makes of it is a file a shard. Each id stands for one document.
+    lie in one partition a shard, in random order; what the writer makes of it is a file a shard. Draws find
+    their rows by id, text and all other columns; equal rows are one row there, that all their draws take.
     """
     plan, shards = _plan(docs, id_col, text_col, source_col, shards, seed, **options)
-    draws = plan.select(F.col(id_col).alias("_mix_id"), F.col("size").alias("_mix_size"), F.explode("draws").alias("_mix_draw"))
+    draws = plan.select(F.col(id_col).alias("_mix_id"), F.col("_md5").alias("_mix_md5"), F.col("_rest").alias("_mix_rest"), F.col("size").alias("_mix_size"), F.explode("draws").alias("_mix_draw"))
     text = F.when(F.col("_mix_draw")["words"] < F.col("_mix_size"), cut_words(F.col(text_col), F.col("_mix_draw")["words"].cast("int"))).otherwise(F.col(text_col))
-    out = docs.join(draws, docs[id_col].eqNullSafe(draws["_mix_id"]))
+    rows = docs.select("*", *_row_key(docs, text_col)).groupBy("_md5", "_rest").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    rows = rows.select("_row.*", "_md5", "_rest")
+    out = rows.join(draws, (F.col("_md5") == F.col("_mix_md5")) & (F.col("_rest") == F.col("_mix_rest")))
     order = F.xxhash64(F.lit(seed + 5), F.col("_mix_draw"), F.col("_mix_id"))
     return (
         out.withColumns({text_col: text, "_mix_order": order, "_mix_shard": F.col("_mix_draw")["shard"]})

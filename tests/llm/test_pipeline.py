@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from lakeloom.llm import queries
+from lakeloom.llm import exact, mixing, queries, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,3 +42,25 @@ def test_queries(spark, sf, name):
         want = con.sql(queries.ORACLE_SQL[name]).df()
         key = sorted(got.columns)
         assert sorted(map(repr, got[key].astype(str).itertuples(index=False, name=None))) == sorted(map(repr, want[key].astype(str).itertuples(index=False, name=None)))
+
+
+def test_repeated_and_null_ids_through_the_stages(spark):
+    """Verdicts and draws belong to rows, not to ids."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    data = [(3, "a a"), (3, "a a"), (5, "a a"), (5, "b"), (None, "c c c"), (None, "c c c"), (None, "d"), (None, "a a"), (None, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], schema)
+    pairs = lambda out: sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    want = sorted([(3, "a a"), (5, "b"), (None, "c c c"), (None, "d"), (6, "")], key=repr)
+    assert pairs(corpus_pipeline.drop_copies(spark, df, "")) == want
+    assert pairs(simhash.near_dedup(df, radius=0)) == want
+    assert pairs(exact.exact_dedup(df.filter("doc_id is null"), keep="max")) == sorted([(None, "c c c"), (None, "d"), (None, "a a"), (None, None)], key=repr)
+
+    many = [(i, t, "en", s, 1) for s in "xyz" for i, t in [(None, "n n"), (None, "n n"), (None, "m " * 9), (7, "p " * 5), (7, "p " * 5), (7, "q " * 3), *[(k, f"t{k} u") for k in range(20, 50)]]]
+    docs = spark.createDataFrame(many, schema)
+    plan = mixing.mix_plan(docs, block_words=20, shards=4).collect()
+    got = corpus_pipeline.mixing.mix(docs, block_words=20, shards=4).collect()
+    assert len(got) == sum(len(r["draws"]) for r in plan)
+    assert len(plan) == len(many)
+    for s in "xyz":
+        target = next(r["target"] for r in plan if r["source"] == s)
+        assert abs(sum(len(r["text"].split()) for r in got if r["source"] == s) - target) <= 10
