@@ -4,7 +4,7 @@ Each page is read into a tree of elements. Every node gets its characters, tags,
 link characters and link tags; its composite density is characters a tag,
 adjusted by the share of link text against the body's own. The density sum of a node adds
 its children's densities. The node with the largest sum, at least as dense as the
-least dense node on the path from the body to it, is the main subtree; its text is given block by block.
+least dense node on the path from the body to it, is the main subtree, or the article around it; its text is given block by block.
 
 Elements that are never main text (menus, forms, scripts, marked adverts,
 comments and the like) are left out of the tree before densities are computed.
@@ -45,6 +45,7 @@ _MARKS = frozenset(
     " share sharing social newsletter subscribe subscription signup login related recommended recommendations widget complementary contentinfo search".split()
 )
 _PHRASE_END = frozenset("p h1 h2 h3 h4 h5 h6".split())
+_TEXT = _PHRASE_END | frozenset("ul ol dl pre blockquote table figure".split())
 _EMPTY: frozenset[str] = frozenset()
 
 
@@ -193,10 +194,16 @@ def main_node(root: _Node) -> _Node:
         at = parent[id(at)]
         path.append(at)
     threshold = min(m.density for m in path)
-    # An article split over containers: go up while what stands beside is text as dense as the path.
-    while id(best) in parent and best.node.tag not in ("article", "main"):
-        up = parent[id(best)]
-        if not any(c.chars and c.density >= threshold and c.link_chars * 2 < c.chars for c in up.children if c is not best):
+    around = next((m for m in path if m.node.tag in ("article", "main")), None)
+    if around is not None:
+        return around.node
+    # Without such an element: go up while what stands beside is text and not links. Right below the body
+    # a container has to be as dense as the path; headings, paragraphs and lists needn't.
+    for up in path[1:]:
+        inner = up is not top
+        beside = [c for c in up.children if c is not best and c.chars and c.link_chars * 2 < c.chars]
+        own = any(isinstance(part, str) and part.strip() for part in up.node.parts)
+        if up.chars > best.chars and not (own or any(inner or c.density >= threshold or c.node.tag in _TEXT for c in beside)):
             break
         best = up
     return best.node
