@@ -7,7 +7,8 @@ its children's densities. The node with the largest sum, at least as dense as th
 least dense node on the path from the body to it, is the main subtree, or the article around it; its text is given block by block.
 
 Elements that are never main text (menus, forms, scripts, marked adverts,
-comments and the like) are left out of the tree before densities are computed.
+comments and the like) are left out of the tree before densities are computed,
+unless a mark would take the page's article or most of its text.
 Pages are independent rows: one narrow step, no shuffle.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import id_back, id_text
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -44,33 +45,75 @@ _MARKS = frozenset(
     " comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay"
     " share sharing social newsletter subscribe subscription signup login related recommended recommendations widget complementary contentinfo search".split()
 )
+#: Words that may stand beside a mark in one name: 'site-nav' is a mark, 'has-sidebar' and 'share-price' aren't.
+_BESIDE = frozenset(
+    "site main top left right bottom upper lower primary secondary global page post posts article articles entry list area section box container"
+    " wrapper wrap bar block slot unit inner outer item items link links button buttons icon icons form header text message group panel col column js id".split()
+) | {""}
 _PHRASE_END = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _TEXT = _PHRASE_END | frozenset("ul ol dl pre blockquote table figure".split())
 _EMPTY: frozenset[str] = frozenset()
 
 
 class _Node:
-    __slots__ = ("tag", "parts", "skip")
+    __slots__ = ("tag", "parts", "skip", "marked")
 
-    def __init__(self, tag: str, skip: bool) -> None:
-        self.tag, self.skip = tag, skip
+    def __init__(self, tag: str, skip: bool, marked: bool = False) -> None:
+        self.tag, self.skip, self.marked = tag, skip, marked
         self.parts: list[str | _Node] = []
 
 
-def _marked(attributes: str) -> bool:
+def _is_mark(name: str) -> bool:
+    """Whether one class name, id or role is a mark, alone or beside words that don't change its meaning."""
+    words = set(re.split(r"[^a-z]+", name))
+    return not _MARKS.isdisjoint(words) and words <= _MARKS | _BESIDE
+
+
+def _flags(attributes: str) -> tuple[bool, bool]:
+    """(hidden, marked)."""
+    hidden = marked = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id", "role") and not _MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        name = name.lower()
+        if name in ("hidden", "aria-hidden", "style", "class", "id", "role"):
+            value = (a or b or c).lower()
+            hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
+            marked |= name in ("class", "id", "role") and any(map(_is_mark, value.split()))
+    return hidden, marked
+
+
+def _weigh(node: _Node, through: bool) -> tuple[int, bool]:
+    """Characters outside links, and whether they stand in an unmarked article; ``through`` looks into marked elements."""
+    plain, article, stack = 0, False, [(node, False)]
+    while stack:
+        x, inside = stack.pop()
+        inside = inside or x.tag in ("article", "main") and not x.marked
+        for part in x.parts:
+            if isinstance(part, str):
+                chars = len(" ".join(part.split()))
+                plain += chars
+                article |= inside and chars > 0
+            elif part.tag != "a" and (not part.skip or through and part.marked):
+                stack.append((part, inside))
+    return plain, article
+
+
+def _restore(root: _Node, marked: list[_Node]) -> None:
+    """Takes back marks, the outermost first, where they hide the only article or most of the text of a page without one."""
+    whole, (_, article) = _weigh(root, True)[0], _weigh(root, False)
+    for node in marked:
+        if article:
+            break
+        plain, holds = _weigh(node, True)
+        if holds or plain * 2 > whole:
+            node.skip = False
+            article = _weigh(root, False)[1]
 
 
 def parse(html: str) -> _Node:
     """The tree of a page. Unclosed and misplaced tags are mended as browsers mostly do."""
     root = _Node("html", False)
     stack, at, n = [root], 0, len(html)
+    taken: list[_Node] = []
     while at < n:
         m = _TOKEN.search(html, at)
         start = m.start() if m else n
@@ -119,8 +162,12 @@ def parse(html: str) -> _Node:
                 if open_tag in _SCOPES and open_tag not in _SIBLINGS:
                     break
         in_article = tag == "header" and any(x.tag in ("article", "main") for x in stack)
-        skip = tag in _NEVER or tag == "header" and not in_article or (tag not in ("html", "body", "article", "main") and bool(attributes) and _marked(attributes))
-        node = _Node(tag, skip)
+        kept_tag = tag in ("html", "body", "article", "main")
+        hidden, marked = _flags(attributes) if attributes else (False, False)
+        never = tag in _NEVER or tag == "header" and not in_article or hidden and not kept_tag
+        node = _Node(tag, never or marked and not kept_tag, marked and not never)
+        if node.marked and node.skip:
+            taken.append(node)
         stack[-1].parts.append(node)
         if tag in _VOID or m[4] and tag not in _BLOCK:
             continue
@@ -130,6 +177,8 @@ def parse(html: str) -> _Node:
             at = end.end() if end else n
             continue
         stack.append(node)
+    if taken:
+        _restore(root, taken)
     return root
 
 

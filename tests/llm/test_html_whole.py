@@ -1,4 +1,4 @@
-"""Whole articles: nested containers."""
+"""Whole articles: nested containers, layout classes, words in attribute values."""
 
 import pytest
 
@@ -22,3 +22,19 @@ NAV = "<nav><a href=1>One</a> <a href=2>Two</a></nav>"
 def test_nested_articles_are_whole(inside, around):
     got = html.extract(f"<body>{NAV}{around.format(inside)}<footer>f</footer></body>")
     assert got == html.text_of(html.parse(inside)) and TEXT in got
+
+
+def test_marks_are_whole_names():
+    for attribute in ("class=has-sidebar", "class='wide no-sidebar'", "class=comments-open", "class=menu-open", "class=nav-fixed", "id=content class=with-sidebar"):
+        assert html.extract(f"<body>{NAV}<div {attribute}><article>{P}</article></div></body>") == TEXT
+    for attribute in ("id=related-work", "class=share-price", "class=search-method", "data-title='the hidden valley'", "title='a class=ad b'"):
+        assert html.extract(f"<body><article>{P}<section {attribute}><p>kept words</p></section></article></body>") == TEXT + "\nkept words"
+    for attribute in ("class=site-nav", "class='x sidebar'", "id=comments", "role=navigation", "class=ad-slot-2", "hidden", "style='display: none'", "id=related-posts"):
+        assert html.extract(f"<body><article>{P}<div {attribute}><p>not this</p></div></article></body>") == TEXT
+
+
+def test_marks_never_take_the_page():
+    for page in (f"<div class=banner><div class=widget><article>{P}</article></div></div>", f"<div id=search>{P}</div><div><p>ok</p></div>", f"<div class=widget>{P}</div>"):
+        assert TEXT in html.extract(f"<body>{NAV}{page}</body>")
+    comments = f"<section id=comments><article class=comment>{P}</article></section>"
+    assert html.extract(f"<body><article><p>The text.</p></article>{comments}</body>") == "The text."
