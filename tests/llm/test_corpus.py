@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from conftest import rows
+from conftest import DATA, rows
 from pyspark.sql import functions as F
 
 from lakeloom.llm import exact, graph, html, language, licenses, mixing, neighbours, packing, quality, simhash, suffix
@@ -365,7 +365,7 @@ def test_neighbours_exact_when_all_is_visited(spark):
     table = [(i, v.tolist()) for i, v in enumerate(x)]
     table += [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] + [1.0] * 7), (1003, [None] + [1.0] * 7), (1004, [1.0]), (1005, []), (5, x[5].tolist()), (1006, [float("inf")] + [0.0] * 7)]
     df = spark.createDataFrame([(i, v, 1) for i, v in table], "vec_id long, embedding array<double>, class int")
-    got = neighbours.nearest(df, F.col("id") % 50 == 0, k=5, leaf_rows=40, search_share=99.0).collect()
+    got = neighbours.nearest(df, F.col("id") % 50 == 0, k=5, trees=4, leaf_rows=40, block_rows=100, query_rows=3, target=1.0).collect()
     by = {}
     for g in got:
         by.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], g["score"]))
@@ -379,17 +379,29 @@ def test_neighbours_exact_when_all_is_visited(spark):
     assert neighbours.nearest(df.limit(0), F.col("id") == 0).count() == 0
 
 
-def test_neighbours_recall(spark):
-    r = np.random.default_rng(12)
-    x = r.normal(size=(3000, 32))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(g["query_id"], g["vec_id"]) for g in neighbours.nearest(df, F.col("id") % 100 == 0, leaf_rows=100, chunk_rows=30).collect()}
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1", "clustered"])
+def test_neighbours_recall(spark, name):
+    """Recall with the query's own parameters, and how many exact distances a query costs."""
+    if name == "clustered":
+        r = np.random.default_rng(12)
+        x = np.repeat(r.normal(size=(100, 32)), 40, axis=0) + 0.1 * r.normal(size=(4000, 32))
+        df, ids = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), np.arange(4000)
+    else:
+        if not (DATA / name).is_dir():
+            pytest.skip("no test tables")
+        df = spark.read.parquet(f"{DATA}/{name}/embeddings.parquet").select("vec_id", "embedding")
+        table = df.toPandas()
+        x, ids = np.array(table["embedding"].tolist(), float), table["vec_id"].to_numpy()
+    found = neighbours.nearest(df, F.col("id") % 100 == 0, counts=True).toPandas()
+    got, asked = set(zip(found["query_id"], found["vec_id"])), ids[ids % 100 == 0]
     hit = 0
-    for q in range(0, 3000, 100):
-        d = ((x - x[q]) ** 2).sum(axis=1)
-        d[q] = np.inf
-        hit += sum((q, i) in got for i in np.argsort(d)[:10].tolist())
-    assert hit / 300 >= 0.9
+    for q in asked:
+        d = np.where(ids == q, np.inf, ((x - x[ids == q][0]) ** 2).sum(axis=1))
+        hit += sum((q, i) in got for i in ids[np.lexsort((ids, d))[:10]])
+    share = found.groupby("query_id")["n_candidates"].first().mean() / len(x)
+    print(name, "recall", hit / (10 * len(asked)), "share of rows compared", share)
+    assert len(found) == 10 * len(asked) and hit / len(found) >= 0.9
+    assert share < {"sf0.01": 0.7, "sf0.1": 0.5, "clustered": 0.1}[name]
 
 
 # --- suffix arrays -------------------------------------------------------
