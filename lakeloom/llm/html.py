@@ -3,19 +3,19 @@
 Each page is read into a tree of elements. Every node gets its characters, tags,
 link characters and link tags; its composite density is characters a tag,
 adjusted by the share of link text against the body's own. The density sum of a node adds
-its children's densities. The node with the largest sum, at least as dense as the
-least dense node on the path from the body to it, is the main subtree, or the article around it; its text is given block by block.
-
-Elements that are never main text (menus, forms, scripts, marked adverts,
-comments and the like) are left out of the tree before densities are computed,
-unless a mark would take the page's article or most of its text.
-Pages are independent rows: one narrow step, no shuffle.
+its children's densities. The node with the largest sum is the main subtree; the least density on the path from the body
+down to it is the threshold. The subtree grows to the article around it, or over dense neighbours. Inside it, blocks of links below the threshold and
+readers' comments go, and so do the parts that names mark (``nav``, ``aside``, class ``ad``): marks can't make a node
+the main one, and count for nothing where they would take the page's article or most of its text.
+The text is given block by block. Pages are independent rows: one narrow step, no shuffle. Reading takes time in proportion to a page's
+length, whatever is in it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 from math import e, log
 
@@ -25,13 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import id_back, id_text
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+#: One attribute (name and value), or the end of the tag. A quote that is never closed ends the match before its value.
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(?![\"'])([^\s>]*)))?)")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-#: Elements that never hold main text.
-_NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg math canvas audio video dialog menu label fieldset legend noembed noframes".split())
+#: Elements whose content is no text of a page.
+_NEVER = frozenset("script style noscript template head title button select option optgroup datalist textarea input iframe object svg canvas audio video noembed noframes".split())
+#: Elements that are measured, but part of no main text.
+_OUTSIDE = frozenset("nav footer aside form dialog menu".split())
+#: Deeper elements follow each other at this depth.
+_DEEPEST = 512
 #: Elements whose start and end part blocks.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open element of the left kind ends when one of the right kinds begins.
@@ -53,6 +58,15 @@ _BESIDE = frozenset(
 _PHRASE_END = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _TEXT = _PHRASE_END | frozenset("ul ol dl pre blockquote table figure".split())
 _EMPTY: frozenset[str] = frozenset()
+#: Blocks that are dropped as a whole if they are mostly links.
+_GROUPS = frozenset("div section ul ol dl p table center header pre blockquote details".split())
+#: How a block of comments starts.
+_COMMENTS = re.compile(
+    r"(?:\d+ |all |latest |recent )?(?:reader|user|visitor|viewer)?s?['\u2019]?s? ?(?:comments?|replies|responses)(?: \(?\d+\)?| from .*)?\W*"
+    r"|what (?:our |the |other )?(?:readers|users|visitors|people|others) (?:say|said|are saying|think|wrote)\W*|(?:leave|write|post|add) (?:a|your) (?:comment|reply)\W*|join the (?:discussion|conversation)\W*",
+    re.I,
+)
+_SPEAKER = frozenset("b strong cite a span time em i".split())
 
 
 class _Node:
@@ -69,13 +83,13 @@ def _is_mark(name: str) -> bool:
     return not _MARKS.isdisjoint(words) and words <= _MARKS | _BESIDE
 
 
-def _flags(attributes: str) -> tuple[bool, bool]:
+def _flags(attributes: list[tuple[str, str]]) -> tuple[bool, bool]:
     """(hidden, marked)."""
     hidden = marked = False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+    for name, value in attributes:
         name = name.lower()
         if name in ("hidden", "aria-hidden", "style", "class", "id", "role"):
-            value = (a or b or c).lower()
+            value = value.lower()
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
             marked |= name in ("class", "id", "role") and any(map(_is_mark, value.split()))
     return hidden, marked
@@ -109,29 +123,68 @@ def _restore(root: _Node, marked: list[_Node]) -> None:
             article = _weigh(root, False)[1]
 
 
+def _tag(html: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """The attributes of a tag from ``at`` on, whether it closes itself, and where it ends (-1: never)."""
+    attributes: list[tuple[str, str]] = []
+    while (m := _ATTRIBUTE.match(html, at)) and not m[1]:
+        at = m.end()
+        attributes.append((m[2], m[3] or m[4] or m[5] or ""))
+    if m:
+        return attributes, html[m.end() - 2] == "/", m.end()
+    return attributes, False, -1
+
+
+def _tokens(html: str) -> Iterator[tuple[str, str, list[tuple[str, str]], bool, int]]:
+    """(kind, name or text, attributes, closes itself, where it ends): kind is "text", "start" or "end". Comments and declarations go.
+
+    A sender may answer with a place to go on from. A tag that the page's end cuts off is no text.
+    """
+    at = begun = 0
+    n = len(html)
+    while at < n:
+        lt = html.find("<", at)
+        after = html[lt + 1 : lt + 2] if lt >= 0 else ""
+        name = _NAME.match(html, lt + 2 if after == "/" else lt + 1) if lt >= 0 else None
+        if lt >= 0 and not name and after not in ("!", "?", "/"):
+            if after:
+                at = lt + 1
+                continue
+            lt = -1  # a sign at the very end
+        if lt < 0:
+            yield "text", html[begun:], [], False, n
+            return
+        if lt > begun:
+            yield "text", html[begun:lt], [], False, lt
+        if name:
+            attributes, own, end = _tag(html, name.end())
+            if end < 0:
+                return
+            to = yield "end" if after == "/" else "start", name[0].lower(), attributes, own, end
+            at = begun = to or end
+            continue
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 2)
+            at = begun = end + 3 if end >= 0 else n
+        else:
+            end = html.find(">", lt)
+            at = begun = end + 1 if end >= 0 else n
+
+
 def parse(html: str) -> _Node:
     """The tree of a page. Unclosed and misplaced tags are mended as browsers mostly do."""
     root = _Node("html", False)
-    stack, at, n = [root], 0, len(html)
-    taken: list[_Node] = []
-    while at < n:
-        m = _TOKEN.search(html, at)
-        start = m.start() if m else n
-        if start > at:
-            text = html[at:start]
-            # A tag cut off by the end of the page isn't text.
-            if not m and (lt := text.rfind("<")) >= 0 and re.match(r"</?[a-zA-Z!]", text[lt : lt + 3]):
-                text = text[:lt]
-            if text:
-                stack[-1].parts.append(text)
-        if not m:
+    stack, marks = [root], []
+    tokens, to = _tokens(html), None
+    while True:
+        try:
+            kind, tag, attributes, own, end = tokens.send(to)
+        except StopIteration:
             break
-        at = m.end()
-        closing, tag, attributes = m[1], m[2], m[3]
-        if tag is None:
+        to = None
+        if kind == "text":
+            stack[-1].parts.append(tag)
             continue
-        tag = tag.lower()
-        if closing:
+        if kind == "end":
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -152,8 +205,7 @@ def parse(html: str) -> _Node:
                     break
                 if open_tag in _BLOCK:
                     break
-        ends = tag in _SIBLINGS or tag == "option"
-        if ends:
+        if tag in _SIBLINGS:
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = stack[k].tag
                 if tag in _SIBLINGS.get(open_tag, _EMPTY):
@@ -161,39 +213,48 @@ def parse(html: str) -> _Node:
                     break
                 if open_tag in _SCOPES and open_tag not in _SIBLINGS:
                     break
-        in_article = tag == "header" and any(x.tag in ("article", "main") for x in stack)
+        if len(stack) >= _DEEPEST:
+            stack.pop()
         kept_tag = tag in ("html", "body", "article", "main")
         hidden, marked = _flags(attributes) if attributes else (False, False)
-        never = tag in _NEVER or tag == "header" and not in_article or hidden and not kept_tag
-        node = _Node(tag, never or marked and not kept_tag, marked and not never)
+        in_article = tag == "header" and any(x.tag in ("article", "main") for x in stack)
+        never = tag in _NEVER or hidden and not kept_tag
+        outside = tag in _OUTSIDE and tag != "form" or tag == "header" and not in_article
+        node = _Node(tag, never or outside or (marked or tag == "form") and not kept_tag, (marked or tag == "form") and not never and not outside)
         if node.marked and node.skip:
-            taken.append(node)
-        stack[-1].parts.append(node)
-        if tag in _VOID or m[4] and tag not in _BLOCK:
+            marks.append(node)
+        if not never:
+            stack[-1].parts.append(node)
+        if tag in _VOID or own and tag not in _BLOCK:
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            node.parts.append(html[at : end.start()] if end else html[at:])
-            at = end.end() if end else n
+            m = _raw_end(tag).search(html, end)
+            node.parts.append(html[end : m.start()] if m else html[end:])
+            to = m.end() if m else len(html)
             continue
         stack.append(node)
-    if taken:
-        _restore(root, taken)
+    if marks:
+        _restore(root, marks)
     return root
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I)
+
+
 class _Measure:
-    __slots__ = ("node", "chars", "tags", "link_chars", "link_tags", "children", "density", "total")
+    __slots__ = ("node", "chars", "tags", "link_chars", "link_tags", "children", "density", "total", "outside")
 
 
-def _measure(root: _Node) -> list[_Measure]:
-    """Counts for every kept node; children come before their parents."""
-    order, stack = [], [(root, False, None)]
-    made: dict[int, _Measure] = {}
+def measure(body: _Node) -> list[_Measure]:
+    """Counts and densities of every node; children come before their parents, the body is the last."""
+    order, stack = [], [(body, False, None)]
     while stack:
         node, linked, parent = stack.pop()
         m = _Measure()
         m.node, m.chars, m.tags, m.link_chars, m.link_tags, m.children = node, 0, 0, 0, 0, []
+        m.outside = parent.outside or node.skip if parent else False
         linked = linked or node.tag == "a"
         for part in node.parts:
             if isinstance(part, str):
@@ -201,10 +262,7 @@ def _measure(root: _Node) -> list[_Measure]:
                 m.chars += chars
                 m.link_chars += chars if linked else 0
         order.append((m, parent))
-        for part in node.parts:
-            if not isinstance(part, str) and not part.skip:
-                stack.append((part, linked, m))
-        made[id(node)] = m
+        stack.extend((part, linked, m) for part in node.parts if not isinstance(part, str))
     for m, parent in reversed(order):
         if parent is not None:
             parent.chars += m.chars
@@ -212,7 +270,12 @@ def _measure(root: _Node) -> list[_Measure]:
             parent.link_chars += m.link_chars
             parent.link_tags += m.link_tags + (m.node.tag == "a")
             parent.children.append(m)
-    return [m for m, _ in reversed(order)]
+    found = [m for m, _ in reversed(order)]
+    for m in found:
+        m.density = _density(m, found[-1])
+        # The text of a single block is its container's: a block without blocks has no sum.
+        m.total = sum(c.density for c in m.children if c.node.tag in _BLOCK)
+    return found
 
 
 def _density(m: _Measure, body: _Measure) -> float:
@@ -225,41 +288,74 @@ def _density(m: _Measure, body: _Measure) -> float:
     return m.chars / tags * log(m.chars / link_chars * tags / link_tags + e) / log(base + e)
 
 
-def main_node(root: _Node) -> _Node:
-    """The node with the largest density sum that reaches the threshold of its path."""
+def _is_menu(m: _Measure, threshold: float) -> bool:
+    """A block, mostly of links, below the threshold."""
+    return m.node.tag in _GROUPS and m.link_tags > 1 and m.link_chars * 2 > m.chars and m.density < threshold
+
+
+def _is_talk(m: _Measure, threshold: float) -> bool:
+    """A container of comments: its first words say so, or it is below the threshold and its entries start with a name."""
+    if m.node.tag not in ("div", "section", "ul", "ol", "details"):
+        return False
+    blocks = [c for c in m.children if c.node.tag in _BLOCK and c.chars]
+    if len(blocks) < 2:
+        return False
+    if blocks[0].chars <= 80 and _COMMENTS.fullmatch(" ".join(text_of(blocks[0].node).split())):
+        return True
+    named = [c for c in blocks if c.node.tag in ("div", "li", "section", "article") and _speaks(c.node)]
+    return m.density < threshold and len(named) > 1 and len(named) + 1 >= len(blocks)
+
+
+def _speaks(entry: _Node) -> bool:
+    """Whether a short inline element, a name or a time, comes before any other text of an entry of several parts."""
+    node, parts = entry, 0
+    while True:
+        inner = [x for x in node.parts if not isinstance(x, str) or x.strip()]
+        if not inner or isinstance(inner[0], str):
+            return False
+        parts += len(inner) - 1
+        node = inner[0]
+        if node.tag in _SPEAKER:
+            return parts > 0 and 0 < len(text_of(node)) <= 40
+
+
+def main_node(root: _Node) -> tuple[_Node, set[int]]:
+    """The main subtree, and the ids of the nodes in it that aren't main text."""
     body = next((p for p in root.parts if not isinstance(p, str) and p.tag == "body"), root)
-    measures = _measure(body)
+    measures = measure(body)
     top = measures[-1]
-    for m in measures:
-        m.density = _density(m, top)
     parent = {id(c): m for m in measures for c in m.children}
-    for m in measures:
-        # The text of a single block is its container's: a block without blocks has no sum.
-        m.total = sum(c.density for c in m.children if c.node.tag in _BLOCK)
-    parts = [m for m in measures if m.total] or [top]
-    best = max(parts, key=lambda m: m.total)
+    best = max((m for m in measures if m.total and not m.outside), key=lambda m: m.total, default=top)
     path, at = [best], best
     while id(at) in parent:
         at = parent[id(at)]
         path.append(at)
-    threshold = min(m.density for m in path)
-    around = next((m for m in path if m.node.tag in ("article", "main")), None)
+    threshold = min(m.density for m in path[1:] or path)
+    around = next((m for m in reversed(path) if m.node.tag == "article"), None) or next((m for m in path if m.node.tag == "main"), None)
     if around is not None:
-        return around.node
-    # Without such an element: go up while what stands beside is text and not links. Right below the body
-    # a container has to be as dense as the path; headings, paragraphs and lists needn't.
-    for up in path[1:]:
-        inner = up is not top
-        beside = [c for c in up.children if c is not best and c.chars and c.link_chars * 2 < c.chars]
-        own = any(isinstance(part, str) and part.strip() for part in up.node.parts)
-        if up.chars > best.chars and not (own or any(inner or c.density >= threshold or c.node.tag in _TEXT for c in beside)):
-            break
-        best = up
-    return best.node
+        best = around
+    else:
+        # Without such an element: go up while what stands beside is text, not menus nor talk. Right below the body
+        # a container has to be as dense as the path; headings, paragraphs and lists needn't.
+        for up in path[1:]:
+            inner = up is not top
+            beside = [c for c in up.children if c is not best and c.chars and not c.outside and c.link_chars * 2 < c.chars and not _is_talk(c, threshold)]
+            own = any(isinstance(part, str) and part.strip() for part in up.node.parts)
+            if up.chars > best.chars and not (own or any(inner or c.density >= threshold or c.node.tag in _TEXT for c in beside)):
+                break
+            best = up
+    dropped, stack = set(), list(best.children)
+    while stack:
+        m = stack.pop()
+        if m.outside or m.chars * 2 < best.chars and (_is_menu(m, threshold) or _is_talk(m, threshold)):
+            dropped.add(id(m.node))
+        else:
+            stack.extend(m.children)
+    return best.node, dropped
 
 
-def text_of(node: _Node) -> str:
-    """Its blocks, one a line; white space inside a block is one space."""
+def text_of(node: _Node, without: set[int] | frozenset[int] = frozenset()) -> str:
+    """Its blocks, one a line; white space inside a block is one space. Nodes with the ids ``without`` are left out."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -276,7 +372,7 @@ def text_of(node: _Node) -> str:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif not x.skip:
+        elif id(x) not in without:
             if x.tag == "br":
                 run.append(" ")
             elif x.tag in _BLOCK:
@@ -289,7 +385,7 @@ def text_of(node: _Node) -> str:
 
 def extract(html: str | None) -> str:
     """The main text of a page; empty for null, empty or text-less pages."""
-    return text_of(main_node(parse(html))) if html else ""
+    return text_of(*main_node(parse(html))) if html else ""
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

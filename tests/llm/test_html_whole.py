@@ -1,5 +1,8 @@
 """Whole articles: nested containers, layout classes, words in attribute values."""
 
+import math
+import time
+
 import pytest
 
 from lakeloom.llm import html
@@ -38,3 +41,94 @@ def test_marks_never_take_the_page():
         assert TEXT in html.extract(f"<body>{NAV}{page}</body>")
     comments = f"<section id=comments><article class=comment>{P}</article></section>"
     assert html.extract(f"<body><article><p>The text.</p></article>{comments}</body>") == "The text."
+
+
+MENU = "<div><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>About us</a></li></ul></div>"
+LINKS = "<div><a href=1>Older</a> <a href=2>Newer</a> <a href=3>More</a></div>"
+SAID = "<div><h3>What readers say</h3><p>Ann: very nice, thank you.</p><p>Bob: I do not agree.</p></div>"
+NAMED = "<ul><li><b>Ann</b> very nice</li><li><b>Bob</b> no, it is not</li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"{MENU}<div>{P}</div>", f"<div>{MENU}{P}</div>", f"<div>{MENU}<div>{P}</div></div>", f"<article>{P}{LINKS}</article>", f"<main>{MENU}{P}</main>",
+        f"<article>{P}{SAID}</article>", f"<div>{P}</div>{SAID}", f"<article>{P}{NAMED}</article>", f"<div class=post>{P}{NAMED}</div>",
+    ],
+)
+def test_density_leaves_unmarked_menus_and_comments(page):
+    """Nothing in these pages has a name that marks it."""
+    tree = html.parse(f"<body>{page}")
+    assert html.text_of(*html.main_node(tree)) == TEXT != html.text_of(tree)
+
+
+def test_text_that_looks_like_marks_stays():
+    for inside in ("<section><h2>S</h2><p>Short one.</p></section><section><h2>S</h2><p>Short two.</p></section>", "<ul><li>one</li><li>two, with <a href=1>a link</a></li></ul>", "<p>A <label>b</label> c</p>", "<p class='notice-period'>x y</p>", "<fieldset><legend>L</legend>z</fieldset>"):
+        assert html.extract(f"<body>{NAV}<article>{P}{inside}</article>") == TEXT + "\n" + html.text_of(html.parse(inside))
+    assert html.extract("<p class=it's>Hello world. It's fine</p>") == "Hello world. It's fine"
+    assert html.extract("<p class=it's>Hello world.</p>") == "Hello world."
+    assert html.extract('<p title="open>Hello</p><p>world</p>') == "Hello\nworld"
+    assert html.extract("a < b and 1 <2 <") == "a < b and 1 <2 <"
+
+
+@pytest.mark.parametrize("piece", ['<i "', "<i '", "<a x='\"", "<", "<!--", "<!-", "<a ", "<script>", "<i>", "</p>", "<p>a", "<ul><li>", "&amp", "<i></p>", "= "])
+def test_reading_time_is_linear(piece):
+    """A quadratic reader takes minutes here."""
+    began = time.process_time()
+    html.extract(piece * (500_000 // len(piece)))
+    assert time.process_time() - began < 20
+
+
+def plain_density(node, body):
+    """(characters, tags, link characters, link tags, density) by definition, one recursion a node."""
+
+    def count(x, linked):
+        linked = linked or x.tag == "a"
+        c = t = lc = lt = 0
+        for part in x.parts:
+            if isinstance(part, str):
+                n = len(" ".join(part.split()))
+                c, lc = c + n, lc + n * linked
+            else:
+                a = count(part, linked)
+                c, t, lc, lt = c + a[0], t + a[1] + 1, lc + a[2], lt + a[3] + (part.tag == "a")
+        return c, t, lc, lt
+
+    c, t, lc, lt = count(node, any(x.tag == "a" and any(node is y for y in inside(x)) for x in inside(body)))
+    bc, _, blc, _ = count(body, False)
+    if not c:
+        return c, t, lc, lt, 0.0
+    base = math.log(c / max(c - lc, 1) * lc + blc / max(bc, 1) * c + math.e)
+    return c, t, lc, lt, c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1) + math.e) / math.log(base + math.e)
+
+
+def inside(node):
+    yield node
+    for part in node.parts:
+        if not isinstance(part, str):
+            yield from inside(part)
+
+
+@pytest.mark.parametrize("page", [f"<body>{NAV}<div>{MENU}{P}<p>with <a href=1>a <b>link</b></a></p></div>", f"<body><article>{P}{SAID}</article><a href=1><div>{NAMED}</div></a>"])
+def test_densities_and_sums_by_definition(page):
+    root = html.parse(page)
+    body = next(x for x in root.parts if not isinstance(x, str))
+    found = html.measure(body)
+    assert len(found) == len(list(inside(body)))
+    density = {}
+    for m in found:
+        c, t, lc, lt, d = plain_density(m.node, body)
+        assert (m.chars, m.tags, m.link_chars, m.link_tags) == (c, t, lc, lt)
+        density[id(m.node)] = d
+        assert m.density == pytest.approx(d)
+    for m in found:
+        assert m.total == pytest.approx(sum(density[id(x)] for x in m.node.parts if not isinstance(x, str) and x.tag in html._BLOCK))
+    best = max((m for m in found if not m.outside), key=lambda m: m.total)
+    assert html.text_of(best.node).startswith("word0")
+
+
+def test_clashing_columns_and_odd_pages(spark):
+    rows = [(1, "u", f"<article>{P}</article>", "a", 7, "b"), (1, "u", f"<article>{P}</article>", "a", 7, "b"), (None, None, None, "a", 7, None), (2, "", "", None, None, None), (3, "u", "<b>x", "", 0, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, _url string")
+    got = sorted(map(tuple, html.main_texts(df).collect()), key=repr)
+    assert got == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(None, None, "", 0), (2, "", "", 0), (3, "u", "x", 1)], key=repr)
