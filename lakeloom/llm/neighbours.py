@@ -256,7 +256,7 @@ def nearest(table: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     asked = cut(asked.join(classes, "v").select("query_id", "class", "v"))
     # A query is little data but some work, and so is a block: small tables too are spread over all tasks.
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = asked.groupBy("class").agg(F.first("v").alias("v")).repartition(tasks, "class")
+    first = asked.groupBy("class").agg(F.first("v").alias("v")).repartition(tasks)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         search, in_block, chunks = plan.value
