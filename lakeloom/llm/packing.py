@@ -5,21 +5,21 @@
 2. The histogram of piece lengths, ``capacity`` numbers at most, comes to the driver.
 3. Configuration LP: cover each length's count with as few configurations
    (multisets of lengths that fit) as possible. Multiplicative weights hold a
-   price for each length, which falls as the length is covered ahead of the others and rises as it lags; a knapsack
-   dynamic program over the prices gives the best configurations of a round.
-4. The fractional solution is rounded: whole parts, then the rest in order of the running
-   sum; what is over-covered is taken out of configurations, what is left goes best-fit into the free room.
-5. Pieces are numbered within their length (salted, so a common length is no
-   bottleneck) and look their place up in the plan's runs. The plan's size
-   depends on ``capacity`` and ``rounds``, not on the number of pieces.
+   price for each length, which falls as the length is covered and rises where it can't be; a knapsack
+   dynamic program over the prices gives the configurations that get amounts, and a lower bound.
+4. The fractional solution is rounded: whole parts, then one more at each whole number of the running
+   sum of the rest, nothing covered twice. What is left is covered and rounded again, the last pieces go best-fit into the free room.
+5. Pieces are numbered within their length (salted by the length's count) and look their place up in the plan's runs.
+   The plan's size depends on ``capacity`` and the LP's rounds, not on the number of pieces.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, id_back, id_text
 
 CAPACITY = 2048
-SALTS = 16
+#: Pieces of one length that a task numbers.
+SALT_ROWS = 100_000
 Config = tuple[int, ...]  # lengths, the largest first
 
 
@@ -137,83 +138,106 @@ def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[n
     return best, take
 
 
-def solve_lp(counts: np.ndarray, capacity: int, rounds: int = 12, rate: float = 1.0, reprice: int = 10) -> dict[Config, float]:
-    """A cover {configuration: amount} of almost all of ``counts`` (by length, from 0), nothing covered twice.
+@dataclass
+class Cover:
+    """A fractional solution of the configuration LP: every length is covered at least by its count."""
 
-    Round t of ``rounds`` brings every length to t / rounds of its count. Each
-    length that lags seeds a configuration, which the knapsack's best choice for its
-    remaining room completes; amounts stop where a length runs out, and prices are set anew.
+    amounts: dict[Config, float]
+    bound: float  # a lower bound on the number of sequences, from the prices
+
+    @property
+    def value(self) -> float:
+        return sum(self.amounts.values())
+
+    @property
+    def gap(self) -> float:
+        return self.value / self.bound - 1 if self.bound else 0.0
+
+
+def solve_lp(counts: np.ndarray, capacity: int, rounds: int = 6, rate: float = 0.3, near: float = 0.3, step: float = 0.02, batches: int = 240) -> Cover:
+    """Covers ``counts`` (by length, from 0) with fractional amounts of configurations, by multiplicative weights.
+
+    A length's price is its volume times a weight. An oracle call solves the knapsack at the present prices: its optimum
+    divides the prices' total value to a lower bound (the scaled prices are a solution of the dual), and every configuration
+    within ``near`` of the best that is left may be used: the best with each length. It gets what brings that length to the round's goal, t of
+    ``rounds`` parts of its count, but no length gets over its count. The weight of a length falls exponentially with its cover, at ``rate``;
+    one that no such configuration holds gains ``step``. What is not covered after ``batches`` calls is covered by configurations of one length.
     """
     lengths = np.flatnonzero(counts)[::-1]
+    if not len(lengths):
+        return Cover({}, 0.0)
     need = counts[lengths].astype(float)
-    covered, amounts = np.zeros(len(lengths)), defaultdict(float)
-    for t in range(1, rounds + 1):
-        goal = np.ceil(need * t / rounds)
-        for _ in range(reprice):
-            behind = np.flatnonzero(covered < goal)
-            if not len(behind):
-                break
-            # Multiplicative weights: a length's volume, times a factor that falls as its cover runs ahead.
-            prices = lengths / capacity * np.exp(-rate * (covered / need - t / rounds))
-            prices[covered >= need] = 0
-            _, take = _knapsack(lengths, prices, capacity)
-            blocked = False
-            for i in behind.tolist():
-                items, room = [i], capacity - int(lengths[i])
-                while take[room] >= 0:
-                    items.append(int(take[room]))
-                    room -= int(lengths[items[-1]])
-                many: dict[int, int] = defaultdict(int)
-                for j in items:
-                    many[j] += 1
-                wanted = np.ceil((goal[i] - covered[i]) / many[i])
-                x = min(wanted, min((need[j] - covered[j]) // c for j, c in many.items()))
-                blocked |= x < wanted
-                if x > 0:
-                    for j, c in many.items():
-                        covered[j] += c * x
-                    amounts[tuple(int(lengths[j]) for j in sorted(items))] += x
-            if not blocked:
+    gained, covered, bound = np.zeros(len(lengths)), np.zeros(len(lengths)), 0.0
+    amounts: dict[Config, float] = defaultdict(float)
+    t = 1
+    for k in range(batches):
+        prices = lengths / capacity * np.exp(gained - rate * (covered / need - t / rounds))
+        if k % 8 == 0:
+            bound = max(bound, float(need @ prices) / float(_knapsack(lengths, prices, capacity)[0][capacity]))
+        goal = need * t / rounds
+        best, take = _knapsack(lengths, np.where(covered < need * (1 - 1e-9), prices, 0), capacity)
+        worth = prices + best[capacity - lengths]
+        behind = covered < goal * (1 - 1e-9)
+        useful = behind & (worth >= (1 - near) * worth[behind].max(initial=0))
+        for i in np.flatnonzero(useful).tolist():
+            items, room = [i], capacity - int(lengths[i])
+            while take[room] >= 0:
+                items.append(int(take[room]))
+                room -= int(lengths[items[-1]])
+            many = Counter(items)
+            x = min((goal[i] - covered[i]) / many[i], min((need[j] - covered[j]) / c for j, c in many.items()))
+            if x > 1e-9 * need[i]:
+                for j, c in many.items():
+                    covered[j] += c * x
+                amounts[tuple(int(lengths[j]) for j in sorted(items))] += x
+        gained[behind & ~useful] += step
+        behind = covered < goal * (1 - 1e-9)
+        if not behind.any():
+            t += 1
+            if t > rounds:
                 break
-    return dict(amounts)
+    for i in np.flatnonzero(covered < need * (1 - 1e-9)).tolist():
+        copies = capacity // int(lengths[i])
+        amounts[(int(lengths[i]),) * copies] += (need[i] - covered[i]) / copies
+    return Cover(dict(amounts), bound)
 
 
-def round_plan(amounts: dict[Config, float], counts: np.ndarray, capacity: int) -> dict[Config, int]:
-    """Whole configurations that hold exactly ``counts``."""
-    left, plan = counts.copy(), defaultdict(int)
+def _fitting(config: Config, left: np.ndarray) -> int:
+    """How often ``config`` can be used without covering a length twice."""
+    return int(min(left[x] // c for x, c in Counter(config).items()))
+
+
+def round_cover(cover: Cover, left: np.ndarray, plan: dict[Config, int]) -> None:
+    """Adds whole configurations to ``plan`` and takes their lengths from ``left``; nothing is covered twice.
+
+    First the whole parts and, along the running sum of the rest, one more wherever it passes a whole number; then
+    any configuration of the cover that still fits, the larger amounts first.
+    """
     running = given = 0.0
-    queue: list[tuple[Config, int]] = []
-    for config in sorted(amounts, reverse=True):
-        whole = int(amounts[config])
-        running += amounts[config] - whole
+    tries: list[tuple[Config, int]] = []
+    for config in sorted(cover.amounts, reverse=True):
+        whole = int(cover.amounts[config])
+        running += cover.amounts[config] - whole
         extra = int(running + 1e-9) - int(given)
         given += extra
         if whole + extra:
-            queue.append((config, whole + extra))
-    queue.reverse()
-    while queue:  # what is covered already is taken out
-        config, k = queue.pop()
-        many: dict[int, int] = defaultdict(int)
-        for x in config:
-            many[x] += 1
-        fit = int(min(k, min(left[x] // c for x, c in many.items())))
-        if fit:
-            plan[config] += fit
-            for x, c in many.items():
-                left[x] -= c * fit
-        if fit < k:
-            short = {x: max(0, min(c, int(left[x]))) for x, c in many.items()}
-            rest = tuple(x for x in many for _ in range(short[x]))
-            if rest == config:
-                rest = rest[:-1]
-            if rest:
-                queue.append((rest, k - fit))
-    # Best fit of the rest, the longest first, into the free room of equal configurations at a time.
+            tries.append((config, whole + extra))
+    tries += [(config, 1) for config in sorted(cover.amounts, key=lambda c: (-cover.amounts[c], c))]
+    for config, k in tries:
+        if (n := min(k, _fitting(config, left))) > 0:
+            plan[config] += n
+            for x in config:
+                left[x] -= n
+
+
+def best_fit(left: np.ndarray, plan: dict[Config, int], capacity: int) -> dict[Config, int]:
+    """``plan`` with the pieces ``left`` too, the longest first, each into the least free room that holds it; equal configurations at a time."""
+    left = left.copy()
     free: dict[int, dict[Config, int]] = defaultdict(dict)
     for config, k in plan.items():
         free[capacity - sum(config)][config] = k
     has = np.zeros(capacity + 1, bool)
-    has[[f for f in free]] = True
+    has[list(free)] = True
     for length in np.flatnonzero(left)[::-1].tolist():
         while left[length]:
             at = int(has[length:].argmax()) + length
@@ -236,12 +260,21 @@ def round_plan(amounts: dict[Config, float], counts: np.ndarray, capacity: int)
     return {config: k for room in free.values() for config, k in room.items() if config and k}
 
 
-def make_plan(counts: np.ndarray, capacity: int, rounds: int = 12) -> dict[Config, int]:
-    """Configurations and how often each is used, for ``counts`` pieces of each length."""
-    counts = counts.astype(np.int64).copy()
-    full, counts[capacity] = int(counts[capacity]), 0
-    plan = round_plan(solve_lp(counts, capacity, rounds), counts, capacity)
-    return plan | ({(capacity,): full} if full else {})
+def make_plan(counts: np.ndarray, capacity: int, again: int = 4) -> dict[Config, int]:
+    """Configurations and how often each is used, for ``counts`` pieces of each length.
+
+    The LP's cover is rounded; what it leaves is covered and rounded ``again`` times, and its last pieces are fitted best.
+    """
+    left, plan = counts.astype(np.int64).copy(), defaultdict(int)
+    if left[capacity]:
+        plan[(capacity,)], left[capacity] = int(left[capacity]), 0
+    for k in range(1 + again):
+        before = int(left.sum())
+        if before:
+            round_cover(solve_lp(left, capacity) if not k else solve_lp(left, capacity, rounds=4, batches=12), left, plan)
+        if left.sum() > 0.9 * before:
+            break
+    return best_fit(left, plan, capacity)
 
 
 def _runs(plan: dict[Config, int], capacity: int) -> dict[str, np.ndarray]:
@@ -259,30 +292,33 @@ def _runs(plan: dict[Config, int], capacity: int) -> dict[str, np.ndarray]:
     return {"first": first, "rank": table[:, 1], "base": table[:, 2], "offset": table[:, 3]}
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", rounds: int = 12) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", salt_rows: int = SALT_ROWS) -> DataFrame:
     """``pieces`` (id, ``piece``, ``length`` from 1 to ``capacity``, further columns) with ``sequence_id`` and ``offset``.
 
     Every piece is placed once; the pieces of a sequence follow each other without
-    gaps from offset 0. Repeated rows are separate pieces. Pieces of one length may
-    change places only if they are equal in id and piece. An empty table gives no rows.
-    ``pieces`` is read twice: hand it over cut.
+    gaps from offset 0. Repeated rows are separate pieces. An empty table gives no rows.
+    A length has as many salts as its count needs, so that a task numbers about ``salt_rows`` pieces of it, whatever their ids.
+    ``pieces`` is read three times: hand it over cut.
     """
-    salt = F.pmod(F.xxhash64(F.lit(1), id_col, "piece"), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("_salt", salt)
-    counted = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in salted.groupBy("length", "_salt").count().collect():  # capacity x SALTS rows at most
-        counted[r["length"], r["_salt"]] = r["count"]
-    runs = _runs(make_plan(counted.sum(axis=1), capacity, rounds), capacity)
-    begin = np.cumsum(counted, axis=1) - counted
-    shared = pieces.sparkSession.sparkContext.broadcast((runs, begin))
-    kept = [c for c in pieces.columns]
-    numbered = salted.withColumn("_number", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece")) - 1)
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():  # capacity rows at most
+        counts[r["length"]] = r["count"]
+    runs = _runs(make_plan(counts, capacity), capacity)
+    shared = pieces.sparkSession.sparkContext.broadcast(runs)
+    n_salts = F.get(F.array(*[F.lit(int(n)) for n in np.maximum(1, -(-counts // salt_rows))]), F.col("length").cast("int"))
+    place_in_file = F.monotonically_increasing_id()  # fixed, as the pieces are
+    salted = pieces.withColumn("_row", place_in_file).withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), id_col, "piece", "_row"), n_salts))
+    key = ["length", "_salt"]
+    along = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begin = salted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(*key, (F.sum("_n").over(along) - F.col("_n")).alias("_begin"))
+    numbered = salted.withColumn("_number", F.row_number().over(Window.partitionBy(key).orderBy(id_col, "piece", "_row")) - 1).join(begin, key)
+    kept = list(pieces.columns)
+    numbered = numbered.select(*[F.col(f"`{c}`").cast("string") if c == id_col else F.col(f"`{c}`") for c in kept], (F.col("_begin") + F.col("_number")).alias("_rank"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs, begin = shared.value
+        runs = shared.value
         for pdf in batches:
-            lengths = pdf["length"].to_numpy()
-            rank = begin[lengths, pdf["_salt"].to_numpy()] + pdf["_number"].to_numpy()
+            lengths, rank = pdf["length"].to_numpy(), pdf["_rank"].to_numpy()
             at = np.empty(len(pdf), np.int64)
             for length in np.unique(lengths).tolist():
                 mine = lengths == length
@@ -292,7 +328,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", r
 
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     schema = ", ".join(f"`{name}` {'string' if name == id_col else kind}" for name, kind in kinds.items())
-    out = numbered.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"{schema}, sequence_id long, offset long")
+    out = numbered.mapInPandas(run, f"{schema}, sequence_id long, offset long")
     return out.withColumn(id_col, F.col(id_col).cast(kinds[id_col]))
 
 

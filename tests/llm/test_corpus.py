@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -200,6 +201,40 @@ def test_plans_hold_everything_in_few_sequences(seed):
     assert packing.make_plan(np.zeros(513, int), 512) == {}
 
 
+def test_linear_program_is_fractional_and_near_its_bound():
+    r = np.random.default_rng(9)
+    counts = np.bincount(np.minimum((r.lognormal(5.5, 1.0, 20_000)).astype(int) + 1, 1023), minlength=1025)
+    cover = packing.solve_lp(counts, 1024)
+    covered = np.zeros(1025)
+    for config, amount in cover.amounts.items():
+        assert sum(config) <= 1024 and amount > 0
+        for length in config:
+            covered[length] += amount
+    assert (covered >= counts * (1 - 1e-6)).all()
+    assert sum(a != round(a) for a in cover.amounts.values()) > len(cover.amounts) / 2
+    assert counts @ np.arange(1025) / 1024 - 1e-6 <= cover.bound <= cover.value and cover.gap < 0.01
+    left, plan = counts.copy(), defaultdict(int)
+    packing.round_cover(cover, left, plan)  # the rounding places most pieces, and none twice
+    assert (left >= 0).all() and left.sum() < 0.1 * counts.sum()
+    assert sum(k * len(c) for c, k in plan.items()) + left.sum() == counts.sum()
+    assert sum(packing.make_plan(counts, 1024).values()) <= 1.01 * cover.bound
+
+
+def test_bound_is_below_the_best_cover():
+    for lengths, best in (([1100] * 100 + [500] * 300, 150), ([700] * 20 + [1300] * 20, 20), ([2048] * 3, 3), ([1025] * 7, 7), ([1] * 5, 1)):
+        counts = np.bincount(lengths, minlength=2049)
+        plan = packing.make_plan(counts, 2048)
+        assert sum(plan.values()) == best and packing.solve_lp(counts, 2048).bound <= best + 1e-9
+
+
+def test_pack_of_one_common_length(spark):
+    """Equal pieces of one id in many salts: all get places of their own."""
+    pieces = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 3 == 0, 64).otherwise(20).cast("long").alias("length"), F.col("id").alias("ids"))
+    placed = packing.place(pieces.repartition(5).checkpoint(), capacity=64, salt_rows=100).toPandas()
+    assert sorted(placed["ids"]) == list(range(3000)) and not placed.duplicated(["sequence_id", "offset"]).any()
+    assert placed["sequence_id"].nunique() == 1000 + 667 and set(placed["offset"]) == {0, 20, 40}
+
+
 def test_pack(spark):
     from tokenizers import Tokenizer
 
