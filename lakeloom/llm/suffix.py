@@ -4,22 +4,24 @@ A byte is removed if a string of ``span`` bytes that covers it also starts earli
 
 1. Each window of ``span`` bytes names an anchor: the first position with the least hash of ``GRAM`` bytes
    in it. Equal windows name equal anchors, and the windows of an anchor follow each
-   other, so a document becomes a few (hash of the gram, hash of the bytes that its windows cover, place) rows.
-   They are dealt and sorted by hash. No window is lost and none is sampled.
-2. Of equal segments only the first goes on; all windows of the others start earlier too. A gram with one segment
-   needs no search. Whole copies, and what near copies share, end here.
-3. The other segments are dealt by gram. A shard joins its segments into one text, sorts its suffixes by induced sorting,
-   and computes the permuted common prefixes. Windows between which the
+   other, so a document becomes a few (hash of the gram, hash of the bytes that its windows cover, place) rows, dealt by the gram.
+   Grams that stand once drop out. No window is lost and none is sampled.
+2. The segments, the bytes that the other anchors' windows cover, are dealt by gram. A gram with more than ``hot_rows`` rows
+   is dealt again by the longer strings that ``PART`` windows share. Hashes only say what meets: nothing is removed before its bytes
+   are compared. Equal segments are represented by the first one, in a batch before the shuffle and in a shard after it.
+3. In a shard, runs of ``PART`` windows whose common string no other segment of the gram has can't repeat and are left out. The rest is joined into
+   one text, its suffixes are sorted by induced sorting, and permuted common prefixes are computed. Windows between which the
    common prefix stays at ``span`` or more are equal; all but the earliest are marked.
-   A gram with more than ``hot_rows`` segments is dealt again by the longer strings that ``PART`` windows share.
 4. Marked windows are united to spans a document. The texts are shuffled once: both joins with them use the same exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -154,11 +156,60 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.n
     return np.concatenate(parts)
 
 
-def suffix_array(raw: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The order of the suffixes of ``raw`` (bytes), right for their first ``depth`` bytes (all, if None).
+def _sort_names(names: list[int]) -> list[int]:
+    """The order of the suffixes of ``names`` (whole numbers from 0 on), by induced sorting with counted buckets; recursive and linear."""
+    n = len(names)
+    t = [x + 1 for x in names]
+    t.append(0)
+    small = bytearray(n + 1)
+    small[n] = 1
+    for i in range(n - 1, -1, -1):
+        small[i] = t[i] < t[i + 1] or (t[i] == t[i + 1] and small[i + 1])
+    counts = [0] * (max(t) + 1)
+    for x in t:
+        counts[x] += 1
+    ends = list(accumulate(counts))
+    lms = [i for i in range(1, n + 1) if small[i] and not small[i - 1]]
+
+    def induce(seeds: list[int]) -> list[int]:
+        order, at = [-1] * (n + 1), ends[:]
+        for i in reversed(seeds):
+            at[t[i]] -= 1
+            order[at[t[i]]] = i
+        at = [0, *ends[:-1]]
+        for k in range(n + 1):
+            i = order[k] - 1
+            if i >= 0 and not small[i]:
+                order[at[t[i]]] = i
+                at[t[i]] += 1
+        at = ends[:]
+        for k in range(n, -1, -1):
+            i = order[k] - 1
+            if i >= 0 and small[i]:
+                at[t[i]] -= 1
+                order[at[t[i]]] = i
+        return order
+
+    following = dict(zip(lms, [*lms[1:], n]))
+    named, name, last = {}, -1, None
+    for i in induce(lms):
+        if i in following:
+            piece = t[i : following[i] + 1]
+            if piece != last:
+                name, last = name + 1, piece
+            named[i] = name
+    if name + 1 == len(lms):
+        seeds = sorted(lms, key=named.get)
+    else:
+        seeds = [lms[k] for k in _sort_names([named[i] for i in lms])]
+    return induce(seeds)[1:]
+
+
+def suffix_array(raw: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of ``raw`` (bytes).
 
     Suffixes are classed as smaller or larger than the next; the leftmost smaller ones (LMS) are sorted by their substrings,
-    those recursively by doubling the names' reach; the rest is induced bucket by bucket, whole runs at a time.
+    and, where substrings repeat, recursively as a text of their names; the rest is induced bucket by bucket, whole runs at a time.
     """
     n = len(raw)
     if n == 0:
@@ -184,20 +235,11 @@ def suffix_array(raw: np.ndarray, depth: int | None = None) -> np.ndarray:
         k += 1
     same &= b != n
     names = np.concatenate([[0], np.cumsum(~same)])
+    if names[-1] + 1 == len(lms):
+        return _induce(t, small, ranked, 257)[1:]
     rank = np.empty(n + 1, np.int64)
     rank[ranked] = names
-    reduced = rank[lms]
-    reach = 1
-    while len(reduced) > 1 and int(reduced.max()) + 1 < len(reduced) and (depth is None or reach * 2 <= depth + 2):
-        behind = np.zeros(len(reduced), np.int64)
-        behind[: len(reduced) - reach] = reduced[reach:] + 1
-        key = reduced * (len(reduced) + 2) + behind
-        by = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(np.diff(key[by]) != 0)])
-        reduced = np.empty_like(reduced)
-        reduced[by] = fresh
-        reach *= 2
-    return _induce(t, small, lms[np.argsort(reduced, kind="stable")], 257)[1:]
+    return _induce(t, small, lms[np.array(_sort_names(rank[lms].tolist()))], 257)[1:]
 
 
 def permuted_common_prefixes(raw: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
@@ -223,11 +265,11 @@ def permuted_common_prefixes(raw: np.ndarray, order: np.ndarray, limit: int) ->
 
 
 def _repeats(segments: list[bytes], firsts: np.ndarray, docs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window) of the windows of distinct ``segments`` that also start earlier, by (doc, first + window)."""
+    """(segment, window) of the windows of ``segments`` that also start earlier, by (doc, first + window)."""
     raw = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     starts = np.cumsum(sizes) - sizes
-    order = suffix_array(raw, span)
+    order = suffix_array(raw)
     common = permuted_common_prefixes(raw, order, span)
     owner = np.repeat(np.arange(len(segments)), sizes)
     within = np.arange(len(raw)) - starts[owner]
@@ -242,45 +284,84 @@ def _repeats(segments: list[bytes], firsts: np.ndarray, docs: np.ndarray, span:
     return seg[by][repeat], window[by][repeat]
 
 
+def _runs(at: int, size: int, span: int) -> Iterator[tuple[int, int, int]]:
+    """(a, first, last) of each run of ``PART`` windows of a segment, from the anchor ``at`` outwards: all its windows hold the bytes from a + PART to a + span."""
+    last = size - span
+    for a in range(at - at // PART * PART - PART, last + 1, PART):
+        lo, hi = max(0, a + 1), min(last, a + PART)
+        if lo <= hi:
+            yield a, lo, hi
+
+
+def _may_repeat(keys: list[int], ats: list[int], segs: list[bytes], span: int) -> list[tuple[int, int, int]]:
+    """(segment, first, last) of the runs of windows that share a string, at one place from the anchor, with another segment of their key."""
+    owners: dict[tuple[int, int, bytes], list[tuple[int, int, int]]] = defaultdict(list)
+    for i, (key, at, seg) in enumerate(zip(keys, ats, segs)):
+        for a, lo, hi in _runs(at, len(seg), span):
+            owners[key, at - a, seg[a + PART : a + 1 + span]].append((i, lo, hi))
+    found = sorted(x for runs in owners.values() if len(runs) > 1 for x in runs)
+    out: list[tuple[int, int, int]] = []
+    for i, lo, hi in found:
+        if out and out[-1][0] == i and out[-1][2] + 1 == lo:
+            out[-1] = (i, out[-1][1], hi)
+        else:
+            out.append((i, lo, hi))
+    return out
+
+
 def _shard(span: int, shard_bytes: int):
-    def solve(keys: np.ndarray, docs: np.ndarray, firsts: np.ndarray, segs: list[bytes]) -> pd.DataFrame:
+    def first_of_equal(rows: list[tuple], spans: list[tuple[int, int, int]]) -> list[tuple]:
+        """Of ``rows`` (key, rid, first, at, seg) the earliest of each (key, at, seg); the others are marked whole."""
+        seen: set[tuple[int, int, bytes]] = set()
+        out = []
+        for row in sorted(rows, key=lambda x: x[1:3]):
+            key, rid, first, at, seg = row
+            if (key, at, seg) in seen:
+                spans.append((rid, first, first + len(seg)))
+            else:
+                seen.add((key, at, seg))
+                out.append(row)
+        return out
+
+    def solve(rows: list[tuple]) -> pd.DataFrame:
         spans: list[tuple[int, int, int]] = []
-        seen: dict[tuple[int, bytes], int] = {}
-        for i in np.lexsort((firsts, docs)).tolist():  # equal segments: the earliest stands for them
-            j = seen.setdefault((keys[i], segs[i]), i)
-            if j != i:
-                spans.append((docs[i], firsts[i], firsts[i] + len(segs[i])))
-        left = np.array(sorted(seen.values()))
-        left = left[np.isin(keys[left], [k for k, c in zip(*np.unique(keys[left], return_counts=True)) if c > 1])]
-        if len(left):
-            seg, window = _repeats([segs[i] for i in left], firsts[left], docs[left], span)
+        rows = first_of_equal(rows, spans)
+        many = Counter(x[0] for x in rows)
+        rows = [x for x in rows if many[x[0]] > 1]
+        keys, ats, segs = [x[0] for x in rows], [x[3] for x in rows], [x[4] for x in rows]
+        parts = [(keys[i], rows[i][1], rows[i][2] + lo, ats[i] - lo, segs[i][lo : hi + span]) for i, lo, hi in _may_repeat(keys, ats, segs, span)]
+        parts = first_of_equal(parts, spans)
+        if parts:
+            docs, firsts = np.array([x[1] for x in parts]), np.array([x[2] for x in parts])
+            seg, window = _repeats([x[4] for x in parts], firsts, docs, span)
             if len(seg):
                 by = np.lexsort((window, seg))
                 seg, window = seg[by], window[by]
                 cuts = np.flatnonzero((np.diff(seg) != 0) | (np.diff(window) != 1)) + 1
                 a, b = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(seg)]]) - 1
-                whose = left[seg[a]]
-                base = firsts[whose]
-                spans += list(zip(docs[whose], base + window[a], base + window[b] + span))
+                whose = seg[a]
+                spans += list(zip(docs[whose], firsts[whose] + window[a], firsts[whose] + window[b] + span))
         return pd.DataFrame(spans, columns=["rid", "a", "b"]).astype("int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held: list[tuple] = []
+        size = closed = 0  # the rows before ``closed`` are of keys that have ended
         for pdf in batches:
-            held.append(pdf)
-            size += int(pdf["seg"].map(len).sum())
-            if size < shard_bytes:
-                continue
-            whole = pd.concat(held, ignore_index=True)
-            last = whole["key"].iat[-1]
-            open_rows = whole["key"] == last  # its rows may go on
-            ready = whole[~open_rows]
-            held = [whole[open_rows]]
-            size = int(held[0]["seg"].map(len).sum())
-            if len(ready):
-                yield solve(ready["key"].to_numpy(), ready["rid"].to_numpy(), ready["first"].to_numpy(), ready["seg"].tolist())
-        if held and len(whole := pd.concat(held, ignore_index=True)):
-            yield solve(whole["key"].to_numpy(), whole["rid"].to_numpy(), whole["first"].to_numpy(), whole["seg"].tolist())
+            marks = pdf["seg"].isna()
+            if marks.any():
+                known = pdf[marks]
+                yield pd.DataFrame({"rid": known["rid"], "a": known["first"], "b": known["first"] + known["at"]})
+                pdf = pdf[~marks]
+            for row in zip(pdf["key"].tolist(), pdf["rid"].tolist(), pdf["first"].tolist(), pdf["at"].tolist(), pdf["seg"]):
+                if held and row[0] != held[-1][0]:
+                    closed = len(held)
+                    if size >= shard_bytes:
+                        yield solve(held)
+                        held, size, closed = [], 0, 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield solve(held)
 
     return run
 
@@ -293,14 +374,17 @@ def _anchor_rows(span: int, gram: int):
             pdf = pdf.sort_values("rid")
             got = [anchors(t, span, gram) for t in pdf["raw"]]
             key, segment, p, first, last = (np.concatenate(x) for x in zip(*got))
-            rid = np.repeat(pdf["rid"].to_numpy(), [len(x[0]) for x in got])
+            raws, doc = pdf["raw"].tolist(), np.repeat(np.arange(len(pdf)), [len(x[0]) for x in got])
+            rid = pdf["rid"].to_numpy()[doc]
             place = (p << 14) | ((p - first) << 7) | (last - first)
-            # Segments met earlier in this batch need no search: they are dealt at random, so common ones don't meet in one task.
+            # Segments equal to one before in this batch need no search: they are dealt at random, so common ones don't meet in one task.
             order = np.argsort(key ^ (segment * np.int64(0x5851F42D4C957F2D)), kind="stable")
+            likely = np.flatnonzero((key[order[1:]] == key[order[:-1]]) & (segment[order[1:]] == segment[order[:-1]])) + 1
             copy = np.zeros(len(key), bool)
-            copy[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (segment[order[1:]] == segment[order[:-1]])
+            same = [raws[doc[j]][first[j] : last[j] + span] == raws[doc[i]][first[i] : last[i] + span] and p[j] - first[j] == p[i] - first[i] for i, j in zip(order[likely - 1].tolist(), order[likely].tolist())]
+            copy[order[likely[np.array(same, bool)]]] = True
             key = np.where(copy, (rid ^ (place << 20)) * np.int64(0x2545F4914F6CDD1D), key)
-            yield pd.DataFrame({"key": key, "segment": segment, "rid": rid, "place": place, "copy": copy})
+            yield pd.DataFrame({"key": key, "rid": rid, "place": place, "copy": copy})
 
     return run
 
@@ -312,12 +396,12 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p, first, first + (place & 127)
 
 
-#: Flags of an anchor: its segment is to be searched; so, and its gram is hot; its segment was met before.
+#: Flags of an anchor: its segment is to be searched; so, and its gram is hot; it equals an earlier one.
 SEARCH, HOT, COPY = 0, 1, 2
 
 
 def _sift(hot_rows: int):
-    """Anchors sorted by (key, segment, rid, place) to flagged ones; those alone with their gram go.
+    """Anchors sorted by key to flagged ones; those alone with their gram go.
 
     At most ``hot_rows`` rows of the open gram are held back.
     """
@@ -326,7 +410,7 @@ def _sift(hot_rows: int):
         return pd.DataFrame({"rid": rows["rid"], "key": rows["key"], "place": rows["place"], "flag": flag}).astype({"flag": "int32"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = open_key = None
+        open_key = None
         held: list[pd.DataFrame] = []
         count = 0
 
@@ -341,34 +425,26 @@ def _sift(hot_rows: int):
                 pdf = pdf[~known]
             if not len(pdf):
                 continue
-            key, segment = pdf["key"].to_numpy(), pdf["segment"].to_numpy()
-            copy = np.empty(len(pdf), bool)
-            copy[0] = before == (key[0], segment[0])
-            copy[1:] = (key[1:] == key[:-1]) & (segment[1:] == segment[:-1])
-            before = (key[-1], segment[-1])
-            if copy.any():
-                yield out(pdf[copy], COPY)
-            rows = pdf[~copy]
-            if not len(rows):
-                continue
-            key = rows["key"].to_numpy()
+            key = pdf["key"].to_numpy()
             mine, last = key == open_key if open_key is not None else np.zeros(len(key), bool), key == key[-1]
             if mine.any():
                 count += int(mine.sum())
                 if count > hot_rows:
-                    yield out(pd.concat([*held, rows[mine]]), HOT)
+                    yield out(pd.concat([*held, pdf[mine]]), HOT)
                     held = []
                 else:
-                    held.append(rows[mine])
+                    held.append(pdf[mine])
                 if mine.all():
                     continue
             yield from close()
-            middle = rows[~mine & ~last]
+            middle = pdf[~mine & ~last]
             if len(middle):
-                _, at, n = np.unique(middle["key"].to_numpy(), return_inverse=True, return_counts=True)
-                n = n[at]
+                keys = middle["key"].to_numpy()
+                edges = np.flatnonzero(np.diff(keys)) + 1
+                sizes = np.diff(np.concatenate([[0], edges, [len(keys)]]))
+                n = np.repeat(sizes, sizes)
                 yield out(middle[n > 1], np.where(n > hot_rows, HOT, SEARCH)[n > 1])
-            open_key, count, held = key[-1], int(last.sum()), [rows[last]]
+            open_key, count, held = key[-1], int(last.sum()), [pdf[last]]
             if count > hot_rows:
                 yield out(held[0], HOT)
                 held = []
@@ -378,22 +454,37 @@ def _sift(hot_rows: int):
 
 
 def _segments(span: int):
+    """(key, rid, first, at, seg) of the anchors to search: ``at`` is the anchor's place in the segment.
+
+    Of equal rows of a batch only the earliest goes on; for the others ``seg`` is null and ``at`` their bytes, all of which repeat.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out: list[tuple] = []
+            seen: set[tuple[int, int, bytes]] = set()
+
+            def add(key: int, rid: int, first: int, at: int, seg: bytes) -> None:
+                if (key, at, seg) in seen:
+                    out.append(((rid ^ (first << 20)) * 0x2545F4914F6CDD1D % (1 << 63), rid, first, len(seg), None))
+                else:
+                    seen.add((key, at, seg))
+                    out.append((key, rid, first, at, seg))
+
+            pdf = pdf.sort_values("rid")
             for rid, raw, keys, places, flags in zip(pdf["rid"].tolist(), pdf["raw"], pdf["keys"], pdf["places"], pdf["flags"]):
-                for flag, key, p, first, last in zip(*(x[flags != COPY].tolist() for x in (flags, keys, *_unpack(places)))):
+                live = np.flatnonzero(flags != COPY)
+                live = live[np.argsort(places[live], kind="stable")]
+                for flag, key, p, first, last in zip(*(x[live].tolist() for x in (flags, keys, *_unpack(places)))):
                     if flag == SEARCH:
-                        out.append((key, rid, first, raw[first : last + span]))
+                        add(key, rid, first, p - first, raw[first : last + span])
                         continue
-                    for a in range(p - (p - first) // PART * PART - PART, last + 1, PART):
-                        # Windows from a + 1 to a + PART share the bytes between.
-                        lo, hi = max(first, a + 1), min(last, a + PART)
-                        if lo <= hi:
-                            name = hashlib.blake2b(raw[a + PART : a + 1 + span] + (p - a).to_bytes(4, "little"), digest_size=8).digest()
-                            out.append((int.from_bytes(name, "little", signed=True), rid, lo, raw[lo : hi + span]))
+                    for a, lo, hi in _runs(p - first, last - first + span, span):
+                        a, lo, hi = a + first, lo + first, hi + first
+                        name = hashlib.blake2b(raw[a + PART : a + 1 + span] + (p - a).to_bytes(4, "little"), digest_size=8).digest()
+                        add(int.from_bytes(name, "little", signed=True), rid, lo, p - lo, raw[lo : hi + span])
             for at in range(0, len(out), 20_000):
-                yield pd.DataFrame(out[at : at + 20_000], columns=["key", "rid", "first", "seg"])
+                yield pd.DataFrame(out[at : at + 20_000], columns=["key", "rid", "first", "at", "seg"])
 
     return run
 
@@ -424,7 +515,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, b
     return tied.join(index, tied["_id"].eqNullSafe(index["i"]) & (tied["tie"] == index["t"])).select("rid", "_id", "raw"), False
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_rows: int = 20_000, shard_bytes: int = 1_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_rows: int = 20_000, shard_bytes: int = 2_000_000) -> DataFrame:
     """For every row of ``docs``: id, ``raw`` (its bytes), ``starts`` and ``ends``: spans of bytes to remove, that may overlap, in no order.
 
     Texts are bytes in UTF-8, null is empty. Earlier means a smaller id, null ids last, or an earlier
@@ -435,11 +526,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Both joins with the texts are to see the same rows and columns, so that Spark shuffles them once.
     rows = rows.filter("rid IS NOT NULL").select("rid", "raw") if unique else rows
     once = rows if unique else rows.dropDuplicates(["rid"])
-    found = once.filter(F.length("raw") >= span).select("rid", "raw").mapInPandas(_anchor_rows(span, gram), "key long, segment long, rid long, place long, copy boolean")
-    flagged = found.repartition("key").sortWithinPartitions("key", "segment", "rid", "place").mapInPandas(_sift(hot_rows), "rid long, key long, place long, flag int")
+    found = once.filter(F.length("raw") >= span).select("rid", "raw").mapInPandas(_anchor_rows(span, gram), "key long, rid long, place long, copy boolean")
+    flagged = found.repartition("key").sortWithinPartitions("key").mapInPandas(_sift(hot_rows), "rid long, key long, place long, flag int")
     listed = flagged.groupBy("rid").agg(F.collect_list(F.struct("key", "place", "flag")).alias("x"))
     listed = listed.select(F.col("rid").alias("_rid"), F.col("x.key").alias("keys"), F.col("x.place").alias("places"), F.col("x.flag").alias("flags"))
-    segments = once.join(listed, once["rid"] == listed["_rid"]).select("rid", "raw", "keys", "places", "flags").mapInPandas(_segments(span), "key long, rid long, first long, seg binary")
+    segments = once.join(listed, once["rid"] == listed["_rid"]).select("rid", "raw", "keys", "places", "flags").mapInPandas(_segments(span), "key long, rid long, first long, at long, seg binary")
     marked = segments.repartition("key").sortWithinPartitions("key").mapInPandas(_shard(span, shard_bytes), "rid long, a long, b long")
     marked = marked.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("s")).select(F.col("rid").alias("_sid"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     copies = F.filter(F.arrays_zip("places", "flags"), lambda x: x["flags"] == COPY)
