@@ -9,7 +9,7 @@ so with ``BANDS`` = 32 bands of one row each the chance to miss it is below 0.72
 Windows without any shingle of any template can't match; they are left out before
 signatures are made, by one test of each shingle's hash. Windows
 that share a band with a template are verified on the words themselves. All of it is built-in functions; the templates
-are a fixed list, which is all that is broadcast.
+are a fixed list, which is all that is broadcast. Long texts are scanned in overlapping parts, which bounds a row.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .license_templates import TEMPLATES
 SHINGLE = 5
 BANDS = 32
 THRESHOLD = 0.8
+#: Words of a part of a text; a multiple of every stride in use, so that windows start alike in all parts.
+PART = 4096
 
 
 def words_of(text: Column) -> Column:
@@ -41,6 +43,12 @@ def _shingles(words: Column, made) -> Column:
     return F.transform(at, lambda i: made(*[F.get(words, i + k) for k in range(SHINGLE)]))
 
 
+def _parts(words: Column, overlap: int) -> Column:
+    """(base, words) of the parts of ``PART`` words that a long text is scanned in, each with the ``overlap`` words after it."""
+    bases = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(PART))
+    return F.transform(bases, lambda b: F.struct(b.alias("base"), F.slice(words, b + 1, PART + overlap).alias("words")))
+
+
 def _window(n: Column) -> Column:
     """The least power of two, from 2 on, with n <= 3/4 of it."""
     return F.greatest(F.lit(2), F.pow(F.lit(2.0), F.ceil(F.log2(n * 4 / 3.0) - 1e-9)).cast("int"))
@@ -95,17 +103,21 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str, str]] =
         )
     )
     rows = docs.select(F.col(id_col).alias("_id"), _once(words_of(F.col(text_col))).alias("words"))
-    rows = rows.select("_id", "words", _once(_shingles(F.col("words"), lambda *x: F.xxhash64(*x))).alias("hashes"))
+    rows = rows.select("_id", F.explode(_parts(F.col("words"), max(widths, default=0) + SHINGLE)).alias("p")).select("_id", "p.base", "p.words")
+    rows = rows.select("_id", "base", "words", _once(_shingles(F.col("words"), lambda *x: F.xxhash64(*x))).alias("hashes"))
     rows = rows.filter(F.arrays_overlap("hashes", F.array(*[F.lit(h) for h in known]).cast("array<long>")))
     hits = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.get("hashes", i).isin(known))
     starts = [_windows_over(F.col("hits"), width) for width in widths]
-    windows = rows.select("_id", "words", "hashes", _once(hits).alias("hits")).select("_id", "words", "hashes", _once(F.concat(*starts)).alias("windows")) if widths else rows.withColumn("windows", F.lit(None).cast("array<struct<width:int,start:int>>"))
+    windows = rows.select("_id", "base", "words", "hashes", _once(hits).alias("hits")).select("_id", "base", "words", "hashes", _once(F.filter(F.concat(*starts), lambda w: w["start"] < PART)).alias("windows")) if widths else rows.withColumn("windows", F.lit(None).cast("array<struct<width:int,start:int>>"))
     cut_out = F.transform(
         "windows",
-        lambda w: F.struct(w["width"].alias("width"), w["start"].alias("start"), F.slice("hashes", w["start"] + 1, w["width"]).alias("hashes"), F.slice("words", w["start"] + 1, w["width"] + (SHINGLE - 1)).alias("words")),
+        lambda w: F.struct(w["width"].alias("width"), (F.col("base") + w["start"]).alias("start"), F.slice("hashes", w["start"] + 1, w["width"]).alias("hashes"), F.slice("words", w["start"] + 1, w["width"] + (SHINGLE - 1)).alias("words")),
     )
     windows = windows.select("_id", F.explode(cut_out).alias("w")).select("_id", "w.*")
-    banded = windows.select("_id", "width", "start", "words", F.posexplode(_signature(F.col("hashes"))).alias("band", "value"))
+    bands = F.transform(_signature(F.col("hashes")), lambda v, i: F.struct(i.alias("band"), v.alias("value")))
+    values = sorted({v for r in fixed for v in r["bands"]})
+    # Only bands that some template has are rows: the words aren't copied for the others.
+    banded = windows.select("_id", "width", "start", "words", F.explode(F.filter(bands, lambda b: b["value"].isin(values))).alias("b")).select("_id", "width", "start", "words", "b.*")
     met = banded.join(shown, ["width", "band", "value"])
     met = met.groupBy("_id", "width", "start", "template_id").agg(*[F.first(c).alias(c) for c in ("words", "license", "shingles", "n_shingles")])
     held = F.size(F.array_intersect(_shingles(F.col("words"), lambda *x: F.concat_ws(" ", *x)), F.col("shingles")))
