@@ -61,17 +61,27 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, max_epochs:
     )
 
 
-def shard_quotas(draws: DataFrame, depth: int, seed: int) -> DataFrame:
+def shard_quotas(draws: DataFrame, depth: int, seed: int, n_draws: int = 0, window_rows: int = 1 << 18) -> DataFrame:
     """(source, shard, quota) from (source, draws), by the splitting tree of ``depth`` levels.
 
-    Its rows are block draws; the largest window holds all of them once, at the
-    root (a few thousand to a few million short rows: one for each block).
+    Its rows are block draws. A node of more than about ``window_rows`` of the ``n_draws`` draws is ranked in 64 slices of its random
+    order, whose counts are added up first, so that no window holds a whole large node; the ranks are the same.
     """
     tokens = draws.select("source", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))).alias("draw"), F.lit(0).alias("node"))
     for level in range(depth):
-        here = Window.partitionBy("node")
-        order = here.orderBy(F.xxhash64(F.lit(seed), F.lit(level), "source", "draw"), "source", "draw")
-        left = F.row_number().over(order) * 2 <= F.count(F.lit(1)).over(here) + 1
+        tokens = tokens.withColumn("order", F.xxhash64(F.lit(seed), F.lit(level), "source", "draw"))
+        if n_draws >> level > window_rows:
+            tokens = tokens.withColumn("slice", F.shiftright("order", 58))
+            node, along = Window.partitionBy("node"), Window.partitionBy("node").orderBy("slice")
+            slices = tokens.groupBy("node", "slice").agg(F.count(F.lit(1)).alias("n")).select(
+                "node", "slice", (F.sum("n").over(along) - F.col("n")).alias("before"), F.sum("n").over(node).alias("all")
+            )
+            inside = Window.partitionBy("node", "slice").orderBy("order", "source", "draw")
+            tokens = tokens.withColumn("rank", F.row_number().over(inside)).join(slices, ["node", "slice"]).withColumn("rank", F.col("rank") + F.col("before"))
+        else:
+            here = Window.partitionBy("node")
+            tokens = tokens.withColumn("rank", F.row_number().over(here.orderBy("order", "source", "draw"))).withColumn("all", F.count(F.lit(1)).over(here))
+        left = F.col("rank") * 2 <= F.col("all") + 1
         tokens = tokens.select("source", "draw", (F.col("node") * 2 + F.when(left, 0).otherwise(1)).alias("node"))
     return tokens.groupBy("source", F.col("node").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
@@ -82,7 +92,7 @@ def _row_key(docs: DataFrame, text_col: str) -> list[Column]:
     return [F.md5(clean_text(text_col)).alias("_md5"), F.xxhash64(*every, *[c.isNull() for c in every]).alias("_rest")]
 
 
-def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17, weights: Column | None = None, block_words: int = 1 << 16, max_blocks: int = 1 << 20, shard_words: int = 1 << 22) -> tuple[DataFrame, int]:
+def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17, weights: Column | None = None, block_words: int = 1 << 16, max_blocks: int = 1 << 20, shard_words: int = 1 << 22, max_shards: int = 1 << 16) -> tuple[DataFrame, int]:
     """See :func:`mix_plan`; also the number of shards."""
     if shards is not None and shards & (shards - 1):
         raise ValueError("shards must be a power of two")
@@ -96,7 +106,7 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
     total = sources.agg(F.sum("source_size")).head()[0] or 0
     if shards is None:
-        shards = 1 << max(0, (total // shard_words).bit_length())
+        shards = min(1 << max(0, (total // shard_words).bit_length()), max_shards)
     depth = shards.bit_length() - 1
     block_words = max(block_words, total // max_blocks)
     sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("int"))
@@ -121,7 +131,7 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
     per_source = blocks.groupBy("source").agg(F.sum("n_draws").alias("draws")).filter("draws > 0")
     along = Window.partitionBy("source").orderBy("shard")
-    ranges = shard_quotas(per_source, depth, seed + 3).withColumn("last", F.sum("quota").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranges = shard_quotas(per_source, depth, seed + 3, n_draws=total // block_words).withColumn("last", F.sum("quota").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ranges = ranges.select(F.col("source").alias("_source"), "shard", (F.col("last") - F.col("quota")).alias("first"), "last")
     placed = draws.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("number") > F.col("first")) & (F.col("number") <= F.col("last")))
     # At most MAX_EPOCHS + 1 draws a block.
@@ -149,7 +159,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     Returns id, ``source``, ``size`` (words; null text: 0), ``source_size``,
     ``target`` (its source's), ``taken`` (words, repeats counted) and
     ``draws``, an array of (pass, shard, words). ``shards`` is a power of two; by default
-    there are as many as make a shard about ``shard_words`` words. Blocks have ``block_words`` words,
+    there are as many as make a shard about ``shard_words`` words, ``max_shards`` at most; beyond that shards grow. Blocks have ``block_words`` words,
     more where they would number over ``max_blocks``: that bounds the tree, whatever the size of the corpus.
     Null is a source of its own, the last. Empty documents are taken 0 words,
     a source of only empty ones has target 0. Equal rows are mixed as separate
