@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 
@@ -20,11 +21,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the cluster's checkpoint folder, its lineage cut.
 
     The folder is the one in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is used.
+    unset on one machine (a local master, as in tests) a temporary folder is used; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -42,5 +46,6 @@ def id_text(id_col: str) -> Column:
     return F.col(id_col).cast("string").alias("_id")
 
 
-def id_back(id_col: str) -> Column:
-    return F.col("_id").cast("long").alias(id_col)
+def id_back(docs: DataFrame, id_col: str) -> Column:
+    """The id of a Python batch in the type that it has in ``docs``: any that Spark casts to text and back."""
+    return F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col)

@@ -402,4 +402,4 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
     rows = pages.select(id_text(id_col), F.col("url").alias("_url"), F.col(html_col).alias("_html"))
     out = rows.mapInPandas(run, "_id string, _url string, text string, n_chars long")
-    return out.select(id_back(id_col), F.col("_url").alias("url"), "text", "n_chars")
+    return out.select(id_back(pages, id_col), F.col("_url").alias("url"), "text", "n_chars")

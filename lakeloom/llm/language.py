@@ -4,11 +4,12 @@ Blended spectrum: two texts are compared by the character n-grams, n from 1 to
 ``MAX_N``, that both contain (presence, not counts), over the cosine of the
 presence vectors. Landmarks give Nyström features, a ridge regression
 for each language against the rest is solved on them, and documents are
-scored in batches by two matrix products. The n-grams are hashed to ``BUCKETS``.
+scored in batches by two matrix products. N-grams are told apart by 64 bits of hash; as only those of the landmarks can be shared with
+one, a document is a row over the landmarks' n-grams and the number of its own.
 
 The model is fitted on a bounded sample: ``per_lang`` labelled rows of each
-language (those with the smallest hash of the id), ``landmarks`` of them landmarks. Their presence bits,
-a few kilobytes each, are all that comes to the driver.
+language (those with the smallest hash of the id), the first ``landmarks`` of them, shared among the languages, being landmarks. The landmarks' n-grams and a
+bit for each of them and row are all that comes to the driver.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_back, id_text
+from .common import cut, id_back, id_text
 
-BUCKETS = 1 << 15
 MAX_N = 3
 #: Texts are read in pieces of so many characters, with an overlap; all of a text is read.
 PIECE = 1 << 19
@@ -41,11 +41,11 @@ def _letters() -> np.ndarray:
     return out
 
 
-def presence(text: str | None) -> np.ndarray | None:
-    """The n-gram buckets present in the text, as booleans; None if it has no letter."""
+def grams(text: str | None) -> np.ndarray | None:
+    """The hashes of the n-grams in the text, in order, each once; None if it has no letter."""
     if not text:
         return None
-    seen, found = np.zeros(BUCKETS, bool), False
+    seen, found = [], False
     for at in range(0, len(text), PIECE):
         codes = np.frombuffer(text[max(0, at - MAX_N + 1) : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         plain = _letters()[np.minimum(codes, 0xFFFF)]
@@ -58,49 +58,74 @@ def presence(text: str | None) -> np.ndarray | None:
         keep[1:] |= inner[:-1]  # one space after each word
         plain = plain[keep]
         gram = plain * np.uint64(0x9E3779B97F4A7C15)
-        seen[(gram >> np.uint64(49)).astype(np.int64)] = True
+        here = [gram]
         for n in range(1, MAX_N):
             gram = (gram[:-1] ^ (gram[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + plain[n:] * np.uint64(0x9E3779B97F4A7C15)
-            seen[(gram >> np.uint64(49)).astype(np.int64)] = True
-    return seen if found else None
+            here.append(gram)
+        seen.append(np.unique(np.concatenate(here)))
+    if not found:
+        return None
+    return seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen))
+
+
+def _places(vocabulary: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where in the sorted ``vocabulary`` the hashes ``found`` are; those that aren't are left out."""
+    at = np.searchsorted(vocabulary, found)
+    at[at == len(vocabulary)] = 0
+    return at[vocabulary[at] == found]
 
 
 @dataclass
 class KernelModel:
     languages: list[str]
-    landmarks: np.ndarray  # buckets x m, float32, columns of unit length
+    vocabulary: np.ndarray  # the landmarks' n-grams, sorted
+    landmarks: np.ndarray  # vocabulary x m, float32, columns of unit length
     weights: np.ndarray  # m x languages: Nyström map times ridge solution
 
-    def margins(self, seen: np.ndarray) -> np.ndarray:
-        """``seen``: documents x buckets, booleans."""
-        kernel = (seen.astype(np.float32) @ self.landmarks) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True), 1))
-        return kernel.astype(np.float64) @ self.weights
-
-
-def _unit(bits: list[bytes]) -> np.ndarray:
-    """Presence vectors of unit length, from packed bits."""
-    seen = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)
-    return seen.astype(np.float32) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True, dtype=np.float32), 1))
-
-
-def fit(bits: list[bytes], langs: list[str], landmarks: int = 128, ridge: float = 0.1) -> KernelModel:
+    def margins(self, texts: list[np.ndarray]) -> np.ndarray:
+        """``texts``: the n-grams of each document."""
+        out = [np.empty((0, self.weights.shape[1]))]
+        step = max(1, (1 << 24) // len(self.vocabulary))
+        for at in range(0, len(texts), step):
+            part = texts[at : at + step]
+            seen = np.zeros((len(part), len(self.vocabulary)), np.float32)
+            for row, found in zip(seen, part):
+                row[_places(self.vocabulary, found)] = 1
+            kernel = (seen @ self.landmarks) / np.sqrt([[len(found)] for found in part])
+            out.append(kernel.astype(np.float64) @ self.weights)
+        return np.concatenate(out)
+
+
+def landmark_matrix(marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary, vocabulary x landmarks): the presence vectors of the landmarks, of unit length."""
+    vocabulary = np.unique(np.concatenate(marks))
+    land = np.zeros((len(vocabulary), len(marks)), np.float32)
+    for k, found in enumerate(marks):
+        land[np.searchsorted(vocabulary, found), k] = len(found) ** -0.5
+    return vocabulary, land
+
+
+def fit(vocabulary: np.ndarray, land: np.ndarray, bits: list[bytes], sizes: list[int], langs: list[str], ridge: float = 0.1) -> KernelModel:
     """Kernel ridge regression, one language against the rest, on Nyström features.
 
-    Rows are unpacked a block at a time.
+    ``bits``: each training row's presence over the vocabulary, packed, ``sizes`` the numbers of its n-grams. Rows are unpacked a block at a time.
     """
     names = sorted(set(langs))
     y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
-    each = max(1, landmarks // len(names))
-    marks = np.concatenate([np.flatnonzero([lang == name for lang in langs])[:each] for name in names])
-    land = np.ascontiguousarray(_unit([bits[i] for i in marks]).T)
     values, vectors = np.linalg.eigh((land.T @ land).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    phi = np.concatenate([(_unit(bits[at : at + 64]) @ land).astype(np.float64) for at in range(0, len(bits), 64)]) @ root
+
+    def kernel(at: int) -> np.ndarray:
+        part = np.frombuffer(b"".join(bits[at : at + 64]), np.uint8).reshape(-1, len(bits[0]))
+        seen = np.unpackbits(part, axis=1, count=len(vocabulary)).astype(np.float32)
+        return (seen @ land).astype(np.float64) / np.sqrt(np.array(sizes[at : at + 64], float))[:, None]
+
+    phi = np.concatenate([kernel(at) for at in range(0, len(bits), 64)]) @ root
     n_of = np.maximum((y > 0).sum(axis=0), 1)
     row = 1.0 / n_of[np.argmax(y, axis=1)]  # languages weigh alike
     row *= len(row) / row.sum()
     solved = np.linalg.solve((phi * row[:, None]).T @ phi + ridge * np.eye(phi.shape[1]), (phi * row[:, None]).T @ y)
-    return KernelModel(names, land, root @ solved)
+    return KernelModel(names, vocabulary, land, root @ solved)
 
 
 def predict(texts: list[str | None], model: KernelModel | None) -> tuple[list[str], np.ndarray]:
@@ -109,9 +134,9 @@ def predict(texts: list[str | None], model: KernelModel | None) -> tuple[list[st
     if model is None:
         return langs, scores
     for at in range(0, len(texts), 128):
-        got = [(at + i, s) for i, t in enumerate(texts[at : at + 128]) if (s := presence(t)) is not None]
+        got = [(at + i, g) for i, t in enumerate(texts[at : at + 128]) if (g := grams(t)) is not None]
         if got:
-            margins = model.margins(np.stack([s for _, s in got]))
+            margins = model.margins([g for _, g in got])
             top = margins.argmax(axis=1)
             odds = np.exp(4 * (margins - margins.max(axis=1, keepdims=True)))
             for (i, _), k, o in zip(got, top, odds):
@@ -120,19 +145,46 @@ def predict(texts: list[str | None], model: KernelModel | None) -> tuple[list[st
 
 
 def training_rows(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
-    """(lang, bits) of at most ``per_lang`` rows of each language with a letter in their text."""
-    ids = docs.filter(F.col(lang_col).isNotNull() & train).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).distinct()
-    by_hash = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit(5), "_id"), "_id")
-    chosen = ids.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= per_lang).select("_id", "_lang")
+    """(lang, n, text) of at most ``per_lang`` ids of each language, numbered by their hash; one text of each id."""
+    ids = docs.filter(F.col(lang_col).isNotNull() & train).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(5), id_col).alias("_hash")).distinct()
+    # In two steps, so that no task gets a whole language: first within 64 ranges of the hash.
+    for part in (["lang", F.shiftright("_hash", 58)], ["lang"]):
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy("_hash", "_id"))).filter(F.col("n") <= per_lang)
+    texts = docs.select(F.col(id_col).alias("_text_id"), F.col(text_col).alias("_text"))
+    # The chosen ids number per_lang for each language: a fixed bound.
+    met = texts.join(F.broadcast(ids), F.col("_text_id") == F.col("_id"))
+    return met.groupBy("_id", "lang", "n").agg(F.min("_text").alias("_text")).select("lang", "n", "_text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def learn(sample: DataFrame, landmarks: int, ridge: float) -> KernelModel | None:
+    """A model from (lang, n, _text); None without any letter."""
+
+    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [(i, lang, np.packbits(s).tobytes()) for i, lang, t in zip(pdf["_id"], pdf["_lang"], pdf["_text"]) if (s := presence(t)) is not None]
-            yield pd.DataFrame(got, columns=["_id", "lang", "bits"])
+            got = [(lang, n, g.tobytes()) for lang, n, t in zip(pdf["lang"], pdf["n"], pdf["_text"]) if (g := grams(t)) is not None]
+            yield pd.DataFrame(got, columns=["lang", "n", "grams"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    # The chosen ids number per_lang for each language: a fixed bound.
-    return texts.join(F.broadcast(chosen), "_id").select("_id", "_lang", "_text").mapInPandas(run, "_id long, lang string, bits binary")
+    names = sample.select("lang").distinct().count()
+    each = max(1, landmarks // max(names, 1))
+    marks = sorted(sample.filter(F.col("n") <= each).mapInPandas(full, "lang string, n int, grams binary").collect(), key=lambda r: (r["lang"], r["n"]))
+    if not marks:
+        return None
+    vocabulary, land = landmark_matrix([np.frombuffer(r["grams"], np.uint64) for r in marks])
+    shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = shared.value
+        for pdf in batches:
+            out = []
+            for lang, n, text in zip(pdf["lang"], pdf["n"], pdf["_text"]):
+                if (g := grams(text)) is not None:
+                    seen = np.zeros(len(vocabulary), bool)
+                    seen[_places(vocabulary, g)] = True
+                    out.append((lang, n, len(g), np.packbits(seen).tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "n", "size", "bits"])
+
+    rows = sorted(sample.mapInPandas(pack, "lang string, n int, size long, bits binary").collect(), key=lambda r: (r["lang"], r["n"]))
+    return fit(vocabulary, land, [bytes(r["bits"]) for r in rows], [r["size"] for r in rows], [r["lang"] for r in rows], ridge)
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None, per_lang: int = 400, landmarks: int = 128, ridge: float = 0.1) -> DataFrame:
@@ -144,10 +196,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in code point order; repeated rows score alike; an empty table gives no rows.
     """
     sample = training_rows(docs, train if train is not None else F.lit(True), id_col, text_col, lang_col, per_lang)
-    rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["_id"], bytes(r["bits"])))
-    model = None
-    if rows:
-        model = fit([bytes(r["bits"]) for r in rows], [r["lang"] for r in rows], landmarks, ridge)
+    model = learn(cut(sample), landmarks, ridge)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +205,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"_id": pdf["_id"], "lang_pred": langs, "score": scores})
 
     texts = docs.select(id_text(id_col), F.col(text_col).alias("_text"))
-    return texts.mapInPandas(run, "_id string, lang_pred string, score double").select(id_back(id_col), "lang_pred", "score")
+    return texts.mapInPandas(run, "_id string, lang_pred string, score double").select(id_back(docs, id_col), "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

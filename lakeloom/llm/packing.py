@@ -122,7 +122,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                 yield frame
 
     rows = docs.select(id_text(id_col), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id string, piece int, start long, length long, ids binary").select(id_back(id_col), "piece", "start", "length", "ids")
+    return rows.mapInPandas(run, "_id string, piece int, start long, length long, ids binary").select(id_back(docs, id_col), "piece", "start", "length", "ids")
 
 
 def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +297,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", s
 
     Every piece is placed once; the pieces of a sequence follow each other without
     gaps from offset 0. Repeated rows are separate pieces. An empty table gives no rows.
-    A length has as many salts as its count needs, so that a task numbers about ``salt_rows`` pieces of it, whatever their ids.
+    A length has as many salts as its count needs, so that a task numbers ``salt_rows`` pieces of it at most, whatever their ids.
     ``pieces`` is read three times: hand it over cut.
     """
     counts = np.zeros(capacity + 1, np.int64)
@@ -305,7 +305,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", s
         counts[r["length"]] = r["count"]
     runs = _runs(make_plan(counts, capacity), capacity)
     shared = pieces.sparkSession.sparkContext.broadcast(runs)
-    n_salts = F.get(F.array(*[F.lit(int(n)) for n in np.maximum(1, -(-counts // salt_rows))]), F.col("length").cast("int"))
+    # A salt holds a small part of a task's even share, or ``salt_rows`` on large tables.
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_salt = int(np.clip(counts.sum() // (4 * tasks), 16, salt_rows))
+    n_salts = F.get(F.array(*[F.lit(int(n)) for n in np.maximum(1, -(-counts // per_salt))]), F.col("length").cast("int"))
     place_in_file = F.monotonically_increasing_id()  # fixed, as the pieces are
     salted = pieces.withColumn("_row", place_in_file).withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), id_col, "piece", "_row"), n_salts))
     key = ["length", "_salt"]

@@ -83,7 +83,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pd.DataFrame({"_id": pdf["_id"], "x": [statistics(t) for t in pdf["_text"]]})
 
     rows = docs.select(id_text(id_col), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id string, x array<double>").select(id_back(id_col), "x")
+    return rows.mapInPandas(run, "_id string, x array<double>").select(id_back(docs, id_col), "x")
 
 
 @dataclass
@@ -142,7 +142,7 @@ def score(feats: DataFrame, model: Discriminant | None, id_col: str = "doc_id")
             scores = model.scores(x) if model else np.full(len(pdf), 0.5)
             yield pd.DataFrame({"_id": pdf["_id"], "score": scores, "predicted": (scores >= 0.5).astype(np.int32)})
 
-    return feats.select(id_text(id_col), "x").mapInPandas(run, "_id string, score double, predicted int").select(id_back(id_col), "score", "predicted")
+    return feats.select(id_text(id_col), "x").mapInPandas(run, "_id string, score double, predicted int").select(id_back(feats, id_col), "score", "predicted")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
@@ -154,12 +154,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     ``labels`` has (id, label); only those where ``train`` (a condition on the
     id; all by default) holds are learned from. Null and empty texts have statistics and so a score;
-    repeated rows score alike; labels that are null, unknown or of absent documents don't count. If a class has no rows, every score is 0.5.
+    repeated rows score alike; labels that are null, unknown or of absent documents don't count, nor do ids that have both labels; a label
+    that is repeated counts once. If a class has no rows, every score is 0.5.
     """
     feats = cut(features(docs, id_col, text_col))
     chosen = labels.select(F.col(id_col), F.col(label_col).alias("label"))
     chosen = chosen.filter(train) if train is not None else chosen
-    model = fit(feats.join(chosen.dropDuplicates([id_col]), id_col))
+    chosen = chosen.filter(F.col("label").isin(0, 1)).groupBy(id_col).agg(F.min("label").alias("label"), F.max("label").alias("_most"))
+    model = fit(feats.join(chosen.filter("label = _most").drop("_most"), id_col))
     return score(feats, model, id_col)
 
 

@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"_id": pdf["_id"], "fp": fps.view(np.int64)})
 
     rows = docs.select(id_text(id_col), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id string, fp long").select(id_back(id_col), "fp")
+    return rows.mapInPandas(run, "_id string, fp long").select(id_back(docs, id_col), "fp")
 
 
 class BKTree:

@@ -562,4 +562,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = repeated_spans(docs, id_col, text_col, **options).select(id_text(id_col), "raw", "starts", "ends")
     out = found.mapInPandas(run, "_id string, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return out.select(id_back(id_col), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    return out.select(id_back(docs, id_col), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")

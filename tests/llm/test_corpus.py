@@ -514,3 +514,96 @@ def test_large_and_null_ids_keep_their_value(spark):
     ]
     for f in frames:
         assert sorted((r[0] or 0 for r in f.select("doc_id").collect())) == [0, big, big + 1], f.columns
+
+
+def test_ids_of_any_type(spark):
+    df = docs(spark, ["a b c d", "a b c d", None, "x"]).withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id")))
+    ids = ["id-0", "id-1", "id-2", "id-3"]
+    labels = df.select("doc_id", (F.col("doc_id") < "id-2").cast("int").alias("quality"))
+    for out in (
+        quality.quality_scores(df, labels), language.language_scores(df), packing.pack(df, TOKENIZER), simhash.simhash_components(df), exact.exact_classes(df),
+        html.main_texts(df.withColumn("url", F.lit("u")), "doc_id", "text"), mixing.mix_plan(df),
+    ):
+        assert sorted(r[0] for r in out.select("doc_id").collect()) == ids
+
+
+# --- scale and odd rows --------------------------------------------------
+
+
+def test_kernel_model_is_the_plain_one():
+    """Kernel, Nyström map and ridge against their definitions on sets of n-grams."""
+    r = random.Random(21)
+    texts = [prose(r, 12, 60) for _ in range(24)] + ["".join(r.choice("щжюяфы ") for _ in range(80)) for _ in range(24)]
+    langs, found = ["a"] * 24 + ["b"] * 24, [language.grams(t) for t in texts]
+
+    def spectrum(text):
+        t = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + (" " if text and not text[-1].isalpha() else "")
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    sets = [spectrum(t) for t in texts]
+    assert [len(g) for g in found] == [len(s) for s in sets]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    marks = [*range(6), *range(24, 30)]
+    vocabulary, land = language.landmark_matrix([found[i] for i in marks])
+    bits, sizes = [], [len(g) for g in found]
+    for g in found:
+        seen = np.zeros(len(vocabulary), bool)
+        seen[language._places(vocabulary, g)] = True
+        bits.append(np.packbits(seen).tobytes())
+    model = language.fit(vocabulary, land, bits, sizes, langs, ridge=0.1)
+    values, vectors = np.linalg.eigh(kernel[np.ix_(marks, marks)])
+    phi = kernel[:, marks] @ vectors / np.sqrt(np.maximum(values, 1e-6))
+    y = np.where(np.arange(48) < 24, 1.0, -1.0)
+    solved = np.linalg.solve(phi.T @ phi + 0.1 * np.eye(12), phi.T @ np.stack([y, -y], axis=1))
+    assert np.allclose(model.margins(found), phi @ solved, atol=1e-3)
+    assert (model.margins(found).argmax(axis=1) == (np.arange(48) >= 24)).all()
+
+
+def test_language_of_long_texts_and_many_scripts(spark):
+    """Texts with more n-grams than any fixed table holds stay apart."""
+    r = random.Random(22)
+    script = lambda base, n: "".join(chr(base + r.randrange(6000)) for _ in range(n))
+    texts = [script(0x4E00, 300) for _ in range(20)] + [script(0x7000, 300) for _ in range(20)] + [script(0x4E00, 200_000), script(0x7000, 200_000)]
+    langs = ["x"] * 20 + ["y"] * 20 + [None, None]
+    got = {x["doc_id"]: x["lang_pred"] for x in language.language_scores(docs(spark, texts, langs=langs), per_lang=15).collect()}
+    assert [got[i] for i in range(42)] == ["x"] * 20 + ["y"] * 20 + ["x", "y"]
+
+
+def test_language_learns_from_few_ids_whatever_repeats(spark):
+    texts = ["the cat and the dog"] * 300 + ["der hund und die katze"] * 3
+    df = docs(spark, texts, ids=[1] * 300 + [2, 3, 4], langs=["en"] * 300 + ["de"] * 3)
+    assert language.training_rows(df, F.lit(True), "doc_id", "text", "lang", 2).count() == 3
+    assert {(x["doc_id"] == 1, x["lang_pred"]) for x in language.language_scores(df).collect()} == {(True, "en"), (False, "de")}
+
+
+def test_contradictory_labels_do_not_count(spark):
+    r = random.Random(23)
+    texts = [prose(r, 80) if i % 2 else "$$$ 123 ### " * 20 for i in range(40)]
+    df = docs(spark, texts)
+    clear = [(i, i % 2) for i in range(30)]
+    scores = []
+    for extra in ([], [(31, 0), (31, 1), (5, 1), (5, 1)], [(31, 1), (5, 1), (31, 0), (None, 1), (32, None), (33, 7)]):
+        labels = spark.createDataFrame([*extra, *clear], "doc_id long, quality int")
+        scores.append({x["doc_id"]: round(x["score"], 9) for x in quality.quality_scores(df, labels).collect()})
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_quotas_are_the_same_in_slices(spark):
+    draws = spark.createDataFrame([("a", 500), (None, 90), ("c", 7)], "source string, draws int")
+    want = rows(mixing.shard_quotas(draws, 4, 5))
+    assert rows(mixing.shard_quotas(draws, 4, 5, n_draws=597, window_rows=100)) == want
+    assert sum(r[2] for r in want) == 597
+
+
+def test_shards_are_bounded(spark):
+    df = docs(spark, ["a b c d e"] * 200, sources=["x", "y"] * 100)
+    assert mixing._plan(df, shard_words=1, max_shards=8)[1] == 8
+
+
+def test_licences_in_long_repetitive_texts(spark):
+    """A text of several parts, of notices only, and one notice over the border of two parts."""
+    body = licenses.TEMPLATES[0][2]
+    filler = "word " * (licenses.PART - 20)
+    texts = [" ".join([body] * 300), filler + body + " " + filler, "x " * 9000]
+    got = {(x["doc_id"], x["template_id"], round(x["containment"], 6)) for x in licenses.license_matches(docs(spark, texts)).collect()}
+    assert got == brute_licenses(texts) and {g[0] for g in got} == {0, 1}
