@@ -456,17 +456,19 @@ def _sift(hot_rows: int):
 def _segments(span: int):
     """(key, rid, first, at, seg) of the anchors to search: ``at`` is the anchor's place in the segment.
 
-    Of equal rows of a batch only the earliest goes on; for the others ``seg`` is null and ``at`` their bytes, all of which repeat.
+    Of equal rows of a batch only the earliest goes on; the bytes of the others all repeat: they make rows of united spans, with a null ``seg`` and
+    the length in ``at``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
+            marks: list[tuple[int, int]] = []
             seen: set[tuple[int, int, bytes]] = set()
 
             def add(key: int, rid: int, first: int, at: int, seg: bytes) -> None:
                 if (key, at, seg) in seen:
-                    out.append(((rid ^ (first << 20)) * 0x2545F4914F6CDD1D % (1 << 63), rid, first, len(seg), None))
+                    marks.append((first, first + len(seg)))
                 else:
                     seen.add((key, at, seg))
                     out.append((key, rid, first, at, seg))
@@ -483,6 +485,10 @@ def _segments(span: int):
                         a, lo, hi = a + first, lo + first, hi + first
                         name = hashlib.blake2b(raw[a + PART : a + 1 + span] + (p - a).to_bytes(4, "little"), digest_size=8).digest()
                         add(int.from_bytes(name, "little", signed=True), rid, lo, p - lo, raw[lo : hi + span])
+                if marks:
+                    starts, ends = unite(*np.array(marks, np.int64).T)
+                    out += [((rid ^ (a << 20)) * 0x2545F4914F6CDD1D % (1 << 63), rid, a, b - a, None) for a, b in zip(starts.tolist(), ends.tolist())]
+                    marks.clear()
             for at in range(0, len(out), 20_000):
                 yield pd.DataFrame(out[at : at + 20_000], columns=["key", "rid", "first", "at", "seg"])
 
@@ -515,7 +521,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, b
     return tied.join(index, tied["_id"].eqNullSafe(index["i"]) & (tied["tie"] == index["t"])).select("rid", "_id", "raw"), False
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_rows: int = 20_000, shard_bytes: int = 2_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_rows: int = 100_000, shard_bytes: int = 2_000_000) -> DataFrame:
     """For every row of ``docs``: id, ``raw`` (its bytes), ``starts`` and ``ends``: spans of bytes to remove, that may overlap, in no order.
 
     Texts are bytes in UTF-8, null is empty. Earlier means a smaller id, null ids last, or an earlier
