@@ -25,16 +25,19 @@ def upsert(target: DataFrame | None, source: DataFrame, keys: Keys, sequence: Ke
 
     The source is deduplicated on the keys first (the largest ``sequence``, else the largest row).
     Columns that the source lacks keep the target's values in matched rows and are null in new ones; columns
-    new in the source are added.
+    new in the source are added. Null is a key like any other, so that an upsert that is run again changes nothing.
     """
     own = [c for c in source.columns if c not in keys]
     source = latest_by(source, keys, list(sequence) or own) if own else source.dropDuplicates(list(keys))
     if target is None:
         return source
     if set(target.columns) <= set(source.columns):
-        return target.join(source.select(*keys), list(keys), "left_anti").unionByName(source, allowMissingColumns=True)
-    marked = source.select(*keys, F.struct(*own).alias("_new"))
-    both = target.join(marked, list(keys), "full")
+        return target.alias("t").join(source.select(*keys).alias("s"), _same("t", "s", keys), "left_anti").unionByName(source, allowMissingColumns=True)
+    marked = source.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.struct(*own).alias("_new"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    both = target.join(marked, on, "full").withColumns({k: F.when(F.col("_new").isNotNull(), F.col(f"_key_{k}")).otherwise(F.col(k)) for k in keys})
     columns = [c for c in target.columns] + [c for c in own if c not in target.columns]
     value = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c) if c in target.columns else F.lit(None)).alias(c)
     return both.select(*[F.col(c) if c in keys or c not in own else value(c) for c in columns])
@@ -83,7 +86,7 @@ def as_of(history: DataFrame, when: Column, start: str = "valid_from", end: str
 
 
 def snapshot(current: DataFrame, history: DataFrame | None, key: str, check: Keys, now: Column, start: str = "valid_from", end: str = "valid_to", row_id: str = "row_id") -> DataFrame:
-    """[C4] History by the check strategy: rows whose ``check`` columns changed are closed at ``now`` and opened anew."""
+    """[C4] History by the check strategy: rows whose ``check`` columns changed are closed at ``now`` and opened anew. Null is a key like any other."""
     def opened(df: DataFrame) -> DataFrame:
         return df.withColumns({start: now, end: F.lit(None).cast("timestamp"), row_id: F.md5(F.concat_ws("|", F.col(key).cast("string"), now.cast("string")))})
 
@@ -91,10 +94,10 @@ def snapshot(current: DataFrame, history: DataFrame | None, key: str, check: Key
         return opened(current)
     live = history.filter(F.col(end).isNull())
     same = _same("c", "h", check)
-    changed = current.alias("c").join(live.alias("h"), F.col(f"c.{key}") == F.col(f"h.{key}"), "left")
-    fresh = changed.filter(F.col(f"h.{key}").isNull() | ~same).select("c.*")
-    gone = changed.filter(F.col(f"h.{key}").isNotNull() & ~same).select(F.col(f"c.{key}").alias("_k")).withColumn("_closed", F.lit(True))
-    closed = history.join(gone, F.col(key) == F.col("_k"), "left")
+    changed = current.alias("c").join(live.withColumn("_known", F.lit(True)).alias("h"), F.col(f"c.{key}").eqNullSafe(F.col(f"h.{key}")), "left")
+    fresh = changed.filter(F.col("_known").isNull() | ~same).select("c.*")
+    gone = changed.filter(F.col("_known") & ~same).select(F.col(f"c.{key}").alias("_k")).withColumn("_closed", F.lit(True))
+    closed = history.join(gone, F.col(key).eqNullSafe(F.col("_k")), "left")
     closed = closed.withColumn(end, F.when(F.col("_closed") & F.col(end).isNull(), now).otherwise(F.col(end))).drop("_k", "_closed")
     return closed.unionByName(opened(fresh).select(*history.columns))
 
@@ -128,8 +131,9 @@ def incremental_merge(target: DataFrame, source: DataFrame, keys: Keys, date: st
     if backfill:
         fresh = source.filter(F.col(date).between(F.lit(backfill[0]).cast("date"), F.lit(backfill[1]).cast("date")))
     else:
-        last = target.agg(F.max(date).alias("_last"))
-        fresh = source.join(F.broadcast(last), F.col("_last").isNull() | (F.col(date) >= F.date_sub(F.col("_last"), lookback_days))).drop("_last")  # one row
+        # One value comes to the driver, so that the source's scan is filtered by a constant.
+        last = target.agg(F.to_date(F.max(date))).head()[0]
+        fresh = source if last is None else source.filter(F.col(date) >= F.date_sub(F.lit(last), lookback_days).cast(source.schema[date].dataType))
     return upsert(align(target, source.schema), fresh, keys)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,10 +55,23 @@ def split_text(text: str, size: int = 500, overlap: int = 50, separators: Sequen
     return [x for x in (p.strip() for p in out) if x]
 
 
-def section_at(text: str, position: int) -> str:
-    """The last heading of level 1 or 2 before a position, else 'Introduction'."""
-    found = _HEADING.findall(text, 0, position)
-    return found[-1].lstrip("#").strip() if found else "Introduction"
+def sections_at(text: str, pieces: Sequence[str]) -> list[str]:
+    """For each piece the last heading of level 1 or 2 before its first place in the text, else 'Introduction'.
+
+    Pieces follow each other in the text, so headings and places are found in one walk; a piece that was met before has its first place.
+    """
+    starts, names = [0], ["Introduction"]
+    for m in _HEADING.finditer(text):
+        starts.append(m.end())
+        names.append(m[0].lstrip("#").strip())
+    first: dict[str, int] = {}
+    out, at = [], 0
+    for piece in pieces:
+        if piece not in first:
+            at = max(text.find(piece, at), at)
+            first[piece] = at
+        out.append(names[bisect_right(starts, first[piece]) - 1])
+    return out
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: int = 500, overlap: int = 50) -> DataFrame:
@@ -68,8 +83,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         for pdf in batches:
             out = []
             for doc, source, text in zip(pdf["_id"], pdf["_source"], pdf["_text"]):
-                for i, piece in enumerate(split_text(text or "", size, overlap)):
-                    out.append((doc, source, i, f"{source}_chunk_{i}", piece, section_at(text, max(text.find(piece), 0))))
+                pieces = split_text(text or "", size, overlap)
+                for i, (piece, section) in enumerate(zip(pieces, sections_at(text or "", pieces))):
+                    out.append((doc, source, i, f"{source}_{doc}_chunk_{i}", piece, section))
             yield pd.DataFrame(out, columns=["_id", "source", "chunk_index", "chunk_id", "text", "section"])
 
     return rows.mapInPandas(run, f"_id {kind}, source string, chunk_index int, chunk_id string, text string, section string").withColumnRenamed("_id", id_col)
@@ -80,15 +96,40 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id") -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", block_rows: int = 20_000, query_rows: int = 2_000) -> DataFrame:
     """[R4] (query, rank, id, score): each query's ``k`` most similar vectors, exactly; ties to the smaller id.
 
-    A stated set of queries against all vectors: norms are computed once a vector, and each
-    task keeps only its best ``k`` a query before the shuffle. Zero vectors have no score.
+    A stated set of queries against all vectors: blocks of both meet, a block's similarities are one matrix product, and only its best ``k``
+    a query are shuffled. Vectors that are null, zero or hold a null have no score; only those of equal length are compared.
     """
-    unit = vectors.select(F.col(id_col).alias("_i"), F.col(vector_col).alias("_v"), F.sqrt(dot(vector_col, vector_col)).alias("_n")).filter("_n > 0")
-    asked = queries.select(F.col(query_col), F.col(vector_col).alias("_q"), F.sqrt(dot(vector_col, vector_col)).alias("_qn")).filter("_qn > 0")
-    scored = unit.join(asked).select(query_col, F.col("_i").alias(id_col), (dot("_v", "_q") / (F.col("_n") * F.col("_qn"))).alias("score"))
+    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
+
+    def blocks(df: DataFrame, name: str, rows: int) -> tuple[DataFrame, Column]:
+        v = F.col(vector_col).cast("array<double>")
+        sound = df.select(F.col(name).alias("_i"), v.alias("_v")).filter(F.forall("_v", lambda x: x.isNotNull()) & F.exists("_v", lambda x: x != 0))
+        n = max(1, -(-df.count() // rows))
+        return sound.select("_i", "_v", F.size("_v").alias("_dim"), F.pmod(F.xxhash64("_i"), F.lit(n)).cast("int").alias("_own")), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    (rows, all_rows), (asked, all_asked) = blocks(vectors, id_col, block_rows), blocks(queries, query_col, query_rows)
+    rows, asked = rows.withColumn("_row", F.col("_own")).withColumn("_ask", all_asked), asked.withColumn("_ask", F.col("_own")).withColumn("_row", all_rows)
+    key = ["_dim", "_row", "_ask"]
+
+    def unit(v: pd.Series) -> np.ndarray:
+        x = np.stack(v)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({query_col: [], id_col: [], "score": []})]
+        if len(asked) and len(rows):
+            rows = rows.sort_values("_i")
+            scores = unit(asked["_v"]) @ unit(rows["_v"]).T
+            for query, score in zip(asked["_i"], scores):
+                near = np.flatnonzero(score >= np.partition(score, len(score) - min(k, len(score)))[len(score) - min(k, len(score))])
+                near = near[np.argsort(-score[near], kind="stable")][:k]
+                out.append(pd.DataFrame({query_col: query, id_col: rows["_i"].to_numpy()[near], "score": score[near]}))
+        return pd.concat(out[1:] or out)
+
+    scored = asked.groupBy(key).cogroup(rows.groupBy(key)).applyInPandas(meet, f"`{query_col}` {kinds[query_col]}, `{id_col}` {kinds[id_col]}, score double")
     order = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -115,14 +156,19 @@ def history(messages: DataFrame, conversation: str = "conv_id", turn: str = "tur
     return grouped.select(conversation, F.concat_ws("\n", F.transform("m", lambda x: x["line"])).alias("context"), F.size("m").alias("n_messages"))
 
 
+#: The headings and the last sentence of a prompt.
+PROMPT_HISTORY, PROMPT_CONTEXT, PROMPT_QUESTION = "CONVERSATION HISTORY:", "RETRIEVED CONTEXT:", "QUESTION: "
+PROMPT_END = "Answer using only the context above."
+
+
 def prompts(questions: DataFrame, hits: DataFrame, contexts: DataFrame, key: str, instructions: str = "") -> DataFrame:
     """[R7] (key, prompt): instructions, history, chunks with source and section in order of rank, question."""
     line = F.concat(F.lit("[Source: "), "source", F.lit(" | Section: "), "section", F.lit("]\n"), "text", F.lit("\n\n"))
     found = hits.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "").alias("found"))
     joined = questions.join(contexts, key, "left").join(found, key, "left")
     prompt = F.concat(
-        F.lit(f"{instructions}\n\nCONVERSATION HISTORY:\n"), F.coalesce(F.concat("context", F.lit("\n")), F.lit("")),
-        F.lit("\nRETRIEVED CONTEXT:\n"), F.coalesce("found", F.lit("")), F.lit("QUESTION: "), F.col("question"), F.lit("\n\nAnswer using only the context above."),
+        F.lit(f"{instructions}\n\n{PROMPT_HISTORY}\n"), F.coalesce(F.concat("context", F.lit("\n")), F.lit("")),
+        F.lit(f"\n{PROMPT_CONTEXT}\n"), F.coalesce("found", F.lit("")), F.lit(PROMPT_QUESTION), F.col("question"), F.lit(f"\n\n{PROMPT_END}"),
     )
     return joined.select(key, prompt.alias("prompt"))
 

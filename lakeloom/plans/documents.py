@@ -62,18 +62,19 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.history(table(spark, sf_dir, "conversations"))
 
 
-@query("prompts", _HISTORY + """,
-    q AS (SELECT conv_id, arg_max(text, (turn, role, text)) AS question FROM conversations GROUP BY 1),
-    d AS (SELECT doc_id AS conv_id, '[Source: ' || source || ' | Section: Introduction]' || chr(10) || substr(text, 1, 200) || chr(10) || chr(10) AS found FROM documents)
-    SELECT q.conv_id, chr(10) || chr(10) || 'CONVERSATION HISTORY:' || chr(10) || coalesce(context || chr(10), '') || chr(10) || 'RETRIEVED CONTEXT:' || chr(10) || coalesce(found, '')
+@query("prompts", _HISTORY.replace("WITH", _TOP.rstrip() + ",", 1) + """,
+    asked AS (SELECT conv_id, arg_max(text, (turn, role, text)) AS question FROM conversations GROUP BY 1),
+    d AS (SELECT query_id AS conv_id, string_agg('[Source: ' || source || ' | Section: Introduction]' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank) AS found FROM t JOIN documents ON doc_id = vec_id GROUP BY 1)
+    SELECT asked.conv_id, chr(10) || chr(10) || 'CONVERSATION HISTORY:' || chr(10) || coalesce(context || chr(10), '') || chr(10) || 'RETRIEVED CONTEXT:' || chr(10) || coalesce(found, '')
            || 'QUESTION: ' || question || chr(10) || chr(10) || 'Answer using only the context above.' AS prompt
-    FROM q LEFT JOIN h USING (conv_id) LEFT JOIN d USING (conv_id)
+    FROM asked LEFT JOIN h USING (conv_id) LEFT JOIN d USING (conv_id)
 """)
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[R7] Prompts with history and one retrieved passage: the document of the conversation's number."""
+    """[R7] Prompts with history and the whole texts of the four documents whose vectors are nearest to the conversation's, in order of rank."""
     talks = table(spark, sf_dir, "conversations")
     questions = talks.groupBy("conv_id").agg(F.max_by("text", F.struct("turn", "role", "text")).alias("question"))
-    hits = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("rank"), "source", F.lit("Introduction").alias("section"), F.substring("text", 1, 200).alias("text"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.lit("Introduction").alias("section"), "text")
+    hits = _hits(spark, sf_dir).join(texts, "vec_id").select(F.col("query_id").alias("conv_id"), "rank", "source", "section", "text")
     return R.prompts(questions, hits, R.history(talks), "conv_id")
 
 

@@ -118,9 +118,8 @@ def incremental_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[C15] Rows from the day before the last one on, with a new column."""
     orders = table(spark, sf_dir, "orders")
-    target = orders.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).withColumn("_d", F.to_date("o_orderdate"))
-    source = orders.withColumn("_d", F.to_date("o_orderdate")).withColumn("note", F.concat(F.upper("o_orderstatus"), F.lit("!")))
-    return H.incremental_merge(target, source, ["o_orderkey"], "_d").drop("_d")
+    target = orders.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    return H.incremental_merge(target, orders.withColumn("note", F.concat(F.upper("o_orderstatus"), F.lit("!"))), ["o_orderkey"], "o_orderdate")
 
 
 @query("snapshot_check", f"""

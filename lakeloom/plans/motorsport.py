@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_number, clock_seconds, gap_seconds, is_digits, status_category
-from ..operators.joins import assemble, range_join
-from ..operators.rows import best_flag, change_from_previous, first_rows, gap_to_best, keep_top_entities
+from ..operators.joins import range_join
+from ..operators.rows import best_flag, change_from_previous, gap_to_best, keep_top_entities
 from .base import query, table, total
 
 _RACE = "r AS (SELECT cast(year(o_orderdate) AS INTEGER) AS season, l_orderkey AS race, o_orderdate, l_suppkey AS driver, l_linenumber AS position, l_quantity AS points, l_extendedprice AS lap_ms, l_returnflag AS status FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
@@ -49,11 +49,13 @@ def standings_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def driver_championship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[A7, A8, A9, W4, J10] Latest standing of each driver with counts and best place."""
-    latest = first_rows(standings(spark, sf_dir), ["season", "driver"], [F.desc("round")]).select("season", "driver", F.col("round").alias("latest_round"), "points")
-    r = results(spark, sf_dir)
-    counts = r.groupBy("season", "driver").agg(F.count_if(F.col("position") <= 3).alias("podiums"), F.count_if(F.col("status") == "R").alias("dnfs"), F.count_distinct("race").alias("races"))
-    best = r.groupBy("season", "driver").agg(F.min("position").alias("best_position"))
-    return assemble(latest, [counts, best], ["season", "driver"])
+    podium, dnf = F.count_if(F.col("position") <= 3), F.count_if(F.col("status") == "R")
+    # A race lies in one round, so that a driver's races add up over the rounds: one scan, aggregated step by step.
+    entries = results(spark, sf_dir).groupBy("season", F.month("o_orderdate").alias("round"), "driver", "race").agg(F.sum("points").alias("points"), podium.alias("podiums"), dnf.alias("dnfs"), F.min("position").alias("best"))
+    rounds = entries.groupBy("season", "driver", "round").agg(F.sum("points").alias("points"), *[F.sum(c).alias(c) for c in ("podiums", "dnfs")], F.count(F.lit(1)).alias("races"), F.min("best").alias("best"))
+    return rounds.groupBy("season", "driver").agg(
+        F.max("round").alias("latest_round"), F.max_by("points", "round").alias("points"), *[F.sum(c).alias(c) for c in ("podiums", "dnfs", "races")], F.min("best").alias("best_position")
+    )
 
 
 @query("constructor_championship", f"""
@@ -66,9 +68,8 @@ def constructor_championship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[A10]"""
     teams = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("driver"), F.col("s_nationkey").alias("team"))
     t = results(spark, sf_dir).join(teams, "driver").withColumn("round", F.month("o_orderdate"))
-    latest = first_rows(t.groupBy("season", "round", "team").agg(F.sum("points").alias("points")), ["season", "team"], [F.desc("round")])
-    counts = t.groupBy("season", "team").agg(F.count_if(F.col("position") <= 3).alias("podiums"), F.count_if(F.col("position") == 1).alias("wins"))
-    return assemble(latest.select("season", "team", F.col("round").alias("latest_round"), "points"), [counts], ["season", "team"])
+    rounds = t.groupBy("season", "round", "team").agg(F.sum("points").alias("points"), F.count_if(F.col("position") <= 3).alias("podiums"), F.count_if(F.col("position") == 1).alias("wins"))
+    return rounds.groupBy("season", "team").agg(F.max("round").alias("latest_round"), F.max_by("points", "round").alias("points"), F.sum("podiums").alias("podiums"), F.sum("wins").alias("wins"))
 
 
 @query("circuit_benchmarks", f"""
@@ -81,10 +82,12 @@ def constructor_championship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def circuit_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[A11, W5] Records, who set them, and the last winner of each circuit."""
     c = results(spark, sf_dir).withColumn("circuit", F.col("driver") % 20)
-    lap = first_rows(c, ["circuit"], [F.asc("lap_ms"), F.asc("driver"), F.asc("race"), F.asc("position")]).select("circuit", F.col("lap_ms").alias("record_ms"), F.col("driver").alias("record_driver"), F.col("season").alias("record_season"))
-    win = first_rows(c.filter("position = 1"), ["circuit"], [F.desc("o_orderdate"), F.desc("race"), F.asc("driver")]).select("circuit", F.col("driver").alias("last_winner"))
-    n = c.groupBy("circuit").agg(F.count_distinct("race").alias("races"), F.min("lap_ms").alias("best_ms"))
-    return assemble(n, [lap, win], ["circuit"])
+    record = F.min(F.struct("lap_ms", "driver", "race", "position", "season"))
+    won = F.when(F.col("position") == 1, F.struct("o_orderdate", "race", -F.col("driver")))
+    # Races are counted after one row a circuit and race is left: one scan, no window over a whole circuit.
+    races = c.groupBy("circuit", "race").agg(F.min("lap_ms").alias("best_ms"), record.alias("record"), F.max(F.when(won.isNotNull(), F.struct(won.alias("at"), "driver"))).alias("win"))
+    n = races.groupBy("circuit").agg(F.count(F.lit(1)).alias("races"), F.min("best_ms").alias("best_ms"), F.min("record").alias("r"), F.max("win").alias("w"))
+    return n.select("circuit", "races", "best_ms", F.col("r.lap_ms").alias("record_ms"), F.col("r.driver").alias("record_driver"), F.col("r.season").alias("record_season"), F.col("w.driver").alias("last_winner"))
 
 
 @query("stint_pivot", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hour_parts, safe_divide
 from ..operators.joins import lifecycle
 from ..operators.rows import first_rows, ranked
-from ..sources.files import affected_hours, after_mark, closed_hours, next_mark, pending
+from ..sources.files import affected_hours, after_mark, closed_window, next_mark, pending
 from .base import ntz, query, table, total
 
 
@@ -151,6 +151,6 @@ def hours_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def closed_hour_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[S17, S8] Events of the closed hours of a window of a day."""
-    hours = closed_hours(F.lit("2024-01-20 15:30:00").cast("timestamp"), 1440)
-    events = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    return events.filter(F.array_contains(hours, F.col("hour"))).groupBy(ntz("hour").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    first, end = closed_window(F.lit("2024-01-20 15:30:00").cast("timestamp"), 1440)
+    events = table(spark, sf_dir, "events").filter((F.col("ts") >= ntz(first)) & (F.col("ts") < ntz(end)))
+    return events.groupBy(ntz(F.date_trunc("hour", "ts")).alias("hour")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,6 @@
 """Streaming queries, run to the end over the files of ``events``; their results are read back from the sink.
 
-They have no SQL: what a watermark holds back is not part of an append output. Tests compare them with their batch twins.
+The files of a table are one batch, after which the watermark is the last event time less the delay; the SQL leaves out what it still holds back.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from .base import query, table
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams-")
+    """A new folder in the cluster's shared checkpoint folder; a temporary one only where that is unset on one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="streams-")
     return f"{base}/streams-{uuid.uuid4().hex}"
 
 
@@ -38,7 +42,13 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
 
 
-@query("stream_windows")
+_CLOSED = "date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL {} SECOND"
+
+
+@query("stream_windows", f"""
+    SELECT cast(date_trunc('day', ts) AS TIMESTAMP) AS window_start, cast(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, user_id, event_type, count(*) AS stream_count, max(ts) AS last_event
+    FROM events WHERE {_CLOSED.format(30)} GROUP BY 1, 2, 3, 4
+""")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[S1, S7, M1, M2, M5, M6] Counts and last event of each day, user and type."""
     measures = {"stream_count": F.count(F.lit(1)), "last_event": F.max("ts")}
@@ -52,7 +62,7 @@ def stream_top_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(run_to_end(W.tumbling(event_stream(spark, sf_dir), "ts", "1 day", ["event_type"], measures, "60 seconds")))
 
 
-@query("stream_dimensions")
+@query("stream_dimensions", "SELECT event_id, ts, user_id, n_name FROM events LEFT JOIN customer ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = c_nationkey")
 def stream_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[J15] A stream enriched with two static dimensions."""
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
@@ -61,7 +71,11 @@ def stream_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(run_to_end(out.select("event_id", "ts", "user_id", "n_name")))
 
 
-@query("stream_interval_join")
+@query("stream_interval_join", """
+    WITH s AS (SELECT user_id, event_id AS start_id, ts AS start_at FROM events WHERE event_type = 'signup'), e AS (SELECT user_id, event_id AS end_id, ts AS end_at FROM events WHERE event_type = 'purchase'),
+    j AS (SELECT s.*, end_id, end_at FROM s LEFT JOIN e ON e.user_id = s.user_id AND end_at >= start_at AND end_at <= start_at + INTERVAL 2 DAY)
+    SELECT * FROM j WHERE end_id IS NOT NULL OR start_at + INTERVAL 2 DAY < (SELECT least((SELECT max(start_at) FROM s), (SELECT max(end_at) FROM e))) - INTERVAL 2 DAY
+""")
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[J1, M1] Each signup with the user's purchases of the next two days; without one, once the watermark has passed."""
     events = event_stream(spark, sf_dir)
@@ -70,7 +84,10 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(run_to_end(W.order_lifecycle(starts, ends, "user_id", "start_at", "end_at", "2 days")))
 
 
-@query("stream_fan_out")
+@query("stream_fan_out", f"""
+    SELECT 'by_user' AS name, count(*) AS n FROM (SELECT DISTINCT date_trunc('day', ts), user_id FROM events WHERE {_CLOSED.format(30)})
+    UNION ALL SELECT 'by_type', count(*) FROM (SELECT DISTINCT date_trunc('day', ts), event_type FROM events WHERE {_CLOSED.format(30)}) UNION ALL SELECT 'rows', count(*) FROM events
+""")
 def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[M7, C11] One source, three queries with checkpoints of their own; row counts of their outputs."""
     folder, events = work_folder(spark), event_stream(spark, sf_dir)
@@ -83,7 +100,7 @@ def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("stream_scd1")
+@query("stream_scd1", "SELECT user_id, event_id, ts, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_scd1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[M9, M10, M11, C2] Changes of a stream merged into a type 1 table, a new snapshot for each batch."""
     folder = work_folder(spark)

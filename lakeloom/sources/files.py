@@ -19,9 +19,9 @@ def read(spark: SparkSession, path: str, schema: T.StructType | str, format: str
     return reader.schema(schema).format(format).options(**options).load(path)
 
 
-def queue_options(servers: str, topic: str, per_trigger: int | None = None) -> dict[str, str]:
-    """[S7] Options of ``readStream.format('kafka')``, from the earliest record on."""
-    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "failOnDataLoss": "false"}
+def queue_options(servers: str, topic: str, per_trigger: int | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+    """[S7] Options of ``readStream.format('kafka')``, from the earliest record on. Lost records stop the query unless ``fail_on_data_loss`` is false."""
+    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "failOnDataLoss": str(fail_on_data_loss).lower()}
     return out | ({"maxOffsetsPerTrigger": str(per_trigger)} if per_trigger else {})
 
 
@@ -114,9 +114,10 @@ def pending(files: DataFrame, manifest: DataFrame, key: str = "path") -> DataFra
     return files.join(manifest.select(key).distinct(), key, "left_anti")
 
 
-def merged_manifest(manifest: DataFrame, done: DataFrame, key: str = "path", cap: int = 100_000) -> DataFrame:
-    """[S15] Keys of both, once each; only the last ``cap`` in order stay."""
-    return manifest.select(key).union(done.select(key)).distinct().orderBy(F.desc(key)).limit(cap)
+def merged_manifest(manifest: DataFrame, done: DataFrame, key: str = "path", cap: int | None = None) -> DataFrame:
+    """[S15] Keys of both, once each. With a ``cap`` only the last ones in order stay: files of forgotten keys are pending again."""
+    keys = manifest.select(key).union(done.select(key)).distinct()
+    return keys if cap is None else keys.orderBy(F.desc(key)).limit(cap)
 
 
 def after_mark(files: DataFrame, modified: str, key: str, mark: tuple[object, str] | None) -> DataFrame:
@@ -139,6 +140,12 @@ def closed_hours(now: Column, cap_minutes: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(cap_minutes // 60 + 1)), lambda i: hour - F.make_dt_interval(hours=i))
 
 
+def closed_window(now: Column, cap_minutes: int) -> tuple[Column, Column]:
+    """[S17] The same hours as a range: from the first one's begin to the open hour's, excluded. Constants, if ``now`` is one, so that a scan skips by them."""
+    end = F.date_trunc("hour", now)
+    return end - F.make_dt_interval(hours=F.lit(cap_minutes // 60 + 1)), end
+
+
 def affected_hours(files: DataFrame, path: str, now: Column, cap_minutes: int | None) -> DataFrame:
     """[S18, M8] (hour, files, in_time): hours of the paths; in time while the age from the hour's end is at most the cap."""
     hour = files.select(hour_from_path(path).alias("hour")).filter("hour IS NOT NULL").groupBy("hour").agg(F.count(F.lit(1)).alias("files"))
