@@ -112,12 +112,11 @@ def clock_seconds(x: Column | str) -> Column:
 
 
 def gap_seconds(x: Column | str) -> Column:
-    """[X2] '+5.123' is 5.123; a leader's own time or an empty text is 0; laps behind and the rest are null."""
-    text = F.trim(_c(x))
+    """[X2] '+5.123' is 5.123; no text is 0; laps behind, clock times and the rest are null."""
+    text = _c(x)
     return (
-        F.when(text.isNull() | F.lower(text).contains("lap"), F.lit(None).cast("double"))
-        .when((text == "") | text.contains(":"), F.lit(0.0))
-        .otherwise(F.ltrim(text, F.lit("+")).try_cast("double"))
+        F.when(text.isNull() | (text == ""), F.lit(0.0))
+        .otherwise(F.ltrim(F.trim(text), F.lit("+")).try_cast("double"))
     )
 
 

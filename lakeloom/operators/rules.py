@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .rows import duplicate_keys
@@ -119,6 +119,21 @@ def history_report(history: DataFrame, keys: Sequence[str], start: str = "valid_
     return per_key.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("open") != 1).alias("not_one_open"), F.coalesce(F.sum("reversed"), F.lit(0)).alias("reversed"))
 
 
+def integrity_report(history: DataFrame, keys: Sequence[str], row_id: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """[Q14] One row: versions; keys without exactly one open version; versions that don't begin before they end, or begin before an earlier one of the key has ended; ids met more than once."""
+    before = Window.partitionBy(*keys).orderBy(F.col(start), F.col(end).asc_nulls_last(), F.col(row_id)).rowsBetween(Window.unboundedPreceding, -1)
+    overlap = F.coalesce(F.max(F.col(end).isNull()).over(before), F.lit(False)) | F.coalesce(F.col(start) < F.max(end).over(before), F.lit(False))
+    rows = history.withColumn("_overlap", overlap)
+    per_key = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(end).isNull()).alias("open"), F.count_if(F.col(start) >= F.col(end)).alias("reversed"), F.count_if("_overlap").alias("overlapping")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    report = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("versions"), F.count_if(F.col("open") != 1).alias("not_one_open"), total("reversed"), total("overlapping"))
+    ids = duplicate_keys(history, [row_id]).agg(F.count(F.lit(1)).alias("repeated_ids"))
+    passed = (F.col("not_one_open") + F.col("reversed") + F.col("overlapping") + F.col("repeated_ids")) == 0
+    return report.join(ids).withColumn("passed", passed)  # one row each
+
+
 def table_stats(df: DataFrame, name: str) -> DataFrame:
     """[Q16, A27] One row for the audit: table, rows, columns."""
     return df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"))

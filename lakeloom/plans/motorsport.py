@@ -202,6 +202,51 @@ def typed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("o_orderkey", clean_number("place", "bigint").alias("place"), clock_seconds("race").alias("race_s"), gap_seconds("gap").alias("gap_s"), status_category("status").alias("status"), is_digits("place").alias("has_digits"))
 
 
+#: Columns of typed race results, in order.
+RESULT_COLUMNS = (
+    "season", "round", "circuit_id", "race_name", "race_date", "driver_id", "driver_code", "driver_number", "constructor_id", "grid_position", "final_position", "is_classified",
+    "status", "status_category", "points", "laps_completed", "race_time_seconds", "gap_to_winner_seconds", "fastest_lap_rank", "fastest_lap_seconds", "fastest_lap_speed_kph", "ingested_at", "source_name",
+)
+
+
+def typed_race_results(raw: DataFrame, schedule: DataFrame) -> DataFrame:
+    """[P5, J2] Results as text, typed, with the circuit, name and date of their race; what can't be read is null."""
+    whole = {c: clean_number(c, "int").alias(c) for c in ("season", "round", "driver_number", "grid_position", "final_position", "laps_completed", "fastest_lap_rank")}
+    other = {
+        "race_date": F.try_to_timestamp("race_date", F.lit("yyyy-MM-dd")).cast("date"), "is_classified": is_digits("position_text"), "status_category": status_category(F.coalesce("status", F.lit(""))), "points": F.col("points").try_cast("double"),
+        "race_time_seconds": clock_seconds("race_time"), "gap_to_winner_seconds": gap_seconds("race_time"), "fastest_lap_seconds": clock_seconds("fastest_lap_time"), "fastest_lap_speed_kph": F.col("fastest_lap_speed").try_cast("double"),
+    }
+    joined = raw.join(schedule, ["season", "round"], "left")
+    return joined.select(*[whole[c] if c in whole else other[c].alias(c) if c in other else F.col(c) for c in RESULT_COLUMNS])
+
+
+@query("typed_race_results", """
+    WITH s AS (SELECT year(o_orderdate) AS season, month(o_orderdate) AS round, min(o_orderpriority) AS race_name, min(o_custkey) AS c, min(cast(o_orderdate AS DATE)) AS race_date FROM orders GROUP BY 1, 2)
+    SELECT cast(s.season AS INTEGER) AS season, cast(s.round AS INTEGER) AS round, 'c' || c AS circuit_id, race_name, strftime(race_date, '%Y-%m-%d') AS race_date, 'd' || l_suppkey AS driver_id, 'D' || l_suppkey % 10 AS driver_code, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE cast(l_suppkey AS INTEGER) END AS driver_number,
+        't' || l_suppkey % 10 AS constructor_id, cast(l_linenumber AS INTEGER) AS grid_position, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE cast(l_linenumber AS INTEGER) END AS final_position, l_orderkey % 7 <> 0 AS is_classified,
+        CASE l_returnflag WHEN 'A' THEN '+1 Lap' WHEN 'R' THEN 'Gearbox' ELSE 'Retired' END AS status, CASE l_returnflag WHEN 'A' THEN 'FINISHED' WHEN 'R' THEN 'RETIRED_MECHANICAL' ELSE 'OTHER' END AS status_category, cast(l_quantity AS DOUBLE) AS points, cast(l_quantity AS INTEGER) AS laps_completed,
+        CASE WHEN l_orderkey % 4 = 0 THEN 3600.0 + 60 * (l_partkey % 60) + 5.5 END AS race_time_seconds, CASE l_orderkey % 4 WHEN 2 THEN l_partkey % 90 + 0.25 WHEN 3 THEN 0.0 END AS gap_to_winner_seconds,
+        CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE cast(l_linenumber AS INTEGER) END AS fastest_lap_rank, CASE WHEN l_orderkey % 3 <> 0 THEN 60.0 + l_partkey % 60 + 0.5 END AS fastest_lap_seconds, CASE WHEN l_orderkey % 3 = 1 THEN 200.0 + l_suppkey % 50 END AS fastest_lap_speed_kph, '2024-02-01' AS ingested_at, 'api' AS source_name
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN s ON s.season = year(o_orderdate) AND s.round = month(o_orderdate)
+""")
+def all_typed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P5] All 23 columns, from text as an interface gives it."""
+    orders = table(spark, sf_dir, "orders").withColumns({"season": F.year("o_orderdate").cast("string"), "round": F.month("o_orderdate").cast("string")})
+    schedule = orders.groupBy("season", "round").agg(F.concat(F.lit("c"), F.min("o_custkey").cast("string")).alias("circuit_id"), F.min("o_orderpriority").alias("race_name"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("race_date"))
+    k, part, driver = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    line, laps = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    time = F.when(k % 4 == 0, text("1:", F.lpad((part % 60).cast("string"), 2, "0"), ":05.500")).when(k % 4 == 1, "+1 Lap").when(k % 4 == 2, text("+", part % 90, ".25")).otherwise("")
+    raw = table(spark, sf_dir, "lineitem").join(orders, k == F.col("o_orderkey")).select(
+        "season", "round", text("d", driver).alias("driver_id"), text("D", driver % 10).alias("driver_code"), F.when(driver % 11 == 0, "None").otherwise(text(driver)).alias("driver_number"), text("t", driver % 10).alias("constructor_id"),
+        line.alias("grid_position"), F.when(k % 7 == 0, "").otherwise(line).alias("final_position"), F.when(k % 7 == 0, "R").otherwise(line).alias("position_text"), F.col("l_quantity").cast("string").alias("points"), laps.alias("laps_completed"),
+        time.alias("race_time"), F.when(k % 3 == 0, "").otherwise(line).alias("fastest_lap_rank"), F.when(k % 3 == 0, "").otherwise(text("1:", F.lpad((part % 60).cast("string"), 2, "0"), ".500")).alias("fastest_lap_time"),
+        F.when(k % 3 == 1, text(driver % 50 + 200, ".0")).otherwise("").alias("fastest_lap_speed"), F.when(F.col("l_returnflag") == "A", "+1 Lap").when(F.col("l_returnflag") == "R", "Gearbox").otherwise("Retired").alias("status"),
+        F.lit("2024-02-01").alias("ingested_at"), F.lit("api").alias("source_name"),
+    )
+    return typed_race_results(raw, schedule).withColumn("race_date", F.col("race_date").cast("string"))
+
+
 @query("top_drivers_rounds", _STANDINGS + ", t AS (SELECT driver FROM s GROUP BY 1 ORDER BY max(points) DESC NULLS LAST, driver LIMIT 5) SELECT season, round, driver, points FROM s WHERE driver IN (SELECT driver FROM t)")
 def top_drivers_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[A26] Rounds of the five best drivers."""

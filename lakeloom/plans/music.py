@@ -56,6 +56,15 @@ def country_streams_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("metric_date"), F.coalesce("n_name", F.lit("unknown")).alias("user_country")).agg(F.count(F.lit(1)).alias("stream_count"), F.count_distinct("user_id").alias("unique_users"))
 
 
+@query("listeners_within_error", """
+    SELECT cast(event_id % 50 + 1 AS VARCHAR) AS track_id, count(DISTINCT CASE WHEN event_id % 7 = 0 THEN '' ELSE cast(user_id AS VARCHAR) END) AS listeners, true AS within FROM events GROUP BY 1
+""")
+def listeners_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[A24] Exact listeners, and whether the approximate count at a relative deviation of 5 % is within three of these (or one listener)."""
+    counts = _listens(spark, sf_dir).groupBy("track_id").agg(F.count_distinct("user_id").alias("listeners"), F.approx_count_distinct("user_id", 0.05).alias("near"))
+    return counts.select("track_id", "listeners", (F.abs(F.col("near") - F.col("listeners")) <= F.greatest(F.lit(1.0), F.col("listeners") * 0.15)).alias("within"))
+
+
 @query("approximate_listeners")
 def approximate_listeners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[A24] Approximate distinct counts; tests hold them against exact ones."""

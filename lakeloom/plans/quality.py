@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
+from ..operators import validators as V
 from ..operators.joins import orphans
 from ..operators.rows import duplicate_keys
 from .base import ntz, query, table
@@ -90,6 +91,94 @@ def history_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.history_report(event_history(spark, sf_dir), ["user_id"])
 
 
+_RESULTS = """
+    r AS (SELECT CASE WHEN l_suppkey % 40 = 0 THEN NULL ELSE l_suppkey END AS driver_id, year(o_orderdate) AS season, month(o_orderdate) AS round, l_quantity AS points, l_extendedprice / 300 AS fastest_lap_seconds,
+          CASE l_returnflag WHEN 'A' THEN 'FINISHED' WHEN 'R' THEN 'OTHER' ELSE 'LOST' END AS status_category FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+"""
+
+
+@query("result_validation", f"""
+    WITH {_RESULTS}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE driver_id IS NULL) AS d, count(*) FILTER (WHERE season IS NULL) AS s, count(*) FILTER (WHERE round IS NULL) AS r, count(*) FILTER (WHERE points NOT BETWEEN 0 AND 26) AS p,
+        count(*) FILTER (WHERE fastest_lap_seconds NOT BETWEEN 60 AND 300) AS f, count(*) FILTER (WHERE status_category = 'LOST') AS l FROM r),
+    x AS (SELECT 'null/empty driver_id' AS rule, 'warn' AS severity, n AS "rows", d AS broken FROM c UNION ALL SELECT 'null driver_id', 'fail', n, d FROM c UNION ALL SELECT 'null season', 'fail', n, s FROM c UNION ALL SELECT 'null round', 'fail', n, r FROM c
+        UNION ALL SELECT 'points out of range [0, 26]', 'fail', n, p FROM c UNION ALL SELECT 'fastest_lap_seconds outside [60, 300]', 'warn', n, f FROM c UNION ALL SELECT 'unknown status_category', 'fail', n, l FROM c)
+    SELECT *, broken = 0 AS passed FROM x
+""")
+def result_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q4, Q5] The rules of race results, and of their keys, in one pass."""
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    category = F.when(F.col("l_returnflag") == "A", "FINISHED").when(F.col("l_returnflag") == "R", "OTHER").otherwise("LOST")
+    found = items.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.when(F.col("l_suppkey") % 40 != 0, F.col("l_suppkey")).alias("driver_id"), F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("round"),
+        F.col("l_quantity").alias("points"), (F.col("l_extendedprice") / 300).alias("fastest_lap_seconds"), category.alias("status_category"),
+    )
+    return R.report(found, V.key_rules(found, ["driver_id", "absent"]) + V.result_rules(found))
+
+
+@query("lap_validation", """
+    WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_orderkey IS NULL) AS s, count(*) FILTER (WHERE l_suppkey IS NULL) AS d, count(*) FILTER (WHERE l_linenumber IS NULL) AS k,
+        count(*) FILTER (WHERE l_linenumber <> 1 AND l_extendedprice / 300 NOT BETWEEN 50 AND 300) AS t, count(*) FILTER (WHERE l_returnflag = 'N') AS u FROM lineitem),
+    x AS (SELECT 'null session_key' AS rule, 'fail' AS severity, n, s AS broken FROM c UNION ALL SELECT 'null driver_number', 'fail', n, d FROM c UNION ALL SELECT 'null lap_number', 'fail', n, k FROM c
+        UNION ALL SELECT 'lap_duration_seconds outside [50, 300] for non-pit-out laps', 'warn', n, t FROM c UNION ALL SELECT 'unexpected compound values', 'warn', n, u FROM c)
+    SELECT 'laps' AS input, rule, severity, n AS "rows", broken, broken = 0 AS passed FROM x UNION ALL SELECT 'no laps', rule, severity, 0, 0, true FROM x
+""")
+def lap_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q6] The rules of laps, and the same over no laps, which pass."""
+    compound = F.when(F.col("l_returnflag") == "A", "SOFT").when(F.col("l_returnflag") == "R", "WET").when(F.col("l_returnflag") == "N", "SQUARE")
+    laps = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("session_key"), F.col("l_suppkey").alias("driver_number"), F.col("l_linenumber").alias("lap_number"), (F.col("l_extendedprice") / 300).alias("lap_duration_seconds"),
+        (F.col("l_linenumber") == 1).alias("is_pit_out_lap"), compound.alias("compound"),
+    )
+    parts = [R.report(df, V.lap_rules(df)).select(F.lit(name).alias("input"), "rule", "severity", "rows", "broken", "passed") for name, df in (("laps", laps), ("no laps", laps.filter("session_key < 0")))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("standings_validation", """
+    WITH s AS (SELECT year(o_orderdate) AS season, o_custkey AS driver_id, cast(o_orderkey % 30 AS INTEGER) AS current_position FROM orders),
+    d AS (SELECT count(*) AS k FROM (SELECT season, driver_id FROM s GROUP BY 1, 2 HAVING count(*) > 1)), b AS (SELECT count(*) AS n, count(*) FILTER (WHERE current_position NOT BETWEEN 1 AND 25) AS b FROM s)
+    SELECT 'current_position outside [1, 25]' AS rule, 'fail' AS severity, n AS "rows", b AS broken, b = 0 AS passed FROM b UNION ALL SELECT 'duplicate (season, driver_id)', 'fail', n, k, k = 0 FROM b, d
+""")
+def standings_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q7] Positions in range and unique keys, in one report."""
+    found = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("season"), F.col("o_custkey").alias("driver_id"), (F.col("o_orderkey") % 30).cast("int").alias("current_position"))
+    return V.report_with_key(found, V.standings_rules(found), V.standings_key(found))
+
+
+@query("history_checks", f"""
+    WITH {_SCD2}, all_rows AS (SELECT user_id, valid_from, CASE WHEN user_id % 50 = 0 THEN valid_to + INTERVAL 1 DAY ELSE valid_to END AS valid_to, md5(cast(user_id AS VARCHAR) || '|' || cast(event_id % 5000 AS VARCHAR)) AS row_id FROM h),
+    checked AS (SELECT *, coalesce(bool_or(valid_to IS NULL) OVER w, false) OR coalesce(valid_from < max(valid_to) OVER w, false) AS overlap FROM all_rows
+        WINDOW w AS (PARTITION BY user_id ORDER BY valid_from, valid_to NULLS LAST, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    k AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE valid_to IS NULL) AS open, count(*) FILTER (WHERE valid_from >= valid_to) AS rev, count(*) FILTER (WHERE overlap) AS ov FROM checked GROUP BY 1),
+    r AS (SELECT cast(sum(n) AS BIGINT) AS versions, count(*) FILTER (WHERE open <> 1) AS not_one_open, cast(sum(rev) AS BIGINT) AS reversed, cast(sum(ov) AS BIGINT) AS overlapping, (SELECT count(*) FROM (SELECT row_id FROM all_rows GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids FROM k)
+    SELECT *, not_one_open + reversed + overlapping + repeated_ids = 0 AS passed FROM r
+""")
+def history_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q14] All checks of a type 2 history in one row; some users' versions are made to overlap."""
+    end = F.when(F.col("user_id") % 50 == 0, F.col("valid_to") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("valid_to"))
+    row_id = F.md5(F.concat_ws("|", F.col("user_id").cast("string"), (F.col("event_id") % 5000).cast("string")))
+    rows = event_history(spark, sf_dir).select("user_id", "valid_from", end.alias("valid_to"), row_id.alias("row_id"))
+    return R.integrity_report(rows, ["user_id"], "row_id")
+
+
+@query("expectation_counts", """
+    SELECT 'quantity_in_range' AS rule, 'warn' AS severity, count(*) FILTER (WHERE NOT coalesce(l_quantity BETWEEN 1 AND 45, false)) AS broken, count(*) AS rows_after, false AS stopped FROM lineitem
+    UNION ALL SELECT 'flag_known', 'drop', count(*) FILTER (WHERE NOT coalesce(l_returnflag IN ('A', 'N'), false)), count(*) FILTER (WHERE coalesce(l_returnflag IN ('A', 'N'), false)), false FROM lineitem
+    UNION ALL SELECT 'cheap', 'fail', count(*) FILTER (WHERE NOT coalesce(l_extendedprice < 50000, false)), 0, true FROM lineitem
+""")
+def expectation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q1, Q2, Q3] What each kind of expectation does: rows broken, rows left, and whether the run stopped."""
+    items, lines = table(spark, sf_dir, "lineitem"), []
+    for rule in (R.Rule("quantity_in_range", F.col("l_quantity").between(1, 45)), R.Rule("flag_known", F.col("l_returnflag").isin("A", "N"), "drop"), R.Rule("cheap", F.col("l_extendedprice") < 50_000, "fail")):
+        broken = R.report(items, [rule]).head()["broken"]
+        try:
+            lines.append((rule.name, rule.severity, broken, R.expect(items, [rule]).count(), False))
+        except Exception as e:  # the run's own error
+            if f"expectation failed: {rule.name}" not in str(e):
+                raise
+            lines.append((rule.name, rule.severity, broken, 0, True))
+    return spark.createDataFrame(lines, "rule string, severity string, broken long, rows_after long, stopped boolean")
+
+
 @query("value_coverage", """
     SELECT 'event_type' AS "column", count(DISTINCT event_type) AS distinct_values, 5::BIGINT AS expected, count(DISTINCT event_type) = 5 AS passed FROM events
     UNION ALL SELECT 'hour', count(DISTINCT hour(ts)), 24, count(DISTINCT hour(ts)) = 24 FROM events UNION ALL SELECT 'weekday', count(DISTINCT dayofweek(ts)), 7, count(DISTINCT dayofweek(ts)) = 7 FROM events

@@ -130,13 +130,13 @@ def zone_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("zone_coverage", """
-    SELECT 'customer' AS side, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
-    UNION ALL SELECT 'part' AS side, p_partkey AS id FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE l_partkey IS NULL
+    SELECT 'customer' AS side, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')
+    UNION ALL SELECT 'part' AS side, p_partkey AS id FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity = 1) ON l_partkey = p_partkey WHERE l_partkey IS NULL
 """)
 def zone_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[J17, U1, Q11] Keys that no fact uses, of two sides."""
-    a = orphans(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select(F.lit("customer").alias("side"), F.col("c_custkey").alias("id"))
-    b = orphans(table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"), "p_partkey", "l_partkey").select(F.lit("part").alias("side"), F.col("p_partkey").alias("id"))
+    """[J17, U1, Q11] Keys that no fact of a kind uses, of two sides."""
+    a = orphans(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), "c_custkey", "o_custkey").select(F.lit("customer").alias("side"), F.col("c_custkey").alias("id"))
+    b = orphans(table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_quantity = 1"), "p_partkey", "l_partkey").select(F.lit("part").alias("side"), F.col("p_partkey").alias("id"))
     return union_by_name(a, b)
 
 

@@ -16,7 +16,7 @@ def test_clock_and_gap(spark):
     got = one(spark, ["1:31.234", "1:32:05.123", "", "abc", None, "12.5"], "string", C.clock_seconds("x"))
     assert [g[0] and round(g[0], 3) for g in got] == [91.234, 5525.123, None, None, None, None]
     got = one(spark, ["+5.123", "+1 Lap", "", "1:32:05.1", None, "x"], "string", C.gap_seconds("x"))
-    assert [g[0] for g in got] == [5.123, None, 0.0, 0.0, None, None]
+    assert [g[0] for g in got] == [5.123, None, 0.0, None, 0.0, None]
 
 
 def test_clean_number_and_digits(spark):

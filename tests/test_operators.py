@@ -153,7 +153,7 @@ def test_splitter_rules():
 
 def test_chunks_and_history(spark):
     docs = spark.createDataFrame([(1, "# A\n\nhello there", "s"), (2, None, "s")], "doc_id long, text string, source string")
-    assert rows(V.chunks(docs), "doc_id", "chunk_id", "section") == [(1, "s_chunk_0", "Introduction")]
+    assert rows(V.chunks(docs), "doc_id", "chunk_id", "section") == [(1, "s_1_chunk_0", "Introduction")]
     talk = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(10)], "conv_id long, turn long, role string, text string")
     got = V.history(talk).collect()[0]
     assert got["context"].split("\n") == ["Assistant: m5", "User: m6", "Assistant: m7", "User: m8", "Assistant: m9"] and got["n_messages"] == 5
@@ -167,3 +167,84 @@ def test_top_k_and_confidence(spark):
     low = rows(V.low_confidence(V.cosine_top_k(v, q, 2), q, threshold=0.2), "query_id", "low_confidence")
     assert low == [(8, True), (9, False)]
     assert rows(V.low_confidence(V.cosine_top_k(v, q, 2).limit(0), q), "low_confidence") == [(True,), (True,)]
+
+
+def test_null_keys_are_keys(spark):
+    """An upsert or snapshot that is run again changes nothing, null keys included."""
+    schema = "k int, a int, b int"
+    old, new = spark.createDataFrame([(1, 1, 1), (None, 2, 2)], schema), spark.createDataFrame([(None, 3, 3), (2, 4, 4)], schema)
+    once = H.upsert(old, new, ["k"])
+    assert rows(once) == rows(H.upsert(once, new, ["k"])) == sorted([(1, 1, 1), (None, 3, 3), (2, 4, 4)], key=repr)
+    some = H.upsert(old, new.select("k", "a"), ["k"])
+    assert rows(some, "k", "a", "b") == rows(H.upsert(some, new.select("k", "a"), ["k"]), "k", "a", "b") == sorted([(1, 1, 1), (None, 3, 2), (2, 4, None)], key=repr)
+    now = lambda d: F.lit(f"2024-01-0{d}").cast("timestamp")
+    first = H.snapshot(old, None, "k", ["a"], now(1))
+    again = H.snapshot(old, first, "k", ["a"], now(2))
+    assert rows(again) == rows(first)
+    changed = H.snapshot(spark.createDataFrame([(1, 1, 1), (None, 9, 2)], schema), again, "k", ["a"], now(3))
+    assert rows(changed.filter("valid_to is null"), "k", "a") == sorted([(1, 1), (None, 9)], key=repr) and changed.count() == 3
+
+
+def test_validators_pass_empty_frames(spark):
+    from lakeloom.operators import validators as K
+
+    laps = spark.createDataFrame([(1, 1, None, 20.0, False, "SLICK"), (1, 1, 2, 20.0, True, None), (1, 1, 3, None, None, "")], "session_key int, driver_number int, lap_number int, lap_duration_seconds double, is_pit_out_lap boolean, compound string")
+    result = R.validate(laps, K.lap_rules(laps))
+    assert not result.passed and result.row_count == 3 and len(result.failures) == 1 and len(result.warnings) == 2
+    for df, rules in ((laps, K.lap_rules(laps)), (laps.withColumn("current_position", F.lit(40)), K.standings_rules(laps.withColumn("current_position", F.lit(40))))):
+        assert R.validate(df.limit(0), rules).passed
+    with pytest.raises(ValueError, match="null lap_number"):
+        result.require()
+    keys = spark.createDataFrame([("", 1), (None, 2), ("x", 3)], "driver_id string, season int")
+    checked = R.validate(keys, K.key_rules(keys, ["driver_id", "season", "absent"]))
+    assert checked.passed and checked.warnings == ["null/empty driver_id: 2 of 3 rows"]
+
+
+def plain_sections(text, pieces):
+    """Headings and places looked up for each piece on its own."""
+    import re
+
+    out, at = [], 0
+    first = {}
+    for piece in pieces:
+        first.setdefault(piece, text.find(piece, at))
+        at = max(at, first[piece])
+        headings = re.findall(r"^#{1,2} .+", text[: first[piece]], re.M)
+        out.append(headings[-1].lstrip("#").strip() if headings else "Introduction")
+    return out
+
+
+def test_chunks_against_a_plain_version(spark):
+    """Chunks cover the text, keep their size, and have the section that a plain search gives; ids are unique over documents."""
+    r = random.Random(3)
+    texts = []
+    for _ in range(12):
+        blocks = [r.choice(["# Title {}", "## Part {}", "### Deep {}", "text {} " * 30, "word{} " * 150, "same block", "x" * 700]).replace("{}", str(k)) for k in range(30)]
+        texts.append(r.choice(["\n\n", "\n"]).join(blocks))
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*texts, "", None])], "doc_id long, text string, source string")
+    got = V.chunks(df, size=200, overlap=30).collect()
+    assert len({g["chunk_id"] for g in got}) == len(got)
+    for i, text in enumerate(texts):
+        own = [g for g in sorted(got, key=lambda g: g["chunk_index"]) if g["doc_id"] == i]
+        assert [g["text"] for g in own] == V.split_text(text, 200, 30) and all(len(g["text"]) <= 200 and g["text"] in text for g in own)
+        assert [g["section"] for g in own] == plain_sections(text, [g["text"] for g in own])
+        assert set("".join(text.split())) <= set("".join(g["text"] for g in own)) and all(w in " ".join(g["text"] for g in own) for w in text.split() if len(w) < 100)
+
+
+def test_cosine_in_blocks_equals_all_pairs(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 5)).round(1)
+    x[50:60] = x[0]
+    x[7] = 0
+    df = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(x)], (900, None), (901, [1.0, None, 0.0, 0.0, 0.0]), (902, [1.0])], "vec_id long, embedding array<double>")
+    got = rows(V.cosine_top_k(df, df.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), k=4, block_rows=40, query_rows=2), "query_id", "rank", "vec_id")
+    want, norms = [], np.sqrt((x * x).sum(axis=1))
+    for q in range(0, 300, 50):
+        score = np.round((x @ x[q]) / np.where(norms > 0, norms * norms[q], 1), 12)
+        order = [i for i in np.lexsort((np.arange(300), -score)) if norms[i] > 0][:4]
+        want += [(q, k + 1, int(i)) for k, i in enumerate(order)]
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want, key=repr)]
+    score = lambda q, i: round(float(x[i] @ x[q] / (norms[i] * norms[q])), 9)
+    assert [score(q, i) for q, _, i in got if i < 900] == [score(q, i) for q, _, i in sorted(want, key=repr)]

@@ -63,6 +63,32 @@ def test_plans_push_down_and_stay_native(spark, sf):
     assert "p_retailprice" not in registry.QUERIES["category_month_revenue"](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["closed_hour_rows", "incremental_merge"])
+def test_constants_reach_the_scan(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    column = {"closed_hour_rows": "ts", "incremental_merge": "o_orderdate"}[name]
+    assert f"GreaterThanOrEqual({column}," in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["driver_championship", "constructor_championship", "circuit_benchmarks"])
+def test_gold_tables_read_items_once(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "Window" not in plan
+
+
+def test_cosine_has_no_nested_loop(spark, sf):
+    plan = registry.QUERIES["cosine_top_k"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "FlatMapCoGroupsInPandas" in plan
+
+
+def test_stream_top_types_are_batch_rows(spark, sf, duck):
+    got = {(r["window_start"], r["event_type"]): (r["stream_count"], r["mean_value"], r["listeners"]) for r in registry.QUERIES["stream_top_types"](spark, sf).collect()}
+    want = {(a, b): (n, m, d) for a, b, n, m, d in duck.sql("select cast(date_trunc('day', ts) as timestamp), event_type, count(*), avg(value), count(distinct user_id) from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 60 second group by 1, 2").fetchall()}
+    assert set(got) == set(want)
+    for k, (n, m, d) in got.items():
+        assert n == want[k][0] and abs(m - want[k][1]) < 1e-3 and abs(d - want[k][2]) <= 1 + 0.15 * want[k][2]
+
+
 def test_entry_without_the_corpus_subpackage():
     """The entry module works where the corpus subpackage and the pipeline are absent."""
     code = (

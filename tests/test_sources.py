@@ -100,3 +100,20 @@ def test_microbatch_sink_skips_empty(spark, tmp_path):
     assert not (tmp_path / "o").exists()
     write(spark.range(3), 1)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 3
+
+
+def test_documents_manifest_queue_and_sinks(spark, tmp_path):
+    (tmp_path / "docs/projects").mkdir(parents=True)
+    (tmp_path / "docs/projects/a.md").write_text("# A\nbody\n")
+    (tmp_path / "docs/b.txt").write_text("b")
+    found = rows(S.load_documents(spark, str(tmp_path / "docs"), {"projects": "project"}), "text", "source", "type")
+    assert found == [("# A\nbody\n", "a", "project"), ("b", "b", "general")]
+    keys = spark.createDataFrame([("a",), ("b",), ("b",)], "path string")
+    assert rows(S.merged_manifest(keys, keys.filter("path = 'b'"))) == [("a",), ("b",)] and rows(S.merged_manifest(keys, keys, cap=1)) == [("b",)]
+    assert S.queue_options("h:1", "t")["failOnDataLoss"] == "true" and S.queue_options("h:1", "t", 5, False)["maxOffsetsPerTrigger"] == "5"
+    target, audit = K.replace_by_key(spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z")], "k int, v string"), ["k"], "r", "d")
+    assert rows(target) == [(1, "x"), (2, "z")] and rows(audit) == [("r", "d", 1, "loaded")]
+    path = K.swap_snapshot(target, str(tmp_path / "t"), 1)
+    held = [spark.read.parquet(path)]
+    M.upsert_sink(lambda: held[-1], held.append, ["k"])(spark.createDataFrame([(3, "n")], "k int, v string"), 0)
+    assert rows(held[-1]) == [(1, "x"), (2, "z"), (3, "n")]
