@@ -147,9 +147,13 @@ def predict(texts: list[str | None], model: KernelModel | None) -> tuple[list[st
 def training_rows(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
     """(lang, n, text) of at most ``per_lang`` ids of each language, numbered by their hash; one text of each id."""
     ids = docs.filter(F.col(lang_col).isNotNull() & train).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(5), id_col).alias("_hash")).distinct()
-    # In two steps, so that no task gets a whole language: first within 64 ranges of the hash.
-    for part in (["lang", F.shiftright("_hash", 58)], ["lang"]):
-        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy("_hash", "_id"))).filter(F.col("n") <= per_lang)
+    # No task gets a whole language: only the first of 4,096 ranges of the hash, those that hold its first ``per_lang`` ids, are sorted.
+    ids = ids.withColumn("_range", F.shiftright("_hash", 52))
+    along = Window.partitionBy("lang").orderBy("_range")
+    counts = ids.groupBy("lang", "_range").agg(F.count(F.lit(1)).alias("_count"))
+    first = counts.withColumn("_before", F.sum("_count").over(along) - F.col("_count")).filter(F.col("_before") < per_lang).select("lang", "_range")
+    in_order = Window.partitionBy("lang").orderBy("_hash", "_id")
+    ids = ids.join(first, ["lang", "_range"]).withColumn("n", F.row_number().over(in_order)).filter(F.col("n") <= per_lang).select("_id", "lang", "n")
     texts = docs.select(F.col(id_col).alias("_text_id"), F.col(text_col).alias("_text"))
     # The chosen ids number per_lang for each language: a fixed bound.
     met = texts.join(F.broadcast(ids), F.col("_text_id") == F.col("_id"))
