@@ -41,6 +41,11 @@ def own_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{x}`") for x in names])
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, ``_row``: beside it no name can clash; ``_row.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def id_text(id_col: str) -> Column:
     """An id as text, for Python batches: pandas would make numbers with nulls floats."""
     return F.col(id_col).cast("string").alias("_id")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, clean_text, cut
+from .common import WORD, clean_text, cut, whole_row
 
 #: A target stops at this many times the source's size.
 MAX_EPOCHS = 3
@@ -184,14 +184,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     plan, shards = _plan(docs, id_col, text_col, source_col, shards, seed, **options)
     draws = plan.select(F.col(id_col).alias("_mix_id"), F.col("_md5").alias("_mix_md5"), F.col("_rest").alias("_mix_rest"), F.col("size").alias("_mix_size"), F.explode("draws").alias("_mix_draw"))
-    text = F.when(F.col("_mix_draw")["words"] < F.col("_mix_size"), cut_words(F.col(text_col), F.col("_mix_draw")["words"].cast("int"))).otherwise(F.col(text_col))
-    rows = docs.select("*", *_row_key(docs, text_col)).groupBy("_md5", "_rest").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    rows = rows.select("_row.*", "_md5", "_rest")
+    whole = F.col("_row")[text_col]
+    text = F.when(F.col("_mix_draw")["words"] < F.col("_mix_size"), cut_words(whole, F.col("_mix_draw")["words"].cast("int"))).otherwise(whole)
+    rows = docs.select(whole_row(docs), *_row_key(docs, text_col)).groupBy("_md5", "_rest").agg(F.first("_row").alias("_row"))
     out = rows.join(draws, (F.col("_md5") == F.col("_mix_md5")) & (F.col("_rest") == F.col("_mix_rest")))
     order = F.xxhash64(F.lit(seed + 5), F.col("_mix_draw"), F.col("_mix_id"))
     return (
-        out.withColumns({text_col: text, "_mix_order": order, "_mix_shard": F.col("_mix_draw")["shard"]})
+        out.withColumns({"_mix_text": text, "_mix_order": order, "_mix_shard": F.col("_mix_draw")["shard"]})
         .repartitionById(shards, F.col("_mix_shard"))
         .sortWithinPartitions("_mix_shard", "_mix_order")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(*[F.col("_mix_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
     )

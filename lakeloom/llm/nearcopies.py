@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, cut
+from .common import clean_text, cut, whole_row
 from .graph import connected_components
 
 BANDS, ROWS = 24, 6
@@ -149,6 +149,6 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = docs.select(F.col(id_col).alias("_id"), F.md5(clean_text(text_col)).alias("_md5")).distinct()
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_md5").alias("md5")))
     kept = ids.join(of, F.col("_md5") == F.col("_of")).groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("_kept_id"), F.col("k.md5").alias("_kept_md5"))
-    keyed = docs.withColumn("_md5", F.md5(clean_text(text_col)))
-    rows = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed["_md5"] == kept["_kept_md5"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_md5"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole_row(docs), F.col(id_col).alias("_id"), F.md5(clean_text(text_col)).alias("_md5"))
+    rows = keyed.join(kept, keyed["_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_md5"] == kept["_kept_md5"]), "left_semi")
+    return rows.dropDuplicates(["_id", "_md5"]).select("_row.*")

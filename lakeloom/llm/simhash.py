@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, cut, id_back, id_text
+from .common import clean_text, cut, id_back, id_text, whole_row
 from .graph import connected_components
 
 #: For each byte value, its bits, the least significant first.
@@ -205,12 +205,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The verdict belongs to a row's id and text together; of rows that repeat both one stays.
     """
-    keyed = docs.withColumn("_md5", F.md5(clean_text(text_col)))
+    keyed = docs.select(whole_row(docs), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.md5(clean_text(text_col)).alias("_md5"))
     # Equal texts have equal fingerprints: any row number may name a text.
-    texts = cut(keyed.groupBy("_md5").agg(F.min(text_col).alias("_text")).select("_md5", "_text", F.monotonically_increasing_id().alias("_n")))
+    texts = cut(keyed.groupBy("_md5").agg(F.min("_text").alias("_text")).select("_md5", "_text", F.monotonically_increasing_id().alias("_n")))
     of = simhash_components(texts, "_n", "_text", **options).select("_n", "component_id").join(texts.select("_n", F.col("_md5").alias("_of")), "_n")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_md5").alias("md5")))
-    kept = keyed.select(id_col, "_md5").distinct().join(of, F.col("_md5") == F.col("_of")).groupBy("component_id").agg(first.alias("k"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_md5").alias("md5")))
+    kept = keyed.select("_id", "_md5").distinct().join(of, F.col("_md5") == F.col("_of")).groupBy("component_id").agg(first.alias("k"))
     kept = kept.select(F.col("k.id").alias("_kept_id"), F.col("k.md5").alias("_kept_md5"))
-    rows = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed["_md5"] == kept["_kept_md5"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_md5"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed.join(kept, keyed["_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_md5"] == kept["_kept_md5"]), "left_semi")
+    return rows.dropDuplicates(["_id", "_md5"]).select("_row.*")

@@ -1,7 +1,10 @@
 """The pipeline, stage by stage, and the registered queries."""
 
+import random
+
 import duckdb
 import pytest
+from conftest import rows
 
 import corpus_pipeline
 from lakeloom.llm import exact, mixing, queries, simhash
@@ -64,3 +67,95 @@ def test_repeated_and_null_ids_through_the_stages(spark):
     for s in "xyz":
         target = next(r["target"] for r in plan if r["source"] == s)
         assert abs(sum(len(r["text"].split()) for r in got if r["source"] == s) - target) <= 10
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, target double, _md5 string, words string"
+
+
+def odd_documents(spark, texts, ids=None):
+    """Documents with null columns, and further ones whose names clash with the stages' own."""
+    ids = ids or list(range(len(texts)))
+    return spark.createDataFrame([(i, t, None if k % 5 == 0 else "en", "xyz"[k % 3] if k % 7 else None, None if t is None else len(t), True, 0.5, "m", None) for k, (i, t) in enumerate(zip(ids, texts))], SCHEMA)
+
+
+def near_groups(texts):
+    """Which texts stay: the first of each group that links of 0.8 Jaccard of five-word shingles make."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)})
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return [i for i, g in enumerate(group) if i == g]
+
+
+def test_near_copies_stage_equals_all_pairs(spark):
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 200))) for _ in range(60)]
+    for i in range(0, 40, 2):
+        copy = texts[i].split()
+        for _ in range(r.choice([1, 1, 2, 4])):
+            copy[r.randrange(len(copy))] = r.choice(words)
+        texts.append(" ".join(copy))
+    texts += [None, "", " \n", "one", "one", "two three"]
+    got = corpus_pipeline.drop_near_copies(spark, odd_documents(spark, texts), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == near_groups(texts)
+    assert got.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def test_mix_stage_by_source(spark):
+    """Each source's words come near its target by the rules; no row is taken more than three times its size, none is added."""
+    r = random.Random(32)
+    texts = [" ".join("w" * r.randrange(1, 4) for _ in range(r.randrange(1, 40))) for _ in range(120)] + [None, "", " "]
+    df = odd_documents(spark, texts, ids=[*range(120), 5, None, 7])
+    source = {}
+    for row in df.collect():
+        source.setdefault(row["source"], []).append(row["text"])
+    size = {s: sum(len((t or "").split()) for t in ts) for s, ts in source.items()}
+    weight = dict(zip(sorted(size, key=lambda s: (s is None, s)), (1, 2, 3, 1)))
+    target, free, rest = {}, set(size), sum(size.values())
+    while True:
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * size[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 3 * size[s] for s in over}
+        rest -= sum(3 * size[s] for s in over)
+        free -= over
+    mixed = corpus_pipeline.mix_sources(spark, df, "").collect()
+    for s in size:
+        took = [row["text"] for row in mixed if row["source"] == s]
+        assert abs(sum(len(t.split()) for t in took) - target[s]) <= 1
+        whole = {}
+        for t in took:
+            whole[t] = whole.get(t, 0) + 1
+        assert all(n <= 4 * source[s].count(t) for t, n in whole.items() if t in source[s]) and sum(t not in source[s] for t in took) <= 1
+
+
+@pytest.mark.parametrize("texts", [[], [None, "", " "], ["only one text of some words"]])
+def test_stages_on_odd_tables(spark, tmp_path, texts):
+    """Empty tables, empty texts and clashing columns go through all stages."""
+    docs = odd_documents(spark, texts)
+    spark.createDataFrame([(0, 1), (0, 1), (None, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert set(COLUMNS) <= set(out.columns) or name == "best_fit_packing"
+        out.write.parquet(str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{k}"))
+    assert docs.count() == (1 if any(t and t.strip() for t in texts) else 0)
+
+
+def test_whole_run_is_its_stages(spark, sf, tmp_path):
+    """``run`` gives what the stages give one by one, each on the last one's files."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert rows(corpus_pipeline.run(spark, sf), *columns) == rows(docs, *columns)
