@@ -7,7 +7,8 @@ A byte is removed if a string of ``span`` bytes that covers it also starts earli
    other, so a document becomes a few (hash of the gram, hash of the bytes that its windows cover, place) rows, dealt by the gram.
    Grams that stand once drop out. No window is lost and none is sampled.
 2. The segments, the bytes that the other anchors' windows cover, are dealt by gram. A gram with more than ``hot_rows`` rows
-   is dealt again by the longer strings that ``PART`` windows share. Hashes only say what meets: nothing is removed before its bytes
+   is dealt by its single windows instead: those of a common line are equal, one a batch is left of them, and those that hold its
+   unlike neighbours part. Hashes only say what meets: nothing is removed before its bytes
    are compared. Equal segments are represented by the first one, in a batch before the shuffle and in a shard after it.
 3. In a shard, runs of ``PART`` windows whose common string no other segment of the gram has can't repeat and are left out. The rest is joined into
    one text, its suffixes are sorted by induced sorting, and permuted common prefixes are computed. Windows between which the
@@ -32,7 +33,7 @@ from .common import clean_text, cut, id_back, id_text
 
 SPAN = 100
 GRAM = 32
-#: Windows of a hot anchor that share a key.
+#: Windows of a segment that are tried together for whether they can repeat.
 PART = 9
 #: Positions of a piece of text fit in so many bits; longer texts are read in overlapping pieces.
 _BITS = 20
@@ -481,10 +482,9 @@ def _segments(span: int):
                     if flag == SEARCH:
                         add(key, rid, first, p - first, raw[first : last + span])
                         continue
-                    for a, lo, hi in _runs(p - first, last - first + span, span):
-                        a, lo, hi = a + first, lo + first, hi + first
-                        name = hashlib.blake2b(raw[a + PART : a + 1 + span] + (p - a).to_bytes(4, "little"), digest_size=8).digest()
-                        add(int.from_bytes(name, "little", signed=True), rid, lo, p - lo, raw[lo : hi + span])
+                    for w in range(first, last + 1):
+                        window = raw[w : w + span]
+                        add(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), rid, w, p - w, window)
                 if marks:
                     starts, ends = unite(*np.array(marks, np.int64).T)
                     out += [((rid ^ (a << 20)) * 0x2545F4914F6CDD1D % (1 << 63), rid, a, b - a, None) for a, b in zip(starts.tolist(), ends.tolist())]

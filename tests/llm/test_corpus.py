@@ -490,6 +490,16 @@ def test_remove_repeats(spark, hot_rows):
     assert got[len(texts) - 1]["n_removed"] == got[len(texts) - 1]["n_bytes"]
 
 
+@pytest.mark.parametrize("hot_rows", [100_000, 50])
+def test_one_line_among_unlike_neighbours(spark, hot_rows):
+    """A line of little more than a window, in every document, each time with other text around it."""
+    r = random.Random(16)
+    line = "All rights reserved, no part of this page may be reproduced without written permission of its owner. 2024"
+    texts = [f"{r.randrange(1 << 60):x} " * r.randrange(1, 3) + line + f" {r.randrange(1 << 60):x}" for _ in range(4000)]
+    got = {x["doc_id"]: bytes(x["kept"]) for x in suffix.remove_repeats(docs(spark, texts).repartition(6), hot_rows=hot_rows).collect()}
+    assert got == brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 100)
+
+
 def test_remove_repeats_of_repeated_ids(spark):
     r = random.Random(15)
     a, b = prose(r, 80), prose(r, 80)
