@@ -148,7 +148,7 @@ def test_splitter_rules():
     assert all(len(p) <= 500 and p in text for p in pieces) and pieces[0].startswith("# One")
     assert "".join("".join(pieces).split()).count("x") >= 1200
     assert V.split_text("") == [] and V.split_text("  a ") == ["a"]
-    assert V.section_at(text, text.index("xxx")) == "Two" and V.section_at(text, 0) == "Introduction"
+    assert V.sections_at(text, [text[:3], "xxx"]) == ["Introduction", "Two"]
 
 
 def test_chunks_and_history(spark):
