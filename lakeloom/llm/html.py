@@ -67,6 +67,7 @@ _COMMENTS = re.compile(
     re.I,
 )
 _SPEAKER = frozenset("b strong cite a span time em i".split())
+_SAID = re.compile(r"\b(?:says|said|writes|wrote|replied|commented|posted|ago)\b", re.I)
 
 
 class _Node:
@@ -294,7 +295,7 @@ def _is_menu(m: _Measure, threshold: float) -> bool:
 
 
 def _is_talk(m: _Measure, threshold: float) -> bool:
-    """A container of comments: its first words say so, or it is below the threshold and its entries start with a name."""
+    """A container of comments: its first words say so, or it is below the threshold and its entries start with a name and speak."""
     if m.node.tag not in ("div", "section", "ul", "ol", "details"):
         return False
     blocks = [c for c in m.children if c.node.tag in _BLOCK and c.chars]
@@ -307,7 +308,9 @@ def _is_talk(m: _Measure, threshold: float) -> bool:
 
 
 def _speaks(entry: _Node) -> bool:
-    """Whether a short inline element, a name or a time, comes before any other text of an entry of several parts."""
+    """Whether an entry begins with a short inline element, a name, and soon tells that somebody spoke, or when."""
+    if not (_SAID.search(" ".join(text_of(entry).split())[:80]) or any(not isinstance(x, str) and x.tag == "time" for x in entry.parts)):
+        return False
     node, parts = entry, 0
     while True:
         inner = [x for x in node.parts if not isinstance(x, str) or x.strip()]

@@ -46,7 +46,7 @@ def test_marks_never_take_the_page():
 MENU = "<div><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>About us</a></li></ul></div>"
 LINKS = "<div><a href=1>Older</a> <a href=2>Newer</a> <a href=3>More</a></div>"
 SAID = "<div><h3>What readers say</h3><p>Ann: very nice, thank you.</p><p>Bob: I do not agree.</p></div>"
-NAMED = "<ul><li><b>Ann</b> very nice</li><li><b>Bob</b> no, it is not</li></ul>"
+NAMED = "<ul><li><b>Ann</b> says: very nice</li><li><a href=1>Bob</a> 2 hours ago<p>no, it is not</p></li></ul>"
 
 
 @pytest.mark.parametrize(
@@ -63,7 +63,7 @@ def test_density_leaves_unmarked_menus_and_comments(page):
 
 
 def test_text_that_looks_like_marks_stays():
-    for inside in ("<section><h2>S</h2><p>Short one.</p></section><section><h2>S</h2><p>Short two.</p></section>", "<ul><li>one</li><li>two, with <a href=1>a link</a></li></ul>", "<p>A <label>b</label> c</p>", "<p class='notice-period'>x y</p>", "<fieldset><legend>L</legend>z</fieldset>"):
+    for inside in ("<section><h2>S</h2><p>Short one.</p></section><section><h2>S</h2><p>Short two.</p></section>", "<ul><li>one</li><li>two, with <a href=1>a link</a></li></ul>", "<ul><li><b>Fast</b>: it runs</li><li><b>Small</b>: it fits</li></ul>", "<div><div><b>1999</b> begun</div><div><b>2001</b> done</div></div>", "<p>A <label>b</label> c</p>", "<p class='notice-period'>x y</p>", "<fieldset><legend>L</legend>z</fieldset>"):
         assert html.extract(f"<body>{NAV}<article>{P}{inside}</article>") == TEXT + "\n" + html.text_of(html.parse(inside))
     assert html.extract("<p class=it's>Hello world. It's fine</p>") == "Hello world. It's fine"
     assert html.extract("<p class=it's>Hello world.</p>") == "Hello world."
