@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import clean_text, cut, whole_row
 from .graph import connected_components
+from .simhash import fingerprint, near_links
 
 BANDS, ROWS = 24, 6
 _DRAW = np.random.default_rng(42)
@@ -97,13 +98,17 @@ def copy_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]
     return [(i, find(i)) for i in range(len(sets)) if find(i) != i]
 
 
-def jaccard_roots(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(``_md5``, ``node``), one row for each text, and (``node``, ``root``) for each node with a near copy."""
+def jaccard_roots(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, width: int = 5, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``_md5``, ``node``), one row for each text, and (``node``, ``root``) for each node with a near copy.
+
+    With a ``radius``, SimHash fingerprints of the same shingles that differ in so many bits link their texts too.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t, width) for t in pdf["_text"]]
-            yield pd.DataFrame({"_md5": pdf["_md5"], "node": np.array([node_of(s) for s in sets], np.int64), "keys": [band_keys(s) for s in sets]})
+            fps = np.array([0 if radius is None else fingerprint(t, width, 42) for t in pdf["_text"]], np.uint64)
+            yield pd.DataFrame({"_md5": pdf["_md5"], "node": np.array([node_of(s) for s in sets], np.int64), "fp": fps.view(np.int64), "keys": [band_keys(s) for s in sets]})
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, nodes, sets = None, [], []
@@ -124,7 +129,7 @@ def jaccard_roots(docs: DataFrame, text_col: str = "text", threshold: float = 0.
             yield links()
 
     texts = docs.select(F.md5(clean_text(text_col)).alias("_md5"), clean_text(text_col).alias("_text"))
-    signed = cut(texts.mapInPandas(sign, "_md5 string, node long, keys array<long>"))
+    signed = cut(texts.mapInPandas(sign, "_md5 string, node long, fp long, keys array<long>"))
     dealt = signed.select(F.explode("keys").alias("key"), "node")
     stars = dealt.groupBy("key").agg(F.min("node").alias("least"))
     edges = dealt.join(stars, "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
@@ -134,21 +139,39 @@ def jaccard_roots(docs: DataFrame, text_col: str = "text", threshold: float = 0.
     members = cut(named.join(coarse, "node").select(F.col("_md5").alias("_of"), "node", "root"))
     meet = texts.join(members, F.col("_md5") == F.col("_of")).groupBy("root", "node").agg(F.first("_text").alias("_text"))
     found = meet.repartition("root").sortWithinPartitions("root", "node").mapInPandas(link, "a long, b long")
+    if radius is not None:
+        found = found.unionByName(_fingerprint_links(signed, radius))
     return signed.select("_md5", "node").distinct(), connected_components(found)
 
 
-def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
+def _fingerprint_links(signed: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between nodes: those of one fingerprint in a star around the least, and the least of fingerprints within ``radius``."""
+    pairs = cut(signed.select("fp", "node").distinct())
+    least = cut(pairs.groupBy("fp").agg(F.min("node").alias("least")))
+    links = near_links(least, radius)
+    of = lambda name: least.select(F.col("fp").alias(name), F.col("least").alias(f"_{name}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return between.unionByName(pairs.join(least, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+
+
+def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, radius: int | None = None) -> DataFrame:
     """One row of each component of near copies, with all its columns: the one with the smallest id, nulls last.
 
-    Texts link when their sets of ``width``-word shingles have a Jaccard similarity of at least ``threshold``.
+    Texts link when their sets of ``width``-word shingles have a Jaccard similarity of at least ``threshold``, or, with a ``radius``, when their
+    SimHash fingerprints differ in so many bits at most.
     The verdict belongs to a row's id and text together; of rows that repeat both one stays. Texts without words are
     copies of each other. Null text counts as empty; an empty table gives no rows.
     """
-    texts, roots = jaccard_roots(docs, text_col, threshold, width)
+    texts, roots = jaccard_roots(docs, text_col, threshold, width, radius)
     of = texts.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("_md5").alias("_of"), F.coalesce("root", "node").alias("root"))
     ids = docs.select(F.col(id_col).alias("_id"), F.md5(clean_text(text_col)).alias("_md5")).distinct()
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_md5").alias("md5")))
-    kept = ids.join(of, F.col("_md5") == F.col("_of")).groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("_kept_id"), F.col("k.md5").alias("_kept_md5"))
-    keyed = docs.select(whole_row(docs), F.col(id_col).alias("_id"), F.md5(clean_text(text_col)).alias("_md5"))
-    rows = keyed.join(kept, keyed["_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_md5"] == kept["_kept_md5"]), "left_semi")
-    return rows.dropDuplicates(["_id", "_md5"]).select("_row.*")
+    kept = ids.join(of, F.col("_md5") == F.col("_of")).groupBy("root").agg(first.alias("k")).select(_key(F.col("k.id"), F.col("k.md5")).alias("_kept"))
+    keyed = docs.select(whole_row(docs), _key(F.col(id_col), F.md5(clean_text(text_col))).alias("_key"))
+    # Join and deduplication have one key: whole rows are shuffled once.
+    return keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"]).select("_row.*")
+
+
+def _key(name: Column, md5: Column) -> Column:
+    """128 bits of an id, null or not, and a text."""
+    return F.md5(F.concat_ws("|", md5, name.isNull().cast("string"), name.cast("string")))
