@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import exact, mixing, nearcopies, packing, quality, simhash
+from lakeloom.llm import exact, mixing, nearcopies, packing, quality
 from lakeloom.llm.common import table
 from lakeloom.llm.queries import tokenizer_path
 
@@ -30,10 +30,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    First of texts that share 0.8 of their five-word shingles, which two of 64 bits don't find; then, of what is left, of
-    SimHash components over the same shingles.
+    Texts link by SimHash, within two of 64 bits over five-word shingles, and, as few pairs of similarity 0.8 are so near, also
+    by the shingles themselves, where they share 0.8 of them.
     """
-    return simhash.near_dedup(nearcopies.jaccard_dedup(docs, threshold=0.8, width=5), shingle=5)
+    return nearcopies.jaccard_dedup(docs, threshold=0.8, width=5, radius=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
