@@ -100,8 +100,8 @@ _RESULTS = """
 @query("result_validation", f"""
     WITH {_RESULTS}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE driver_id IS NULL) AS d, count(*) FILTER (WHERE season IS NULL) AS s, count(*) FILTER (WHERE round IS NULL) AS r, count(*) FILTER (WHERE points NOT BETWEEN 0 AND 26) AS p,
         count(*) FILTER (WHERE fastest_lap_seconds NOT BETWEEN 60 AND 300) AS f, count(*) FILTER (WHERE status_category = 'LOST') AS l FROM r),
-    x AS (SELECT 'null/empty driver_id' AS rule, 'warn' AS severity, n AS "rows", d AS broken FROM c UNION ALL SELECT 'null driver_id', 'fail', n, d FROM c UNION ALL SELECT 'null season', 'fail', n, s FROM c UNION ALL SELECT 'null round', 'fail', n, r FROM c
-        UNION ALL SELECT 'points out of range [0, 26]', 'fail', n, p FROM c UNION ALL SELECT 'fastest_lap_seconds outside [60, 300]', 'warn', n, f FROM c UNION ALL SELECT 'unknown status_category', 'fail', n, l FROM c)
+    x AS (SELECT 'driver_id given' AS rule, 'warn' AS severity, n AS "rows", d AS broken FROM c UNION ALL SELECT 'driver_id present', 'fail', n, d FROM c UNION ALL SELECT 'season present', 'fail', n, s FROM c UNION ALL SELECT 'round present', 'fail', n, r FROM c
+        UNION ALL SELECT 'points 0 to 26', 'fail', n, p FROM c UNION ALL SELECT 'fastest lap 60 to 300 s', 'warn', n, f FROM c UNION ALL SELECT 'category known', 'fail', n, l FROM c)
     SELECT *, broken = 0 AS passed FROM x
 """)
 def result_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +118,8 @@ def result_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lap_validation", """
     WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_orderkey IS NULL) AS s, count(*) FILTER (WHERE l_suppkey IS NULL) AS d, count(*) FILTER (WHERE l_linenumber IS NULL) AS k,
         count(*) FILTER (WHERE l_linenumber <> 1 AND l_extendedprice / 300 NOT BETWEEN 50 AND 300) AS t, count(*) FILTER (WHERE l_returnflag = 'N') AS u FROM lineitem),
-    x AS (SELECT 'null session_key' AS rule, 'fail' AS severity, n, s AS broken FROM c UNION ALL SELECT 'null driver_number', 'fail', n, d FROM c UNION ALL SELECT 'null lap_number', 'fail', n, k FROM c
-        UNION ALL SELECT 'lap_duration_seconds outside [50, 300] for non-pit-out laps', 'warn', n, t FROM c UNION ALL SELECT 'unexpected compound values', 'warn', n, u FROM c)
+    x AS (SELECT 'session_key present' AS rule, 'fail' AS severity, n, s AS broken FROM c UNION ALL SELECT 'driver_number present', 'fail', n, d FROM c UNION ALL SELECT 'lap_number present', 'fail', n, k FROM c
+        UNION ALL SELECT 'lap outside the pit 50 to 300 s', 'warn', n, t FROM c UNION ALL SELECT 'compound known', 'warn', n, u FROM c)
     SELECT 'laps' AS input, rule, severity, n AS "rows", broken, broken = 0 AS passed FROM x UNION ALL SELECT 'no laps', rule, severity, 0, 0, true FROM x
 """)
 def lap_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def lap_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("standings_validation", """
     WITH s AS (SELECT year(o_orderdate) AS season, o_custkey AS driver_id, cast(o_orderkey % 30 AS INTEGER) AS current_position FROM orders),
     d AS (SELECT count(*) AS k FROM (SELECT season, driver_id FROM s GROUP BY 1, 2 HAVING count(*) > 1)), b AS (SELECT count(*) AS n, count(*) FILTER (WHERE current_position NOT BETWEEN 1 AND 25) AS b FROM s)
-    SELECT 'current_position outside [1, 25]' AS rule, 'fail' AS severity, n AS "rows", b AS broken, b = 0 AS passed FROM b UNION ALL SELECT 'duplicate (season, driver_id)', 'fail', n, k, k = 0 FROM b, d
+    SELECT 'position 1 to 25' AS rule, 'fail' AS severity, n AS "rows", b AS broken, b = 0 AS passed FROM b UNION ALL SELECT 'one row for each season, driver_id', 'fail', n, k, k = 0 FROM b, d
 """)
 def standings_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[Q7] Positions in range and unique keys, in one report."""
