@@ -290,8 +290,11 @@ def _density(m: _Measure, body: _Measure) -> float:
 
 
 def _is_menu(m: _Measure, threshold: float) -> bool:
-    """A block, mostly of links, below the threshold."""
-    return m.node.tag in _GROUPS and m.link_tags > 1 and m.link_chars * 2 > m.chars and m.density < threshold
+    """A block below the threshold of several links, with no more than a few signs for each beside them; a paragraph with no letter beside them."""
+    plain = m.chars - m.link_chars
+    if m.node.tag not in _GROUPS or m.link_tags < 2 or plain * 2 > m.chars or plain > 4 * m.link_tags + 12 or m.density >= threshold:
+        return False
+    return m.node.tag != "p" or not any(isinstance(x, str) and any(map(str.isalpha, x)) for x in m.node.parts)
 
 
 def _is_talk(m: _Measure, threshold: float) -> bool:

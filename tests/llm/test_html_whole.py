@@ -63,7 +63,7 @@ def test_density_leaves_unmarked_menus_and_comments(page):
 
 
 def test_text_that_looks_like_marks_stays():
-    for inside in ("<section><h2>S</h2><p>Short one.</p></section><section><h2>S</h2><p>Short two.</p></section>", "<ul><li>one</li><li>two, with <a href=1>a link</a></li></ul>", "<ul><li><b>Fast</b>: it runs</li><li><b>Small</b>: it fits</li></ul>", "<div><div><b>1999</b> begun</div><div><b>2001</b> done</div></div>", "<p>A <label>b</label> c</p>", "<p class='notice-period'>x y</p>", "<fieldset><legend>L</legend>z</fieldset>"):
+    for inside in ("<section><h2>S</h2><p>Short one.</p></section><section><h2>S</h2><p>Short two.</p></section>", "<ul><li>one</li><li>two, with <a href=1>a link</a></li></ul>", "<ul><li><b>Fast</b>: it runs</li><li><b>Small</b>: it fits</li></ul>", "<div><div><b>1999</b> begun</div><div><b>2001</b> done</div></div>", "<p>A <label>b</label> c</p>", "<p>See <a href=1>the first long link</a> and <a href=2>the second one</a></p>", "<p><a href=1>Only a link</a></p>", "<p class='notice-period'>x y</p>", "<fieldset><legend>L</legend>z</fieldset>"):
         assert html.extract(f"<body>{NAV}<article>{P}{inside}</article>") == TEXT + "\n" + html.text_of(html.parse(inside))
     assert html.extract("<p class=it's>Hello world. It's fine</p>") == "Hello world. It's fine"
     assert html.extract("<p class=it's>Hello world.</p>") == "Hello world."
