@@ -7,8 +7,8 @@ A byte is removed if a string of ``span`` bytes that covers it also starts earli
    other, so a document becomes a few (hash of the gram, hash of the bytes that its windows cover, place) rows, dealt by the gram.
    Grams that stand once drop out. No window is lost and none is sampled.
 2. The segments, the bytes that the other anchors' windows cover, are dealt by gram. A gram with more than ``hot_rows`` rows
-   is dealt by its single windows instead: those of a common line are equal, one a batch is left of them, and those that hold its
-   unlike neighbours part. Hashes only say what meets: nothing is removed before its bytes
+   is dealt by the longer strings that ``PART`` windows share, and if one of these has more rows still, as in a common line of about ``span`` bytes
+   among unlike neighbours, by its single windows: those of the line are equal, one a batch is left of them, the others part. Hashes only say what meets: nothing is removed before its bytes
    are compared. Equal segments are represented by the first one, in a batch before the shuffle and in a shard after it.
 3. In a shard, runs of ``PART`` windows whose common string no other segment of the gram has can't repeat and are left out. The rest is joined into
    one text, its suffixes are sorted by induced sorting, and permuted common prefixes are computed. Windows between which the
@@ -33,7 +33,7 @@ from .common import clean_text, cut, id_back, id_text
 
 SPAN = 100
 GRAM = 32
-#: Windows of a segment that are tried together for whether they can repeat.
+#: Windows of a segment that are dealt together if its gram is hot, and tried together for whether they can repeat.
 PART = 9
 #: Positions of a piece of text fit in so many bits; longer texts are read in overlapping pieces.
 _BITS = 20
@@ -310,7 +310,12 @@ def _may_repeat(keys: list[int], ats: list[int], segs: list[bytes], span: int) -
     return out
 
 
-def _shard(span: int, shard_bytes: int):
+def _shard(span: int, shard_bytes: int, key_rows: int | None = None):
+    """Rows (key, rid, first, at, seg) sorted by key to spans: rows with a null ``seg`` that begin at ``first`` and have ``at`` bytes. Such rows pass.
+
+    A key of more than ``key_rows`` rows isn't held: its single windows go on as rows with keys of their own, for a second deal.
+    """
+
     def first_of_equal(rows: list[tuple], spans: list[tuple[int, int, int]]) -> list[tuple]:
         """Of ``rows`` (key, rid, first, at, seg) the earliest of each (key, at, seg); the others are marked whole."""
         seen: set[tuple[int, int, bytes]] = set()
@@ -342,31 +347,53 @@ def _shard(span: int, shard_bytes: int):
                 a, b = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(seg)]]) - 1
                 whose = seg[a]
                 spans += list(zip(docs[whose], firsts[whose] + window[a], firsts[whose] + window[b] + span))
-        return pd.DataFrame(spans, columns=["rid", "a", "b"]).astype("int64")
+        return frame([(0, rid, a, b - a, None) for rid, a, b in spans])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        size = closed = 0  # the rows before ``closed`` are of keys that have ended
+        open_key, begun, size, hot = None, 0, 0, False  # the open key's rows are held from ``begun`` on
         for pdf in batches:
             marks = pdf["seg"].isna()
             if marks.any():
-                known = pdf[marks]
-                yield pd.DataFrame({"rid": known["rid"], "a": known["first"], "b": known["first"] + known["at"]})
+                yield pdf[marks]
                 pdf = pdf[~marks]
+            parted: list[tuple] = []
             for row in zip(pdf["key"].tolist(), pdf["rid"].tolist(), pdf["first"].tolist(), pdf["at"].tolist(), pdf["seg"]):
-                if held and row[0] != held[-1][0]:
-                    closed = len(held)
+                if row[0] != open_key:
                     if size >= shard_bytes:
                         yield solve(held)
-                        held, size, closed = [], 0, 0
+                        held, size = [], 0
+                    open_key, begun, hot = row[0], len(held), False
+                if hot:
+                    parted.append(row)
+                    continue
                 held.append(row)
                 size += len(row[4])
+                if key_rows and len(held) - begun > key_rows:
+                    hot, parted, held = True, parted + held[begun:], held[:begun]
+                    size = sum(len(x[4]) for x in held)
+            if parted:
+                yield from windows(parted)
         if held:
             yield solve(held)
 
+    def windows(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        """The single windows of ``rows``, dealt by their bytes; of equal ones the earliest."""
+        spans: list[tuple[int, int, int]] = []
+        parts = [(0, rid, first + w, 0, seg[w : w + span]) for _, rid, first, _, seg in rows for w in range(len(seg) - span + 1)]
+        out = [(_name(seg), rid, first, 0, seg) for _, rid, first, _, seg in first_of_equal(parts, spans)]
+        yield frame(out + [(0, rid, a, b - a, None) for rid, a, b in spans])
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "rid", "first", "at", "seg"]).astype({c: "int64" for c in ("key", "rid", "first", "at")})
+
     return run
 
 
+def _name(window: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+
+
 def _anchor_rows(span: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -482,9 +509,9 @@ def _segments(span: int):
                     if flag == SEARCH:
                         add(key, rid, first, p - first, raw[first : last + span])
                         continue
-                    for w in range(first, last + 1):
-                        window = raw[w : w + span]
-                        add(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), rid, w, p - w, window)
+                    for a, lo, hi in _runs(p - first, last - first + span, span):
+                        a, lo, hi = a + first, lo + first, hi + first
+                        add(_name(raw[a + PART : a + 1 + span] + (p - a).to_bytes(4, "little")), rid, lo, p - lo, raw[lo : hi + span])
                 if marks:
                     starts, ends = unite(*np.array(marks, np.int64).T)
                     out += [((rid ^ (a << 20)) * 0x2545F4914F6CDD1D % (1 << 63), rid, a, b - a, None) for a, b in zip(starts.tolist(), ends.tolist())]
@@ -537,7 +564,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     listed = flagged.groupBy("rid").agg(F.collect_list(F.struct("key", "place", "flag")).alias("x"))
     listed = listed.select(F.col("rid").alias("_rid"), F.col("x.key").alias("keys"), F.col("x.place").alias("places"), F.col("x.flag").alias("flags"))
     segments = once.join(listed, once["rid"] == listed["_rid"]).select("rid", "raw", "keys", "places", "flags").mapInPandas(_segments(span), "key long, rid long, first long, at long, seg binary")
-    marked = segments.repartition("key").sortWithinPartitions("key").mapInPandas(_shard(span, shard_bytes), "rid long, a long, b long")
+    row = "key long, rid long, first long, at long, seg binary"
+    dealt = lambda df, limit: df.repartition("key").sortWithinPartitions("key").mapInPandas(_shard(span, shard_bytes, limit), row)
+    solved = cut(dealt(segments, hot_rows))
+    solved = solved.filter("seg IS NULL").unionByName(dealt(solved.filter("seg IS NOT NULL"), None))
+    marked = solved.select("rid", F.col("first").alias("a"), (F.col("first") + F.col("at")).alias("b"))
     marked = marked.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("s")).select(F.col("rid").alias("_sid"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     copies = F.filter(F.arrays_zip("places", "flags"), lambda x: x["flags"] == COPY)
     first = lambda x: F.shiftright(x["places"], 14) - F.shiftright(x["places"], 7).bitwiseAND(127)
