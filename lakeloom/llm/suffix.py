@@ -7,8 +7,7 @@ A byte is removed if a string of ``span`` bytes that covers it also starts earli
    other, so a document becomes a few (hash of the gram, hash of the bytes that its windows cover, place) rows, dealt by the gram.
    Grams that stand once drop out. No window is lost and none is sampled.
 2. The segments, the bytes that the other anchors' windows cover, are dealt by gram. A gram with more than ``hot_rows`` rows
-   is dealt by the longer strings that ``PART`` windows share, and if one of these has more rows still, as in a common line of about ``span`` bytes
-   among unlike neighbours, by its single windows: those of the line are equal, one a batch is left of them, the others part. Hashes only say what meets: nothing is removed before its bytes
+   is dealt by the longer strings that ``PART`` windows share. Hashes only say what meets: nothing is removed before its bytes
    are compared. Equal segments are represented by the first one, in a batch before the shuffle and in a shard after it.
 3. In a shard, runs of ``PART`` windows whose common string no other segment of the gram has can't repeat and are left out. The rest is joined into
    one text, its suffixes are sorted by induced sorting, and permuted common prefixes are computed. Windows between which the
@@ -310,11 +309,8 @@ def _may_repeat(keys: list[int], ats: list[int], segs: list[bytes], span: int) -
     return out
 
 
-def _shard(span: int, shard_bytes: int, key_rows: int | None = None):
-    """Rows (key, rid, first, at, seg) sorted by key to spans: rows with a null ``seg`` that begin at ``first`` and have ``at`` bytes. Such rows pass.
-
-    A key of more than ``key_rows`` rows isn't held: its single windows go on as rows with keys of their own, for a second deal.
-    """
+def _shard(span: int, shard_bytes: int):
+    """Rows (key, rid, first, at, seg) sorted by key to spans: rows with a null ``seg`` that begin at ``first`` and have ``at`` bytes. Such rows pass."""
 
     def first_of_equal(rows: list[tuple], spans: list[tuple[int, int, int]]) -> list[tuple]:
         """Of ``rows`` (key, rid, first, at, seg) the earliest of each (key, at, seg); the others are marked whole."""
@@ -351,39 +347,23 @@ def _shard(span: int, shard_bytes: int, key_rows: int | None = None):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        open_key, begun, size, hot = None, 0, 0, False  # the open key's rows are held from ``begun`` on
+        open_key, size = None, 0
         for pdf in batches:
             marks = pdf["seg"].isna()
             if marks.any():
                 yield pdf[marks]
                 pdf = pdf[~marks]
-            parted: list[tuple] = []
             for row in zip(pdf["key"].tolist(), pdf["rid"].tolist(), pdf["first"].tolist(), pdf["at"].tolist(), pdf["seg"]):
                 if row[0] != open_key:
                     if size >= shard_bytes:
                         yield solve(held)
                         held, size = [], 0
-                    open_key, begun, hot = row[0], len(held), False
-                if hot:
-                    parted.append(row)
-                    continue
+                    open_key = row[0]
                 held.append(row)
                 size += len(row[4])
-                if key_rows and len(held) - begun > key_rows:
-                    hot, parted, held = True, parted + held[begun:], held[:begun]
-                    size = sum(len(x[4]) for x in held)
-            if parted:
-                yield from windows(parted)
         if held:
             yield solve(held)
 
-    def windows(rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        """The single windows of ``rows``, dealt by their bytes; of equal ones the earliest."""
-        spans: list[tuple[int, int, int]] = []
-        parts = [(0, rid, first + w, 0, seg[w : w + span]) for _, rid, first, _, seg in rows for w in range(len(seg) - span + 1)]
-        out = [(_name(seg), rid, first, 0, seg) for _, rid, first, _, seg in first_of_equal(parts, spans)]
-        yield frame(out + [(0, rid, a, b - a, None) for rid, a, b in spans])
-
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["key", "rid", "first", "at", "seg"]).astype({c: "int64" for c in ("key", "rid", "first", "at")})
 
@@ -435,7 +415,7 @@ def _sift(hot_rows: int):
     """
 
     def out(rows: pd.DataFrame, flag: int | np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"rid": rows["rid"], "key": rows["key"], "place": rows["place"], "flag": flag}).astype({"flag": "int32"})
+        return pd.DataFrame({"rid": rows["rid"], "place": rows["place"], "flag": flag}).astype({"flag": "int32"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key = None
@@ -481,7 +461,7 @@ def _sift(hot_rows: int):
     return run
 
 
-def _segments(span: int):
+def _segments(span: int, gram: int):
     """(key, rid, first, at, seg) of the anchors to search: ``at`` is the anchor's place in the segment.
 
     Of equal rows of a batch only the earliest goes on; the bytes of the others all repeat: they make rows of united spans, with a null ``seg`` and
@@ -502,10 +482,15 @@ def _segments(span: int):
                     out.append((key, rid, first, at, seg))
 
             pdf = pdf.sort_values("rid")
-            for rid, raw, keys, places, flags in zip(pdf["rid"].tolist(), pdf["raw"], pdf["keys"], pdf["places"], pdf["flags"]):
+            for rid, raw, places, flags in zip(pdf["rid"].tolist(), pdf["raw"], pdf["places"], pdf["flags"]):
                 live = np.flatnonzero(flags != COPY)
                 live = live[np.argsort(places[live], kind="stable")]
-                for flag, key, p, first, last in zip(*(x[live].tolist() for x in (flags, keys, *_unpack(places)))):
+                if not len(live):
+                    continue
+                where = _unpack(places[live])
+                # A gram's hash is computed again rather than shuffled: 8 bytes that don't compress, for each anchor.
+                keys = _gram_hashes(np.frombuffer(raw, np.uint8), gram)[where[0]].view(np.int64)
+                for flag, key, p, first, last in zip(flags[live].tolist(), keys.tolist(), *(x.tolist() for x in where)):
                     if flag == SEARCH:
                         add(key, rid, first, p - first, raw[first : last + span])
                         continue
@@ -560,14 +545,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.filter("rid IS NOT NULL").select("rid", "raw") if unique else rows
     once = rows if unique else rows.dropDuplicates(["rid"])
     found = once.filter(F.length("raw") >= span).select("rid", "raw").mapInPandas(_anchor_rows(span, gram), "key long, rid long, place long, copy boolean")
-    flagged = found.repartition("key").sortWithinPartitions("key").mapInPandas(_sift(hot_rows), "rid long, key long, place long, flag int")
-    listed = flagged.groupBy("rid").agg(F.collect_list(F.struct("key", "place", "flag")).alias("x"))
-    listed = listed.select(F.col("rid").alias("_rid"), F.col("x.key").alias("keys"), F.col("x.place").alias("places"), F.col("x.flag").alias("flags"))
-    segments = once.join(listed, once["rid"] == listed["_rid"]).select("rid", "raw", "keys", "places", "flags").mapInPandas(_segments(span), "key long, rid long, first long, at long, seg binary")
+    flagged = found.repartition("key").sortWithinPartitions("key").mapInPandas(_sift(hot_rows), "rid long, place long, flag int")
+    listed = flagged.groupBy("rid").agg(F.collect_list(F.struct("place", "flag")).alias("x"))
+    listed = listed.select(F.col("rid").alias("_rid"), F.col("x.place").alias("places"), F.col("x.flag").alias("flags"))
+    segments = once.join(listed, once["rid"] == listed["_rid"]).select("rid", "raw", "places", "flags").mapInPandas(_segments(span, gram), "key long, rid long, first long, at long, seg binary")
     row = "key long, rid long, first long, at long, seg binary"
-    dealt = lambda df, limit: df.repartition("key").sortWithinPartitions("key").mapInPandas(_shard(span, shard_bytes, limit), row)
-    solved = cut(dealt(segments, hot_rows))
-    solved = solved.filter("seg IS NULL").unionByName(dealt(solved.filter("seg IS NOT NULL"), None))
+    solved = segments.repartition("key").sortWithinPartitions("key").mapInPandas(_shard(span, shard_bytes), row)
     marked = solved.select("rid", F.col("first").alias("a"), (F.col("first") + F.col("at")).alias("b"))
     marked = marked.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("s")).select(F.col("rid").alias("_sid"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     copies = F.filter(F.arrays_zip("places", "flags"), lambda x: x["flags"] == COPY)
