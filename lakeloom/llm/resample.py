@@ -74,9 +74,15 @@ def bucket_counts(texts: DataFrame, text_col: str = "text", width: int = 1, buck
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, total = _Buckets(buckets), np.zeros(buckets, np.int64)
         for pdf in batches:
+            waiting: list[np.ndarray] = []
             for text in pdf["_text"]:
                 for found, _ in _features(text, width, known):
-                    total += np.bincount(found, minlength=buckets)
+                    waiting.append(found)
+                    if len(waiting) >= 500:
+                        total += np.bincount(np.concatenate(waiting), minlength=buckets)
+                        waiting.clear()
+            if waiting:
+                total += np.bincount(np.concatenate(waiting), minlength=buckets)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": used, "n": total[used]})
 
