@@ -48,28 +48,67 @@ def scd1(changes: DataFrame, keys: Keys, sequence: Keys) -> DataFrame:
     return latest_by(changes, keys, sequence)
 
 
-def scd2(changes: DataFrame, keys: Keys, sequence: Keys, tracked: Keys, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+def scd2(changes: DataFrame, keys: Keys, sequence: Keys, tracked: Keys, start: str = "valid_from", end: str = "valid_to", deletes: Column | None = None) -> DataFrame:
     """[C3] One row for each run of equal tracked values of a key, in order of ``sequence``.
 
     ``start`` is the run's first ``sequence[0]``, ``end`` the next run's first, null while open; untracked
     columns are those of the run's last row. Nulls count as values. ``sequence`` must order a key's rows fully.
+    Rows that meet ``deletes`` end the run before them and begin none.
     """
     order = Window.partitionBy(*keys).orderBy(*sequence)
-    values = F.struct(*tracked)
+    gone = F.lit(False) if deletes is None else F.coalesce(deletes, F.lit(False))
+    values = F.when(F.col("_gone"), F.lit(None)).otherwise(F.struct(*tracked))
     before = F.lag(F.struct(values.alias("v"))).over(order)
     turn = F.when(before.isNull() | ~before["v"].eqNullSafe(values), 1).otherwise(0)
-    runs = changes.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(order))
+    runs = changes.withColumn("_gone", gone).withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(order))
     others = [c for c in changes.columns if c not in keys]
-    grouped = runs.groupBy(*keys, "_run").agg(F.max_by(F.struct(*others), F.struct(*sequence)).alias("_last"), F.min(sequence[0]).alias(start))
+    grouped = runs.groupBy(*keys, "_run", "_gone").agg(F.max_by(F.struct(*others), F.struct(*sequence)).alias("_last"), F.min(sequence[0]).alias(start))
     ends = F.lead(start).over(Window.partitionBy(*keys).orderBy("_run"))
-    return grouped.withColumn(end, ends).select(*keys, "_last.*", start, end)
+    return grouped.withColumn(end, ends).filter(~F.col("_gone")).select(*keys, "_last.*", start, end)
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inner") -> DataFrame:
+    """A join on keys among which null is one."""
+    side = right.withColumnsRenamed({k: f"_beside_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_beside_{k}"))
+    out = left.join(side, on, how)
+    return out if how in ("left_anti", "left_semi") else out.drop(*[f"_beside_{k}" for k in keys])
+
+
+def scd2_split(history: DataFrame, log: DataFrame, batch: DataFrame, keys: Keys, sequence: Keys, tracked: Keys, start: str = "valid_from", end: str = "valid_to", deletes: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """[C3, M10] ``history`` (of :func:`scd2`, ``deletes`` included) after a further batch in any order, and the batch's rows that ``log`` lacks.
+
+    ``log`` holds all rows so far, which are told apart by keys and ``sequence``; the caller appends the new ones. A late row splits the interval that it falls into. For each
+    touched key only the log's rows from the begin of the interval around the first new row to the end of the one
+    behind the last new row are looked at again; all other intervals stay as they are. Any order of batches gives the
+    history of all rows at once, and a batch that comes again changes nothing. ``sequence`` has no nulls.
+    """
+    at = sequence[0]
+    fresh = _beside(batch.select(*log.columns).dropDuplicates([*keys, *sequence]), log.select(*keys, *sequence), [*keys, *sequence], "left_anti")
+    spans = fresh.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    # Intervals can be cut where no earlier one still has a row at their begin.
+    order = Window.partitionBy(*keys).orderBy(start, *sequence)
+    last = F.max(at).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    clean = _beside(history, spans, keys).withColumn("_before", last).filter(F.col("_before").isNull() | (F.col("_before") < F.col(start)))
+    clean = clean.withColumn("_next", F.lead(start).over(order))
+    found = clean.groupBy(*keys).agg(
+        F.max(F.when(F.col(start) <= F.col("_lo"), F.col(start))).alias("_from"), F.min(F.when(F.col(start) > F.col("_hi"), F.struct(start, "_next")))["_next"].alias("_until")
+    )
+    bounds = _beside(spans.select(*keys), found, keys, "left").withColumn("_touched", F.lit(True))
+    inside = lambda x: (F.col("_from").isNull() | (F.col(x) >= F.col("_from"))) & (F.col("_until").isNull() | (F.col(x) < F.col("_until")))
+    again = _beside(log, bounds, keys).filter(inside(at)).select(*log.columns).unionByName(fresh)
+    rebuilt = _beside(scd2(again, keys, sequence, tracked, start, end, deletes), bounds, keys).withColumn(end, F.coalesce(end, "_until"))
+    kept = _beside(history, bounds, keys, "left").filter(F.col("_touched").isNull() | ~inside(start))
+    return kept.select(*history.columns).unionByName(rebuilt.select(*history.columns)), fresh
 
 
 def scd2_merge(history: DataFrame, batch: DataFrame, keys: Keys, sequence: Keys, tracked: Keys, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """[C3, M10] ``history`` of :func:`scd2` after a further batch: the touched keys' runs are made anew.
 
-    A closed run stands for its first and last rows. The batch may be late or repeat rows; the result equals that of all rows at once
-    as long as late rows fall outside of closed runs or agree with them.
+    For where no log of the rows is kept: a closed run stands for its first and last rows. The batch may repeat rows; the result equals that of all rows at once
+    as long as late rows fall outside of closed runs or agree with them. :func:`scd2_split` takes any late row.
     """
     touched = batch.select(*keys).distinct()
     old = history.join(touched, list(keys), "left_semi")

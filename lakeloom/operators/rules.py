@@ -40,10 +40,11 @@ def holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def expect(df: DataFrame, rules: Sequence[Rule], observation: Observation | None = None) -> DataFrame:
+def expect(df: DataFrame, rules: Sequence[Rule], observation: Observation | str | None = None) -> DataFrame:
     """[Q1, Q2, Q3, M11] Rows after the rules: ``drop`` rows go, ``fail`` rows stop the job, ``warn`` rows stay.
 
-    Counts of broken rules are observed on the way, without a job of their own; works on streams too.
+    Counts of broken rules are observed on the way, without a job of their own: into an ``Observation`` in a batch, under a name
+    in a stream, where a listener gets them for each micro-batch.
     """
     if observation is not None:
         df = df.observe(observation, F.count(F.lit(1)).alias("rows"), *[F.count_if(~holds(r.condition)).alias(r.name) for r in rules])

@@ -50,7 +50,7 @@ _CLOSED = "date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events
     FROM events WHERE {_CLOSED.format(30)} GROUP BY 1, 2, 3, 4
 """)
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[S1, S7, M1, M2, M5, M6] Counts and last event of each day, user and type."""
+    """[S1, M1, M2, M5, M6] Counts and last event of each day, user and type."""
     measures = {"stream_count": F.count(F.lit(1)), "last_event": F.max("ts")}
     return _plain(run_to_end(W.tumbling(event_stream(spark, sf_dir), "ts", "1 day", ["user_id", "event_type"], measures, "30 seconds")))
 
@@ -89,7 +89,7 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'by_type', count(*) FROM (SELECT DISTINCT date_trunc('day', ts), event_type FROM events WHERE {_CLOSED.format(30)}) UNION ALL SELECT 'rows', count(*) FROM events
 """)
 def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[M7, C11] One source, three queries with checkpoints of their own; row counts of their outputs."""
+    """[M7] One source, three queries with checkpoints of their own; row counts of their outputs."""
     folder, events = work_folder(spark), event_stream(spark, sf_dir)
     count = {"n": F.count(F.lit(1))}
     frames = {name: W.tumbling(events, "ts", "1 day", [key], count, "30 seconds") for name, key in (("by_user", "user_id"), ("by_type", "event_type"))}
@@ -102,7 +102,7 @@ def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_scd1", "SELECT user_id, event_id, ts, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_scd1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[M9, M10, M11, C2] Changes of a stream merged into a type 1 table, a new snapshot for each batch."""
+    """[M10, C2] Changes of a stream merged into a type 1 table, a new snapshot for each batch."""
     folder = work_folder(spark)
     at: list[str] = []
 

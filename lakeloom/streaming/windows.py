@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.history import scd1, scd2, scd2_merge, upsert
+from ..operators.history import scd1, scd2, scd2_merge, scd2_split, upsert
 from ..operators.joins import interval_join
+from ..sources.buckets import BucketTable
+from ..sources.sinks import exists
 
 
 def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
@@ -67,3 +71,57 @@ def change_sink(load: Callable[[], DataFrame | None], store: Callable[[DataFrame
 def upsert_sink(load: Callable[[], DataFrame | None], store: Callable[[DataFrame], None], keys: Sequence[str], sequence: Sequence[str] = ()):
     """[C1] For ``foreachBatch``: a keyed upsert of each batch."""
     return lambda batch, number: store(upsert(load(), batch, keys, sequence))
+
+
+def bucket_sink(table: BucketTable, sequence: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """[M10, C2] For ``foreachBatch``: each key's latest row by ``sequence`` in a table of buckets. Only touched buckets are read and replaced; late rows don't win."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark, keys = batch.sparkSession, list(table.keys)
+        latest = scd1(batch.select(*table.schema.names), keys, sequence)
+        touched = [r[0] for r in latest.select(table.bucket()).distinct().collect()]  # table.n rows at most
+        newer = scd1(table.read(spark, touched).unionByName(latest), keys, sequence).join(latest.select(*keys).distinct(), keys, "left_semi")
+        table.merge(newer, number, sequence)
+
+    return apply
+
+
+@dataclass
+class HistoryTable:
+    """[M10, C3] A type 2 table for ``foreachBatch``: beside it the log of changes, each batch in a folder of its own.
+
+    Batches may be late, hold deletes or come again. A history is written whole under its batch's number; the log's folder is
+    replaced when a batch runs again, after a failure at any point, so the result is the same.
+    """
+
+    path: str
+    keys: Sequence[str]
+    sequence: Sequence[str]
+    tracked: Sequence[str]
+    schema: T.StructType
+    deletes: Column | None = None
+
+    def _numbers(self, spark: SparkSession) -> list[int]:
+        if not exists(spark, f"{self.path}/done"):
+            return []
+        return sorted(r[0] for r in spark.read.schema("number int").json(f"{self.path}/done/*").collect())  # one a batch
+
+    def _kind(self) -> T.StructType:
+        return T.StructType([*self.schema.fields, *[T.StructField(c, self.schema[self.sequence[0]].dataType) for c in ("valid_from", "valid_to")]])
+
+    def _history(self, spark: SparkSession, number: int) -> DataFrame:
+        return spark.read.schema(self._kind()).parquet(f"{self.path}/history/batch={number}")
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        spark, names = batch.sparkSession, self.schema.names
+        before = [n for n in self._numbers(spark) if n < number]
+        log = spark.read.schema(self.schema).parquet(*[f"{self.path}/log/batch={n}" for n in before]) if before else spark.createDataFrame([], self.schema)
+        history = self._history(spark, before[-1]) if before else spark.createDataFrame([], self._kind())
+        history, fresh = scd2_split(history, log, batch.select(*names), self.keys, self.sequence, self.tracked, deletes=self.deletes)
+        fresh.write.mode("overwrite").parquet(f"{self.path}/log/batch={number}")
+        history.select(*self._kind().names).write.mode("overwrite").parquet(f"{self.path}/history/batch={number}")
+        spark.createDataFrame([(number,)], "number int").coalesce(1).write.mode("overwrite").json(f"{self.path}/done/batch={number}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        numbers = self._numbers(spark)
+        return self._history(spark, numbers[-1]) if numbers else spark.createDataFrame([], self._kind())
