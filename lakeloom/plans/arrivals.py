@@ -38,14 +38,17 @@ def _slice(late_seconds: Column) -> Column:
     return F.least(F.greatest(number, F.lit(0)), F.lit(_SLICES - 1))
 
 
-_JITTER = F.col("event_id") * 7919 % _HALF_DAY
+def _jitter() -> Column:
+    return F.col("event_id") * 7919 % _HALF_DAY
+
+
 _SQL_SLICE = "least(greatest(floor((floor(epoch(ts)) + {} - 1704067200) / 518400), 0), 5)"
 _SQL_JITTER = "event_id * 7919 % 43200"
 
 
 def arriving(spark: SparkSession, sf_dir: str, late_seconds: Column | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return rows.withColumn("slice", _slice(_JITTER if late_seconds is None else late_seconds))
+    return rows.withColumn("slice", _slice(_jitter() if late_seconds is None else late_seconds))
 
 
 def in_slices(rows: DataFrame, stage: Callable[[DataFrame, int], None], run: Callable[[], StreamingQuery | None]) -> None:
@@ -144,7 +147,7 @@ def stream_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[M8, S18, M1] Rows behind the watermark are put aside and counted: kept and late ones are all rows."""
     folder = work_folder(spark)
-    rows = arriving(spark, sf_dir, F.when(F.col("event_id") % 50 == 0, 864_000).otherwise(_JITTER)).select("event_id", "event_type", "ts", "slice")
+    rows = arriving(spark, sf_dir, F.when(F.col("event_id") % 50 == 0, 864_000).otherwise(_jitter())).select("event_id", "event_type", "ts", "slice")
     schema, split = rows.drop("slice").schema, G.LateSplit(f"{folder}/split", "ts", timedelta(hours=12))
     source = spark.readStream.schema(schema).parquet(f"{folder}/i[n]")
     in_slices(rows, lambda df, n: df.write.mode("append").parquet(f"{folder}/in"), lambda: to_end(source, split, f"{folder}/checkpoint"))
@@ -177,7 +180,10 @@ _SCD2_DELETES = """
     h0 AS (SELECT user_id, run, gone, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, min(ts) AS valid_from FROM g GROUP BY 1, 2, 3),
     h AS (SELECT user_id, event_id, ts, event_type, value, valid_from, lead(valid_from) OVER (PARTITION BY user_id ORDER BY run) AS valid_to, gone FROM h0)
 """
-_DELETED = F.col("event_type") == "error"
+
+
+def _deleted() -> Column:
+    return F.col("event_type") == "error"
 
 
 @query("scd2_late_changes", f"WITH {_SCD2_DELETES} SELECT * EXCLUDE (gone) FROM h WHERE NOT gone")
@@ -185,10 +191,10 @@ def scd2_late_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[C3, M10] A type 2 table from thirds of the changes in no order of time, one of them twice, deletes among them: equal to all changes at once."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
     spec = (["user_id"], ["ts", "event_id"], ["event_type"])
-    history = H.scd2(rows.filter("event_id % 3 = 1"), *spec, deletes=_DELETED)
+    history = H.scd2(rows.filter("event_id % 3 = 1"), *spec, deletes=_deleted())
     log = rows.filter("event_id % 3 = 1")
     for part in (rows.filter("event_id % 3 = 2"), rows.filter("event_id % 3 <> 1")):
-        history, fresh = H.scd2_split(history, log, part, *spec, deletes=_DELETED)
+        history, fresh = H.scd2_split(history, log, part, *spec, deletes=_deleted())
         log = log.unionByName(fresh)
     return history
 
@@ -198,7 +204,7 @@ def stream_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[M10, C3, M11] A stream of late and deleting changes into a type 2 table; the change log is its bronze table."""
     folder = work_folder(spark)
     rows = arriving(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value", "slice")
-    table2 = W.HistoryTable(f"{folder}/history", ["user_id"], ["ts", "event_id"], ["event_type"], rows.drop("slice").schema, deletes=_DELETED)
+    table2 = W.HistoryTable(f"{folder}/history", ["user_id"], ["ts", "event_id"], ["event_type"], rows.drop("slice").schema, deletes=_deleted())
     source = spark.readStream.schema(rows.drop("slice").schema).parquet(f"{folder}/i[n]")
     in_slices(rows, lambda df, n: df.write.mode("append").parquet(f"{folder}/in"), lambda: to_end(source, table2.merge, f"{folder}/checkpoint"))
     out = table2.read(spark)

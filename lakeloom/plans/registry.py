@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import arrivals, commerce, documents, files, history, motorsport, music, quality, rides, scalars, streams, taxi  # noqa: F401
+from . import arrivals, commerce, documents, files, history, layouts, motorsport, music, quality, rides, scalars, streams, taxi  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
