@@ -8,7 +8,8 @@
    price for each length, which falls as the length is covered and rises where it can't be; a knapsack
    dynamic program over the prices gives the configurations that get amounts, and a lower bound.
 4. The fractional solution is rounded: whole parts, then one more at each whole number of the running
-   sum of the rest, nothing covered twice. What is left is covered and rounded again, the last pieces go best-fit into the free room.
+   sum of the rest, nothing covered twice. What is left goes best-fit into the free room and new sequences. That is done for
+   several shares of the solution, and the plan with the fewest sequences counts.
 5. Pieces are numbered within their length (salted by the length's count) and look their place up in the plan's runs.
    The plan's size depends on ``capacity`` and the LP's rounds, not on the number of pieces.
 """
@@ -202,32 +203,26 @@ def solve_lp(counts: np.ndarray, capacity: int, rounds: int = 6, rate: float = 0
     return Cover(dict(amounts), bound)
 
 
-def _fitting(config: Config, left: np.ndarray) -> int:
-    """How often ``config`` can be used without covering a length twice."""
-    return int(min(left[x] // c for x, c in Counter(config).items()))
+def round_cover(cover: Cover, counts: np.ndarray, capacity: int, share: float = 1.0, slack: int | None = None) -> tuple[dict[Config, int], np.ndarray]:
+    """Whole configurations for ``share`` of the cover's amounts, and the counts that they leave; nothing is covered twice.
 
-
-def round_cover(cover: Cover, left: np.ndarray, plan: dict[Config, int]) -> None:
-    """Adds whole configurations to ``plan`` and takes their lengths from ``left``; nothing is covered twice.
-
-    First the whole parts and, along the running sum of the rest, one more wherever it passes a whole number; then
-    any configuration of the cover that still fits, the larger amounts first.
+    Each gets the whole part of its amount and, along the running sum of the rest, one more wherever that passes a whole number. Configurations with more than
+    ``slack`` free tokens are left out.
     """
-    running = given = 0.0
-    tries: list[tuple[Config, int]] = []
+    left, plan, running = counts.copy(), {}, 0.0
     for config in sorted(cover.amounts, reverse=True):
-        whole = int(cover.amounts[config])
-        running += cover.amounts[config] - whole
-        extra = int(running + 1e-9) - int(given)
-        given += extra
-        if whole + extra:
-            tries.append((config, whole + extra))
-    tries += [(config, 1) for config in sorted(cover.amounts, key=lambda c: (-cover.amounts[c], c))]
-    for config, k in tries:
-        if (n := min(k, _fitting(config, left))) > 0:
-            plan[config] += n
-            for x in config:
-                left[x] -= n
+        if slack is not None and capacity - sum(config) > slack:
+            continue
+        amount = cover.amounts[config] * share
+        extra = int(running + amount % 1 + 1e-9) - int(running + 1e-9)
+        running += amount % 1
+        many = Counter(config)
+        n = min(int(amount) + extra, min(int(left[x] // c) for x, c in many.items()))
+        if n > 0:
+            plan[config] = n
+            for x, c in many.items():
+                left[x] -= n * c
+    return plan, left
 
 
 def best_fit(left: np.ndarray, plan: dict[Config, int], capacity: int) -> dict[Config, int]:
@@ -260,21 +255,28 @@ def best_fit(left: np.ndarray, plan: dict[Config, int], capacity: int) -> dict[C
     return {config: k for room in free.values() for config, k in room.items() if config and k}
 
 
-def make_plan(counts: np.ndarray, capacity: int, again: int = 4) -> dict[Config, int]:
+#: Shares of the LP's cover that are rounded, and the free tokens that its configurations may have there.
+SHARES, SLACKS = (1.0, 0.98, 0.9, 0.75, 0.5, 0.25), (None, 8, 0)
+
+
+def make_plan(counts: np.ndarray, capacity: int) -> dict[Config, int]:
     """Configurations and how often each is used, for ``counts`` pieces of each length.
 
-    The LP's cover is rounded; what it leaves is covered and rounded ``again`` times, and its last pieces are fitted best.
+    Rounding strands the cover's last pieces in lengths that fit each other badly. So the cover is rounded at several shares: what a smaller one
+    leaves has pieces of all lengths, which are fitted best. The plan with the fewest sequences counts, the largest share of equal ones.
     """
-    left, plan = counts.astype(np.int64).copy(), defaultdict(int)
-    if left[capacity]:
-        plan[(capacity,)], left[capacity] = int(left[capacity]), 0
-    for k in range(1 + again):
-        before = int(left.sum())
-        if before:
-            round_cover(solve_lp(left, capacity) if not k else solve_lp(left, capacity, rounds=4, batches=12), left, plan)
-        if left.sum() > 0.9 * before:
-            break
-    return best_fit(left, plan, capacity)
+    left = counts.astype(np.int64).copy()
+    whole = {(capacity,): int(left[capacity])} if left[capacity] else {}
+    left[capacity] = 0
+    cover = solve_lp(left, capacity)
+    best: dict[Config, int] | None = None
+    for share in SHARES:
+        for slack in SLACKS:
+            plan, rest = round_cover(cover, left, capacity, share, slack)
+            plan = best_fit(rest, plan, capacity)
+            if best is None or sum(plan.values()) < sum(best.values()):
+                best = plan
+    return {**whole, **best}
 
 
 def _runs(plan: dict[Config, int], capacity: int) -> dict[str, np.ndarray]:
