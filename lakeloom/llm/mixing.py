@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-1. Sizes (words) are counted once and cut to the checkpoint folder.
+1. Sizes (words) are counted once and cut to the checkpoint folder; equal rows are one row with a count there.
 2. Targets are found by water-filling over the table of sources.
-3. Each source is dealt by a hash of the id into blocks of about
+3. Each source is dealt by a hash of its rows, many equal ones in lots, into blocks of about
    ``block_words`` words. It is drawn in passes: whole passes over all its
    blocks, then a last pass over a random prefix of the permuted blocks; the
    block at the border gives a prefix of its permuted documents, so that the
@@ -92,14 +92,31 @@ def _row_key(docs: DataFrame, text_col: str) -> list[Column]:
     return [F.md5(clean_text(text_col)).alias("_md5"), F.xxhash64(*every, *[c.isNull() for c in every]).alias("_rest")]
 
 
+#: What deals a lot to its block and its place there.
+_LOT = ("_id", "_md5", "_rest", "lot")
+
+
+def lots(classes: DataFrame, block_words: int) -> DataFrame:
+    """Classes of equal rows (``size`` words, ``copies`` of them) in lots of ``n`` copies, numbered ``lot``: each a small part of a block, so that copies spread over the blocks of their source."""
+    most = F.greatest(F.lit(1), F.least(F.lit(4096), F.expr(f"{max(1, block_words // 16)} div greatest(size, 1)")))
+    many = classes.withColumn("_most", most).withColumn("lot", F.explode(F.expr("sequence(0, (copies - 1) div _most)")))
+    return many.withColumn("n", F.least(F.col("_most"), F.col("copies") - F.col("lot") * F.col("_most"))).drop("_most", "copies")
+
+
+def block_of(seed: int) -> Column:
+    """The block of a lot among the ``blocks`` of its source."""
+    return F.pmod(F.xxhash64(F.lit(seed), *_LOT), F.col("blocks")).cast("int")
+
+
 def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17, weights: Column | None = None, block_words: int = 1 << 16, max_blocks: int = 1 << 20, shard_words: int = 1 << 22, max_shards: int = 1 << 16) -> tuple[DataFrame, int]:
     """See :func:`mix_plan`; also the number of shards."""
     if shards is not None and shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     words = F.regexp_count(clean_text(text_col), F.lit(WORD)).cast("long")
-    sizes = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words.alias("size"), *_row_key(docs, text_col)))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words.alias("size"), *_row_key(docs, text_col))
+    sizes = cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")))
     sources = cut(
-        source_targets(sizes, weights)
+        source_targets(sizes.select("source", (F.col("size") * F.col("copies")).alias("size")), weights)
         .withColumn("words", F.round("target").cast("long"))
         .withColumn("passes", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0).cast("int"))
         .withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
@@ -110,12 +127,12 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     depth = shards.bit_length() - 1
     block_words = max(block_words, total // max_blocks)
     sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("int"))
-    dealt = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_md5"), F.col("blocks")).cast("int"))
+    dealt = lots(sizes, block_words).join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    dealt = dealt.withColumn("block", block_of(seed))
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
     blocks = (
         dealt.groupBy("source", "block")
-        .agg(F.sum("size").alias("block_words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
+        .agg(F.sum(F.col("size") * F.col("n")).alias("block_words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
         .withColumn("place", F.row_number().over(permuted) - 1)
         .withColumn("before", F.sum("block_words").over(permuted.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("block_words"))
         .withColumn("extra", F.greatest(F.lit(0), F.least(F.col("block_words"), F.col("rest") - F.col("before"))))
@@ -138,9 +155,12 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     placed = placed.groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("_draws"))
     kept = blocks.select("source", "block", "block_words", "extra").join(placed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
     kept = kept.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "block_words", "extra", "_draws")
-    in_block = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 4), "_id", "_md5"), "_id", "size", "_md5", "_rest")
+    in_block = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 4), *_LOT), "_id", "size", "_md5", "_rest", "lot")
     whole = dealt.join(kept, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
-    whole = whole.withColumn("_before", F.sum("size").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+    weight = F.col("size") * F.col("n")
+    whole = whole.withColumn("_before", F.sum(weight).over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - weight)
+    # A lot's copies follow each other.
+    whole = whole.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("_before", F.col("_before") + F.col("_copy") * F.col("size"))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("_before")))
     of_draw = F.transform(
         F.coalesce("_draws", F.array().cast("array<struct<pass:int,shard:int>>")),
