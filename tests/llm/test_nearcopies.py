@@ -3,7 +3,10 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lakeloom.llm import nearcopies
+from lakeloom.llm.graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +60,41 @@ def test_near_dedup_of_repeated_and_null_ids(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()), key=repr)
     assert got == sorted([(3, a), (5, b), (None, "alone one"), (7, "")], key=repr)
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_large_components_meet_by_key(spark):
+    """A chain of texts that collide by chance, and a group of near copies: with small places the links are the same, and no place is large."""
+    rng = random.Random(7)
+    texts, window = [], [f"w{k}" for k in range(120)]
+    for i in range(300):  # each shares about half of its shingles with the next
+        texts.append(" ".join(window))
+        window = [*window[40:], *[f"x{i}_{k}" for k in range(40)]]
+    base = [f"v{k}" for k in range(150)]
+    texts += [edited(rng, base, rng.choice((0.82, 0.9))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+
+    def groups(**options):
+        named, roots = nearcopies.jaccard_roots(df, **options)
+        of = {r["node"]: r["root"] for r in roots.collect()}
+        found = {}
+        for r in named.collect():
+            found.setdefault(of.get(r["node"], r["node"]), set()).add(r["_md5"])
+        return sorted(map(sorted, found.values()))
+
+    whole = groups()
+    assert max(map(len, whole)) >= 35 and groups(group_shingles=1000) == whole
+    signed = [(nearcopies.node_of(s), len(s), nearcopies.band_keys(s)) for s in map(nearcopies.shingles, texts)]
+    weights = spark.createDataFrame([(n, w) for n, w, _ in signed], "node long, n long")
+    dealt = spark.createDataFrame([(k, n) for n, _, keys in signed for k in keys], "key long, node long")
+    stars = dealt.groupBy("key").agg(F.min("node").alias("b"))
+    coarse = connected_components(dealt.join(stars, "key").filter("node <> b").select(F.col("node").alias("a"), "b"))
+    where = nearcopies.meetings(dealt, coarse, weights, 2000).join(weights, "node")
+    assert where.groupBy("place").agg(F.sum("n").alias("s")).agg(F.max("s")).head()[0] <= 2 * 2000
+    by_key = {}
+    for n, _, keys in signed:
+        for k in keys:
+            by_key.setdefault(k, set()).add(n)
+    met = {}
+    for r in where.collect():
+        met.setdefault(r["node"], set()).add(r["place"])
+    assert all(met[a] & met[b] for nodes in by_key.values() for a in nodes for b in nodes if a != b)  # every two with a common key

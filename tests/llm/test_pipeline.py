@@ -41,7 +41,8 @@ def test_queries(spark, sf, name):
     assert len(got)
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
-        con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+        for t in ("documents", "embeddings"):
+            con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
         want = con.sql(queries.ORACLE_SQL[name]).df()
         key = sorted(got.columns)
         assert sorted(map(repr, got[key].astype(str).itertuples(index=False, name=None))) == sorted(map(repr, want[key].astype(str).itertuples(index=False, name=None)))
