@@ -4,8 +4,9 @@ Each page is read into a tree of elements. Every node gets its characters, tags,
 link characters and link tags; its composite density is characters a tag,
 adjusted by the share of link text against the body's own. The density sum of a node adds
 its children's densities. The node with the largest sum is the main subtree; the least density on the path from the body
-down to it is the threshold. The subtree grows to the article around it, or over dense neighbours. Inside it, blocks of links below the threshold and
-readers' comments go, and so do the parts that names mark (``nav``, ``aside``, class ``ad``): marks can't make a node
+down to it is the threshold. Density alone chooses it. An ``article`` or ``main`` around it is taken whole only if the subtree is most of its text. Without one the
+subtree grows over blocks beside it whose own text is as dense as its own, and headings before them; what else stands there is left out. Inside it, blocks of links below the threshold,
+readers' comments, adverts and copyright lines that say what they are, and headings of what is dropped go, and so do the parts that names mark (``nav``, ``aside``, class ``ad``): marks can't make a node
 the main one, and count for nothing where they would take the page's article or most of its text.
 The text is given block by block. Pages are independent rows: one narrow step, no shuffle. Reading takes time in proportion to a page's
 length, whatever is in it.
@@ -55,7 +56,12 @@ _BESIDE = frozenset(
     "site main top left right bottom upper lower primary secondary global page post posts article articles entry list area section box container"
     " wrapper wrap bar block slot unit inner outer item items link links button buttons icon icons form header text message group panel col column js id".split()
 ) | {""}
-_PHRASE_END = frozenset("p h1 h2 h3 h4 h5 h6".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PHRASE_END = _HEADINGS | {"p"}
+#: Class names that promise an article.
+_HINTS = frozenset("post entry article story post-content entry-content article-body article-content story-body post-body".split())
+#: Blocks beside the main subtree are text if they are at least so dense, as a share of its own blocks.
+_LEVEL = 0.8
 _TEXT = _PHRASE_END | frozenset("ul ol dl pre blockquote table figure".split())
 _EMPTY: frozenset[str] = frozenset()
 #: Blocks that are dropped as a whole if they are mostly links.
@@ -66,15 +72,17 @@ _COMMENTS = re.compile(
     r"|what (?:our |the |other )?(?:readers|users|visitors|people|others) (?:say|said|are saying|think|wrote)\W*|(?:leave|write|post|add) (?:a|your) (?:comment|reply)\W*|join the (?:discussion|conversation)\W*",
     re.I,
 )
+#: How adverts and copyright lines start.
+_NOTICE = re.compile(r"(?:©|\(c\) |copyright\b|all rights reserved|advertisements?\b|advertorial\b|sponsored\b|promoted (?:by|content|post)|anzeige\b|publicité\b|publicidad\b|werbung\b)", re.I)
 _SPEAKER = frozenset("b strong cite a span time em i".split())
 _SAID = re.compile(r"\b(?:says|said|writes|wrote|replied|commented|posted|ago)\b", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "parts", "skip", "marked")
+    __slots__ = ("tag", "parts", "skip", "marked", "hinted")
 
     def __init__(self, tag: str, skip: bool, marked: bool = False) -> None:
-        self.tag, self.skip, self.marked = tag, skip, marked
+        self.tag, self.skip, self.marked, self.hinted = tag, skip, marked, False
         self.parts: list[str | _Node] = []
 
 
@@ -216,12 +224,13 @@ def parse(html: str) -> _Node:
                     break
         if len(stack) >= _DEEPEST:
             stack.pop()
-        kept_tag = tag in ("html", "body", "article", "main")
+        kept_tag = tag in ("html", "body") or tag in ("article", "main") and not any(x.tag == "article" for x in stack)
         hidden, marked = _flags(attributes) if attributes else (False, False)
         in_article = tag == "header" and any(x.tag in ("article", "main") for x in stack)
         never = tag in _NEVER or hidden and not kept_tag
         outside = tag in _OUTSIDE and tag != "form" or tag == "header" and not in_article
         node = _Node(tag, never or outside or (marked or tag == "form") and not kept_tag, (marked or tag == "form") and not never and not outside)
+        node.hinted = any(name.lower() == "class" and not _HINTS.isdisjoint(value.lower().split()) for name, value in attributes)
         if node.marked and node.skip:
             marks.append(node)
         if not never:
@@ -310,6 +319,11 @@ def _is_talk(m: _Measure, threshold: float) -> bool:
     return m.density < threshold and len(named) > 1 and len(named) + 1 >= len(blocks)
 
 
+def _is_notice(m: _Measure) -> bool:
+    """A short block that says itself what it is: an advert or a copyright line."""
+    return m.node.tag in ("div", "section", "p", "span", "center", "small") and m.chars <= 300 and bool(_NOTICE.match(" ".join(text_of(m.node).split())))
+
+
 def _speaks(entry: _Node) -> bool:
     """Whether an entry begins with a short inline element, a name, and soon tells that somebody spoke, or when."""
     if not (_SAID.search(" ".join(text_of(entry).split())[:80]) or any(not isinstance(x, str) and x.tag == "time" for x in entry.parts)):
@@ -325,6 +339,78 @@ def _speaks(entry: _Node) -> bool:
             return parts > 0 and 0 < len(text_of(node)) <= 40
 
 
+def _hinted(path: list[_Measure]) -> _Measure | None:
+    """An element around the main subtree whose tag or class promises an article, if the subtree is most of its text: the outermost ``article``, else the nearest ``main`` or named one."""
+    best = path[0]
+    found = next((m for m in reversed(path) if m.node.tag == "article"), None) or next((m for m in path if m.node.tag == "main" or m.node.hinted), None)
+    if found is None:
+        return None
+    outside = sum(c.chars for c in found.children if c.outside)
+    return found if best.chars * 2 >= found.chars - found.link_chars - outside else None
+
+
+def _has_blocks(m: _Measure) -> bool:
+    return any(c.node.tag in _BLOCK and c.chars for c in m.children)
+
+
+def _text_level(best: _Measure) -> float:
+    """The density of the block in which the middle character of the subtree's blocks stands."""
+    blocks = sorted((c.density, c.chars) for c in best.children if c.node.tag in _BLOCK and c.chars) or [(best.density, best.chars)]
+    half, seen = sum(n for _, n in blocks) / 2, 0
+    for density, n in blocks:
+        seen += n
+        if seen >= half:
+            break
+    return density
+
+
+def _grown(best: _Measure, path: list[_Measure], threshold: float, dropped: set[int]) -> _Measure:
+    """The lowest element of the path that holds the subtree and every block beside it that is as dense as its text, or a heading before it. The other blocks up to there are dropped."""
+    level, top, beside, held = _LEVEL * _text_level(best), best, [], best
+    for up in path[1:]:
+        if up.outside:
+            break
+        kept_below = True  # what stands behind a heading is kept
+        own = sum(len(" ".join(part.split())) for part in up.node.parts if isinstance(part, str))
+        found = own >= level
+        for c in reversed(up.children):
+            if c is held:
+                kept_below = True
+                continue
+            text = c.chars and not c.outside and c.link_chars * 2 < c.chars and not _is_talk(c, threshold)
+            heading = c.node.tag in _HEADINGS and kept_below and bool(text)
+            keep = heading or bool(text) and c.node.tag not in _HEADINGS and _text_level(c) >= level and not _is_notice(c) and (c.node.tag in _TEXT or _has_blocks(c) or c.chars * 2 >= best.chars)
+            found |= keep
+            if c.node.tag in _BLOCK and c.chars:
+                kept_below = keep
+            if not keep and c.node.tag in _BLOCK:
+                beside.append(id(c.node))
+        if found:
+            top = up
+            dropped.update(beside)
+            beside = []
+        held = up
+    # Where the text stands in containers, a bare line between them is none of its paragraphs.
+    plain = lambda m: m.chars - m.link_chars
+    texts = [c for c in best.children if not c.outside and c.node.tag in _BLOCK]
+    if 2 * sum(plain(c) for c in texts if _has_blocks(c)) >= sum(map(plain, texts)):
+        dropped.update(id(c.node) for c in texts if c.node.tag in ("div", "section", "center") and not _has_blocks(c) and c.chars * 2 < best.chars and c.density < level)
+    return top
+
+
+def _drop_lone_headings(m: _Measure, dropped: set[int]) -> None:
+    """Drops headings of which all blocks up to the next one are dropped, and at least one."""
+    lost, kept = 0, False
+    for c in reversed(m.children):
+        if c.node.tag in _HEADINGS:
+            if lost and not kept:
+                dropped.add(id(c.node))
+            lost, kept = 0, False
+        elif c.chars:
+            gone = id(c.node) in dropped or c.outside
+            lost, kept = lost + gone, kept or not gone
+
+
 def main_node(root: _Node) -> tuple[_Node, set[int]]:
     """The main subtree, and the ids of the nodes in it that aren't main text."""
     body = next((p for p in root.parts if not isinstance(p, str) and p.tag == "body"), root)
@@ -337,26 +423,22 @@ def main_node(root: _Node) -> tuple[_Node, set[int]]:
         at = parent[id(at)]
         path.append(at)
     threshold = min(m.density for m in path[1:] or path)
-    around = next((m for m in reversed(path) if m.node.tag == "article"), None) or next((m for m in path if m.node.tag == "main"), None)
+    dropped: set[int] = set()
+    around = _hinted(path)
     if around is not None:
         best = around
     else:
-        # Without such an element: go up while what stands beside is text, not menus nor talk. Right below the body
-        # a container has to be as dense as the path; headings, paragraphs and lists needn't.
-        for up in path[1:]:
-            inner = up is not top
-            beside = [c for c in up.children if c is not best and c.chars and not c.outside and c.link_chars * 2 < c.chars and not _is_talk(c, threshold)]
-            own = any(isinstance(part, str) and part.strip() for part in up.node.parts)
-            if up.chars > best.chars and not (own or any(inner or c.density >= threshold or c.node.tag in _TEXT for c in beside)):
-                break
-            best = up
-    dropped, stack = set(), list(best.children)
+        best = _grown(best, path, threshold, dropped)
+    stack = [c for c in best.children if id(c.node) not in dropped]
     while stack:
         m = stack.pop()
-        if m.outside or m.chars * 2 < best.chars and (_is_menu(m, threshold) or _is_talk(m, threshold)):
+        notice = m.node.tag != "p" and not _has_blocks(m) and _is_notice(m)
+        if m.outside or m.chars * 2 < best.chars and (_is_menu(m, threshold) or _is_talk(m, threshold) or notice):
             dropped.add(id(m.node))
         else:
-            stack.extend(m.children)
+            _drop_lone_headings(m, dropped)
+            stack.extend(c for c in m.children if id(c.node) not in dropped)
+    _drop_lone_headings(best, dropped)
     return best.node, dropped
 
 

@@ -1,9 +1,13 @@
 """Whole articles: nested containers, layout classes, words in attribute values."""
 
 import math
+import random
+import re
 import time
 
+import pyarrow.parquet as pq
 import pytest
+from conftest import DATA
 
 from lakeloom.llm import html
 
@@ -132,3 +136,60 @@ def test_clashing_columns_and_odd_pages(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, _url string")
     got = sorted(map(tuple, html.main_texts(df).collect()), key=repr)
     assert got == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(None, None, "", 0), (2, "", "", 0), (3, "u", "x", 1)], key=repr)
+
+
+def test_growth_leaves_boilerplate_beside_the_article():
+    """No name tells here what is what: adverts and footers are less dense than the article's text, or one bare line."""
+    ad, foot = "<div>Buy this now, it is very cheap and good.</div>", "<div>© 2024 somebody. <a href=1>Terms</a></div>"
+    for page in (f"{ad}<div>{P}</div>{foot}", f"<div>{ad}<div>{P}</div>{foot}</div>", f"<div><div>{ad}</div><div><div>{P}</div></div></div>{foot}"):
+        assert html.extract(f"<body>{MENU}{page}</body>") == TEXT
+    half = P.split("</p>")
+    split = f"<div>{'</p>'.join(half[:2])}</p></div>{ad}<div>{'</p>'.join(half[2:])}</div>"
+    assert html.extract(f"<body>{MENU}{split}{foot}</body>") == TEXT  # both halves, not the advert between them
+    assert html.extract(f"<body>{MENU}<div><h1>A title</h1>{ad}<h2>Under it</h2><div>{P}</div></div>{foot}</body>") == "Under it\n" + TEXT
+
+
+def test_nested_comments_lone_headings_and_adverts_go():
+    more = "<h2>Read next</h2><ul><li><a href=1>One more</a></li><li><a href=2>Another one</a></li></ul>"
+    for inside in ("<article class=comment><p>Nice text, I say.</p></article>", more, '<div>Advertisement: <a href="1">Buy this</a></div>', "<div>Sponsored</div>", f"{more}<h3>Also</h3><nav><a href=3>x</a></nav>", "<div>Copyright 2024 by us</div>"):
+        assert html.extract(f"<body>{NAV}<article>{P}{inside}</article></body>") == TEXT, inside
+    kept = "<h2>Advertisement rules</h2><p>Advertisement is a hard word.</p><h2>End</h2>"
+    assert html.extract(f"<body>{NAV}<article>{P}{kept}</article></body>") == TEXT + "\nAdvertisement rules\nAdvertisement is a hard word.\nEnd"
+    page = f"<main><article class='x post'><p>short</p></article><article>{P}</article></main>"
+    assert TEXT in html.extract(f"<body>{NAV}{page}</body>")
+
+
+def neutral(page):
+    """The page without names that mean something."""
+    page = re.sub(r"<(/?)(?:nav|footer|aside|header|article|main)\b", r"<\1div", page)
+    return page.replace('class="ad"', 'class="zz"')
+
+
+def test_given_pages_without_names():
+    """Density chooses: of the 2,500 pages over 2,400 give the same text without names; the others are short, their one advert is as long as a paragraph of them."""
+    path = DATA / "sf0.1/pages.parquet"
+    if not path.exists():
+        pytest.skip("no test tables")
+    pages = pq.read_table(path, columns=["html"])["html"].to_pylist()
+    want = [html.extract(p) for p in pages]
+    for change in (neutral, lambda p: neutral(p).replace("<body>", "<body><div><div>").replace("</body>", "</div></div></body>")):
+        got = [html.extract(change(p)) for p in pages]
+        assert sum(a == b for a, b in zip(want, got)) >= 2415
+        assert all(a in b and len(a) < 500 for a, b in zip(want, got) if a != b)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_made_pages_give_exactly_their_article(seed):
+    """Pages of random form around a known text."""
+    r = random.Random(seed)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    blocks = [line(r.randint(40, 90)) for _ in range(r.randint(3, 8))]
+    inner = "".join(f"<{t}>{b}</{t}>" for b in blocks for t in [r.choice(["p", "p", "p", "div", "blockquote"])])
+    links = "".join(f"<li><a href='/{i}'>{line(2)}</a></li>" for i in range(r.randint(3, 9)))
+    menu = r.choice([f"<div><ul>{links}</ul></div>", f"<ul class=menu>{links}</ul>", f"<nav><ul>{links}</ul></nav>"])
+    side = r.choice(["", f"<div class=sidebar><p>{line(8)}</p></div>", f"<div>{line(6)}</div>", f"<aside><p>{line(60)}</p></aside>", f"<form>{line(5)}<input></form>"])
+    foot = r.choice([f"<footer>{line(9)}</footer>", f"<div>© {line(7)}</div>", f"<div>{line(5)} <a href=1>{line(3)}</a></div>"])
+    for _ in range(r.randint(0, 3)):
+        inner = f"<{r.choice(['div', 'section'])} id=x{r.randint(0, 99)}>{inner}</div>"
+    body = r.choice([f"{menu}{inner}{side}{foot}", f"<div>{menu}<div>{inner}</div>{side}</div>{foot}", f"{menu}<article>{inner}</article>{side}{foot}", f"<div>{side}<main>{inner}</main></div>{menu}{foot}"]) if inner.startswith(("<div id", "<section")) else f"{menu}<article>{inner}</article>{side}{foot}"
+    assert html.extract(f"<html><head><title>t</title></head><body>{body}</body></html>") == "\n".join(blocks)
