@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..sources.files import load_documents
+from ..sources.sinks import write_documents
 from .base import query, table
+from .streams import work_folder
 
 #: Words of the generated prose that stand for the guarded ones.
 WORDS = ("nce", "that", "ction")
@@ -18,6 +21,19 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chunks(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@query("loaded_documents", """
+    SELECT 'doc_' || doc_id AS source, CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'general' END AS type, length(text) AS n_chars, md5(text) AS text_md5 FROM documents WHERE doc_id IS NOT NULL AND text <> ''
+""")
+def loaded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R1] Documents as files of a tree, loaded recursively, with source and type from their paths."""
+    folder = f"{work_folder(spark)}/docs"
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text <> ''")
+    path = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    write_documents(docs.select(path.alias("path"), "text"), folder)
+    loaded = load_documents(spark, folder, {"/en/": "en", "/de/": "de"})
+    return loaded.select("source", "type", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 _TOP = """
     WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
     s AS (SELECT query_id, vec_id, list_cosine_similarity(cast(embedding AS DOUBLE[]), cast(q AS DOUBLE[])) AS score FROM embeddings, q),

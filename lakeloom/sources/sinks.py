@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,23 @@ def write_microbatch(path: str, partitions: Sequence[str] = (), row_bytes: int =
     return write
 
 
+def write_documents(docs: DataFrame, folder: str) -> int:
+    """[R1] One text file for each (``path``, ``text``) below a folder that all executors reach; returns their number. A file that is written again is replaced."""
+    from pyarrow import fs as arrow_fs
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = arrow_fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["text"]):
+                at = f"{root}/{path}"
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at) as out:
+                    out.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return docs.select("path", "text").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+
+
 def replace_by_key(target: DataFrame | None, staged: DataFrame, keys: Sequence[str], run: str, dataset: str) -> tuple[DataFrame, DataFrame]:
     """[C13] The target after delete by key and insert, and one audit row (run, dataset, rows, status)."""
     audit = staged.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(run).alias("run_id"), F.lit(dataset).alias("dataset"), "rows", F.lit("loaded").alias("status"))

@@ -95,7 +95,7 @@ def test_entry_without_the_corpus_subpackage():
         "import sys\n"
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name.startswith(('lakeloom.' + 'llm', 'corpus_' + 'pipeline')): raise ModuleNotFoundError(name, name=name)\n"
+        "        if name.startswith(('lakeloom.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "names = e.queries(); assert names and not any(n.startswith('op1') or n == 'pipeline' for n in names); assert e.oracle_sql()\n"

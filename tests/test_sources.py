@@ -117,3 +117,12 @@ def test_documents_manifest_queue_and_sinks(spark, tmp_path):
     held = [spark.read.parquet(path)]
     M.upsert_sink(lambda: held[-1], held.append, ["k"])(spark.createDataFrame([(3, "n")], "k int, v string"), 0)
     assert rows(held[-1]) == [(1, "x"), (2, "z"), (3, "n")]
+
+
+def test_written_documents_load_again(spark, tmp_path):
+    docs = spark.createDataFrame([("a/x.md", "one\ntwo"), ("b/c/y.txt", "é"), ("z.md", None)], "path string, text string")
+    assert K.write_documents(docs, str(tmp_path / "d")) == 3
+    assert K.write_documents(docs.filter("path = 'z.md'").withColumn("text", F.lit("new")), f"file://{tmp_path}/d") == 1
+    found = rows(S.load_documents(spark, str(tmp_path / "d"), {"/a/": "first", "/c/": "second"}), "source", "type", "text")
+    assert found == [("x", "first", "one\ntwo"), ("y", "second", "é"), ("z", "general", "new")]
+    assert K.write_documents(docs.limit(0), str(tmp_path / "d")) == 0
