@@ -75,7 +75,9 @@ class WordTokenizer:
         if len(self.known) > self.cache_words:
             self.known, self.old = {"": b""}, self.known
         known, old = self.known, self.old
-        met = {w for words in split for w in words if w not in known}
+        # Words are looked up once; only where some were unknown the gaps are filled below.
+        found = [list(map(known.get, words)) for words in split]
+        met = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
         known.update((w, old[w]) for w in met if w in old)
         new = {w: _stem(w) for w in met if w not in old}
         parts = {p for pair in new.values() for p in pair if p not in known}
@@ -90,11 +92,11 @@ class WordTokenizer:
         other = [p for p in parts if p not in known]
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+            for word, one in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[word] = np.array(one.ids, "<u4").tobytes()
         for word, (stem, tail) in new.items():
             known[word] = known[stem] + known[tail]
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
 
 
 @cache
