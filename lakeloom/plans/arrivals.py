@@ -204,7 +204,7 @@ def stream_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[M10, C3, M11] A stream of late and deleting changes into a type 2 table; the change log is its bronze table."""
     folder = work_folder(spark)
     rows = arriving(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value", "slice")
-    table2 = W.HistoryTable(f"{folder}/history", ["user_id"], ["ts", "event_id"], ["event_type"], rows.drop("slice").schema, deletes=_deleted())
+    table2 = W.HistoryTable(f"{folder}/history", ["user_id"], ["ts", "event_id"], ["event_type"], rows.drop("slice").schema, deletes=_deleted(), n=8)
     source = spark.readStream.schema(rows.drop("slice").schema).parquet(f"{folder}/i[n]")
     in_slices(rows, lambda df, n: df.write.mode("append").parquet(f"{folder}/in"), lambda: to_end(source, table2.merge, f"{folder}/checkpoint"))
     out = table2.read(spark)

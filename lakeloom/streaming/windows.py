@@ -88,10 +88,10 @@ def bucket_sink(table: BucketTable, sequence: Sequence[str]) -> Callable[[DataFr
 
 @dataclass
 class HistoryTable:
-    """[M10, C3] A type 2 table for ``foreachBatch``: beside it the log of changes, each batch in a folder of its own.
+    """[M10, C3] A type 2 table for ``foreachBatch``, in ``n`` buckets of its keys; beside it the log of changes, each batch in a folder of its own, in the same buckets.
 
-    Batches may be late, hold deletes or come again. A history is written whole under its batch's number; the log's folder is
-    replaced when a batch runs again, after a failure at any point, so the result is the same.
+    Batches may be late, hold deletes or come again. Only the buckets that a batch touches are read and replaced, in history and log. A batch that runs again
+    after a failure at any point gives the same rows: its own part of the log is not read, and intervals that are made again come out alike.
     """
 
     path: str
@@ -100,28 +100,35 @@ class HistoryTable:
     tracked: Sequence[str]
     schema: T.StructType
     deletes: Column | None = None
+    n: int = 64
 
-    def _numbers(self, spark: SparkSession) -> list[int]:
-        if not exists(spark, f"{self.path}/done"):
-            return []
-        return sorted(r[0] for r in spark.read.schema("number int").json(f"{self.path}/done/*").collect())  # one a batch
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.n)).cast("int")
 
     def _kind(self) -> T.StructType:
         return T.StructType([*self.schema.fields, *[T.StructField(c, self.schema[self.sequence[0]].dataType) for c in ("valid_from", "valid_to")]])
 
-    def _history(self, spark: SparkSession, number: int) -> DataFrame:
-        return spark.read.schema(self._kind()).parquet(f"{self.path}/history/batch={number}")
+    def _stored(self, spark: SparkSession, part: str, kind: T.StructType, parts: Sequence[str]) -> DataFrame:
+        whole = T.StructType([*kind.fields, *[T.StructField(p, T.IntegerType()) for p in parts]])
+        return spark.read.schema(whole).parquet(f"{self.path}/{part}") if exists(spark, f"{self.path}/{part}") else spark.createDataFrame([], whole)
 
-    def merge(self, batch: DataFrame, number: int) -> None:
+    def merge(self, batch: DataFrame, number: int) -> list[int]:
+        """The touched buckets; none if the batch is done already."""
         spark, names = batch.sparkSession, self.schema.names
-        before = [n for n in self._numbers(spark) if n < number]
-        log = spark.read.schema(self.schema).parquet(*[f"{self.path}/log/batch={n}" for n in before]) if before else spark.createDataFrame([], self.schema)
-        history = self._history(spark, before[-1]) if before else spark.createDataFrame([], self._kind())
-        history, fresh = scd2_split(history, log, batch.select(*names), self.keys, self.sequence, self.tracked, deletes=self.deletes)
-        fresh.write.mode("overwrite").parquet(f"{self.path}/log/batch={number}")
-        history.select(*self._kind().names).write.mode("overwrite").parquet(f"{self.path}/history/batch={number}")
-        spark.createDataFrame([(number,)], "number int").coalesce(1).write.mode("overwrite").json(f"{self.path}/done/batch={number}")
+        if exists(spark, f"{self.path}/done/{number}/_SUCCESS"):
+            return []
+        touched = sorted(r[0] for r in batch.select(self._bucket()).distinct().collect())  # n rows at most
+        if touched:
+            here = F.col("_bucket").isin(touched)
+            log = self._stored(spark, "log", self.schema, ["batch", "_bucket"]).filter(here & (F.col("batch") < number)).select(*names)
+            history = self._stored(spark, "history", self._kind(), ["_bucket"]).filter(here).select(*self._kind().names)
+            history, fresh = scd2_split(history, log, batch.select(*names), self.keys, self.sequence, self.tracked, deletes=self.deletes)
+            fresh.withColumn("_bucket", self._bucket()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/log/batch={number}")
+            # Rows of a key never vanish altogether, so every touched bucket is written.
+            dealt = history.select(*self._kind().names, self._bucket().alias("_bucket")).hint("rebalance", "_bucket")
+            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/history")
+        spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").json(f"{self.path}/done/{number}")
+        return touched
 
     def read(self, spark: SparkSession) -> DataFrame:
-        numbers = self._numbers(spark)
-        return self._history(spark, numbers[-1]) if numbers else spark.createDataFrame([], self._kind())
+        return self._stored(spark, "history", self._kind(), ["_bucket"]).select(*self._kind().names)

@@ -231,6 +231,29 @@ def test_late_rows_do_not_win_in_buckets(spark, tmp_path):
     assert rows(held.read(spark)) == [(1, 5, "new"), (2, 2, "newer"), (3, 1, "first")]
 
 
+def test_history_tables_replace_touched_buckets_and_take_batches_again(spark, tmp_path):
+    r, gone = random.Random(9), F.col("v") == "gone"
+    data = [(r.choice("abcdefgh"), t(0) + timedelta(minutes=r.randrange(40)), i, r.choice(["x", "y", "gone"]), i) for i in range(120)]
+    schema = spark.createDataFrame([], CHANGES).schema
+    held = W.HistoryTable(str(tmp_path / "h"), *SPEC, schema, gone, n=16)
+    frame = lambda part: spark.createDataFrame(part, schema)
+    order = r.sample(data, len(data))
+    for n in range(2):
+        held.merge(frame(order[60 * n : 60 * n + 60]), n)
+    whole = rows(H.scd2(frame(data), *SPEC, deletes=gone))
+    assert rows(held.read(spark)) == whole and held.merge(frame(order[:60]), 0) == []
+    import shutil
+
+    shutil.rmtree(tmp_path / "h/done/1")  # as if the last batch had failed after its writes
+    assert len(held.merge(frame(order[60:]), 1)) > 1 and rows(held.read(spark)) == whole
+    before = files(tmp_path / "h/history")
+    late = [("a", t(0, 20), 500, "z", 500)]
+    (bucket,) = held.merge(frame(late), 2)
+    assert {f.split("/")[0] for f in before ^ files(tmp_path / "h/history")} == {f"_bucket={bucket}"}
+    assert rows(held.read(spark)) == rows(H.scd2(frame(data + late), *SPEC, deletes=gone))
+    assert held.merge(frame([]), 3) == []
+
+
 # --- payloads ----------------------------------------------------------------
 
 
