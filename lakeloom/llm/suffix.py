@@ -11,7 +11,8 @@ A byte is removed if a string of ``span`` bytes that covers it also starts earli
    are compared. Equal segments are represented by the first one, in a batch before the shuffle and in a shard after it.
 3. In a shard, runs of ``PART`` windows whose common string no other segment of the gram has can't repeat and are left out. The rest is joined into
    one text, its suffixes are sorted by induced sorting, and permuted common prefixes are computed. Windows between which the
-   common prefix stays at ``span`` or more are equal; all but the earliest are marked.
+   common prefix stays at ``span`` or more are equal; all but the earliest are marked. A key of more than ``key_bytes`` (one line among ever different
+   neighbours) is held by no task: its windows are dealt once more, each by its own bytes, sorted, and compared with the one before.
 4. Marked windows are united to spans a document. The texts are shuffled once: both joins with them use the same exchange.
 """
 
@@ -309,8 +310,16 @@ def _may_repeat(keys: list[int], ats: list[int], segs: list[bytes], span: int) -
     return out
 
 
-def _shard(span: int, shard_bytes: int):
-    """Rows (key, rid, first, at, seg) sorted by key to spans: rows with a null ``seg`` that begin at ``first`` and have ``at`` bytes. Such rows pass."""
+def _spread(rid: int, a: int) -> int:
+    """A key for rows that need no other's."""
+    return (int(rid) ^ (int(a) << 20)) * 0x2545F4914F6CDD1D % (1 << 63)
+
+
+def _shard(span: int, shard_bytes: int, key_bytes: int):
+    """Rows (key, rid, first, at, seg) sorted by key to spans: rows with a null ``seg`` that begin at ``first`` and have ``at`` bytes. Such rows pass.
+
+    A key of more than ``key_bytes`` is not held: its segments are handed on window by window, each under a key of its own, for :func:`_equal_windows`.
+    """
 
     def first_of_equal(rows: list[tuple], spans: list[tuple[int, int, int]]) -> list[tuple]:
         """Of ``rows`` (key, rid, first, at, seg) the earliest of each (key, at, seg); the others are marked whole."""
@@ -343,11 +352,16 @@ def _shard(span: int, shard_bytes: int):
                 a, b = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(seg)]]) - 1
                 whose = seg[a]
                 spans += list(zip(docs[whose], firsts[whose] + window[a], firsts[whose] + window[b] + span))
-        return frame([(0, rid, a, b - a, None) for rid, a, b in spans])
+        return frame([(_spread(rid, a), rid, a, b - a, None) for rid, a, b in spans])
+
+    def windows(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(rows), 1000):
+            yield frame([(_name(w), rid, first + i, 0, w) for _, rid, first, _, seg in rows[at : at + 1000] for i in range(len(seg) - span + 1) for w in [seg[i : i + span]]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        open_key, size = None, 0
+        loose: list[tuple] = []
+        open_key, size, begun, own, large = None, 0, 0, 0, False
         for pdf in batches:
             marks = pdf["seg"].isna()
             if marks.any():
@@ -358,9 +372,20 @@ def _shard(span: int, shard_bytes: int):
                     if size >= shard_bytes:
                         yield solve(held)
                         held, size = [], 0
-                    open_key = row[0]
+                    open_key, begun, own, large = row[0], len(held), 0, False
+                if large:
+                    loose.append(row)
+                    continue
                 held.append(row)
                 size += len(row[4])
+                own += len(row[4])
+                if own > key_bytes:
+                    loose += held[begun:]
+                    del held[begun:]
+                    size, large = size - own, True
+            if loose:
+                yield from windows(loose)
+                loose = []
         if held:
             yield solve(held)
 
@@ -370,6 +395,27 @@ def _shard(span: int, shard_bytes: int):
     return run
 
 
+def _equal_windows(span: int):
+    """Rows sorted by (key, seg, rid, first): of windows with the same bytes all but the first become spans. Nothing is held but the window before; spans pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None
+        for pdf in batches:
+            marks = pdf["seg"].isna()
+            if marks.any():
+                yield pdf[marks]
+                pdf = pdf[~marks]
+            out = []
+            for rid, first, seg in zip(pdf["rid"].tolist(), pdf["first"].tolist(), pdf["seg"]):
+                if seg == before:
+                    out.append((0, rid, first, span, None))
+                before = seg
+            if out:
+                yield pd.DataFrame(out, columns=["key", "rid", "first", "at", "seg"]).astype({c: "int64" for c in ("key", "rid", "first", "at")})
+
+    return run
+
+
 def _name(window: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
 
@@ -499,7 +545,7 @@ def _segments(span: int, gram: int):
                         add(_name(raw[a + PART : a + 1 + span] + (p - a).to_bytes(4, "little")), rid, lo, p - lo, raw[lo : hi + span])
                 if marks:
                     starts, ends = unite(*np.array(marks, np.int64).T)
-                    out += [((rid ^ (a << 20)) * 0x2545F4914F6CDD1D % (1 << 63), rid, a, b - a, None) for a, b in zip(starts.tolist(), ends.tolist())]
+                    out += [(_spread(rid, a), rid, a, b - a, None) for a, b in zip(starts.tolist(), ends.tolist())]
                     marks.clear()
             for at in range(0, len(out), 20_000):
                 yield pd.DataFrame(out[at : at + 20_000], columns=["key", "rid", "first", "at", "seg"])
@@ -533,7 +579,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, b
     return tied.join(index, tied["_id"].eqNullSafe(index["i"]) & (tied["tie"] == index["t"])).select("rid", "_id", "raw"), False
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_rows: int = 100_000, shard_bytes: int = 2_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_rows: int = 100_000, shard_bytes: int = 2_000_000, key_bytes: int = 64_000_000) -> DataFrame:
     """For every row of ``docs``: id, ``raw`` (its bytes), ``starts`` and ``ends``: spans of bytes to remove, that may overlap, in no order.
 
     Texts are bytes in UTF-8, null is empty. Earlier means a smaller id, null ids last, or an earlier
@@ -550,7 +596,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     listed = listed.select(F.col("rid").alias("_rid"), F.col("x.place").alias("places"), F.col("x.flag").alias("flags"))
     segments = once.join(listed, once["rid"] == listed["_rid"]).select("rid", "raw", "places", "flags").mapInPandas(_segments(span, gram), "key long, rid long, first long, at long, seg binary")
     row = "key long, rid long, first long, at long, seg binary"
-    solved = segments.repartition("key").sortWithinPartitions("key").mapInPandas(_shard(span, shard_bytes), row)
+    solved = segments.repartition("key").sortWithinPartitions("key").mapInPandas(_shard(span, shard_bytes, key_bytes), row)
+    # Windows of large keys meet again by their own bytes; the other rows are short spans.
+    solved = solved.repartition("key").sortWithinPartitions("key", "seg", "rid", "first").mapInPandas(_equal_windows(span), row)
     marked = solved.select("rid", F.col("first").alias("a"), (F.col("first") + F.col("at")).alias("b"))
     marked = marked.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("s")).select(F.col("rid").alias("_sid"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     copies = F.filter(F.arrays_zip("places", "flags"), lambda x: x["flags"] == COPY)

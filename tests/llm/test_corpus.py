@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -523,9 +524,9 @@ def brute_repeats(order, span):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [20_000, 2])
-def test_remove_repeats(spark, hot_rows):
-    """Few hot rows make the grams of common passages be dealt again."""
+@pytest.mark.parametrize("hot_rows, key_bytes", [(20_000, 64_000_000), (2, 64_000_000), (20_000, 300), (2, 300)])
+def test_remove_repeats(spark, hot_rows, key_bytes):
+    """Few hot rows make the grams of common passages be dealt again, few bytes a key the windows of what meets there."""
     r = random.Random(14)
     passage, line = prose(r, 60), "Menu Home About Contact " * 8
     texts = [*ODD, passage, *[prose(r, r.randrange(5, 80)) + " " + r.choice([passage, line, passage[20:200], "ü" * 150]) + " " + prose(r, 20) for _ in range(40)], "ab" * 400, "A" * 500]
@@ -536,23 +537,46 @@ def test_remove_repeats(spark, hot_rows):
         texts.append(" ".join(words))
     texts.append(texts[20])
     df = docs(spark, texts)
-    got = {x["doc_id"]: x for x in suffix.remove_repeats(df, hot_rows=hot_rows).collect()}
+    got = {x["doc_id"]: x for x in suffix.remove_repeats(df, hot_rows=hot_rows, key_bytes=key_bytes).collect()}
     want = brute_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)], 100)
     assert {i: bytes(x["kept"]) for i, x in got.items()} == want
     assert all(x["n_bytes"] - x["n_removed"] == len(want[i]) for i, x in got.items())
     assert got[len(texts) - 1]["n_removed"] == got[len(texts) - 1]["n_bytes"]
 
 
-@pytest.mark.parametrize("hot_rows", [100_000, 50])
-def test_one_line_among_unlike_neighbours(spark, hot_rows):
+@pytest.mark.parametrize("hot_rows, key_bytes", [(100_000, 64_000_000), (50, 64_000_000), (50, 20_000)])
+def test_one_line_among_unlike_neighbours(spark, hot_rows, key_bytes):
     """A line of little more than a window, in every document, each time with other text around it."""
     r = random.Random(16)
     line = "All rights reserved, no part of this page may be reproduced without written permission of its owner. 2024"
     texts = [f"{r.randrange(1 << 60):x} " * r.randrange(1, 3) + line + f" {r.randrange(1 << 60):x}" for _ in range(4000)]
-    got = {x["doc_id"]: bytes(x["kept"]) for x in suffix.remove_repeats(docs(spark, texts).repartition(6), hot_rows=hot_rows).collect()}
+    got = {x["doc_id"]: bytes(x["kept"]) for x in suffix.remove_repeats(docs(spark, texts).repartition(6), hot_rows=hot_rows, key_bytes=key_bytes).collect()}
     assert got == brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 100)
 
 
+def test_a_large_key_is_not_held():
+    """200,000 different segments of one key, 22 MB: a task keeps little of them, and hands on every window once."""
+    import tracemalloc
+
+    line = b"x" * 92
+
+    def batches():
+        for at in range(0, 200_000, 2000):
+            yield pd.DataFrame([(1, i, 0, 50, b"%08d" % i + line + b"%08d" % i) for i in range(at, at + 2000)], columns=["key", "rid", "first", "at", "seg"])
+
+    n, last = 0, None
+    tracemalloc.start()
+    for out in suffix._shard(100, 200_000, 1_000_000)(batches()):
+        n += sum(len(w) == 100 for w in out["seg"])
+        last = tuple(out.iloc[-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200_000 * 9 and last[2] == 8 and peak < 15_000_000
+    rows = pd.DataFrame([(5, 1, 0, 0, b"a"), (5, 2, 3, 0, b"a"), (5, 2, 9, 0, b"b"), (5, 7, 1, 0, b"b"), (6, 0, 4, 9, None)], columns=["key", "rid", "first", "at", "seg"])
+    got = pd.concat(list(suffix._equal_windows(1)([rows.iloc[:2], rows.iloc[2:4], rows.iloc[4:]])))
+    assert got[["rid", "first", "at"]].values.tolist() == [[2, 3, 1], [7, 1, 1], [0, 4, 9]]
+
+
 def test_remove_repeats_of_repeated_ids(spark):
     r = random.Random(15)
     a, b = prose(r, 80), prose(r, 80)
