@@ -21,6 +21,23 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chunks(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@query("chunk_checks", r"""
+    SELECT doc_id, true AS fit, true AS contained, true AS numbered, true AS whole, 'Introduction' AS first_section FROM documents WHERE regexp_matches(text, '\S')
+""")
+def chunk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R2, R3] What must hold for the chunks of each document: at most 500 characters, each stands in the text, numbered from 0 with ids of their own, nothing but white space lost; the first lies before any heading."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    solid = lambda x: F.length(F.regexp_replace(x, r"\s", ""))
+    pieces = R.chunks(docs).select("doc_id", "chunk_index", "chunk_id", "section", F.col("text").alias("chunk"))
+    joined = pieces.join(docs.select("doc_id", "text"), "doc_id")
+    n = F.count(F.lit(1))
+    return joined.groupBy("doc_id").agg(
+        (F.max(F.length("chunk")) <= 500).alias("fit"), F.bool_and(F.contains("text", "chunk")).alias("contained"),
+        ((F.count_distinct("chunk_id") == n) & (F.max("chunk_index") == n - 1)).alias("numbered"), (F.sum(solid("chunk")) >= F.max(solid("text"))).alias("whole"),
+        F.min_by("section", "chunk_index").alias("first_section"),
+    )
+
+
 @query("loaded_documents", """
     SELECT 'doc_' || doc_id AS source, CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'general' END AS type, length(text) AS n_chars, md5(text) AS text_md5 FROM documents WHERE doc_id IS NOT NULL AND text <> ''
 """)
