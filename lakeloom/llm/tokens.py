@@ -80,7 +80,7 @@ def shared_counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-def pre_tokens(docs: DataFrame, model_path: str, text_col: str = "text", most: int = 200_000) -> DataFrame:
+def pre_tokens(docs: DataFrame, model_path: str, text_col: str = "text", most: int = 600_000) -> DataFrame:
     """(``token``, ``n_docs``, ``n_pieces``), one row for each distinct pre-token of ``docs``.
 
     A task adds up to ``most`` tokens before it hands them on, so frequent ones reach the shuffle once a task, not once a document.
@@ -119,7 +119,7 @@ def _head(tokens: DataFrame, head_bytes: int) -> tuple[int, bool]:
     return 0, True
 
 
-def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, head_bytes: int = 4 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, head_bytes: int = 12 << 20) -> DataFrame:
     """(id, ``n_bytes``, ``n_tokens``, ``over_limit``) of every row of ``docs``, as the model counts the whole text.
 
     A null or empty text has no token. Repeated rows and ids are separate rows; an empty table gives none. The result doesn't depend on ``head_bytes``.
