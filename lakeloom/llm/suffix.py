@@ -310,9 +310,9 @@ def _may_repeat(keys: list[int], ats: list[int], segs: list[bytes], span: int) -
     return out
 
 
-def _spread(rid: int, a: int) -> int:
-    """A key for rows that need no other's."""
-    return (int(rid) ^ (int(a) << 20)) * 0x2545F4914F6CDD1D % (1 << 63)
+def _spread(rid: int) -> int:
+    """A key for rows that need no other's: of two bytes, as keys without order don't compress."""
+    return int(rid) & 0xFFFF
 
 
 def _shard(span: int, shard_bytes: int, key_bytes: int):
@@ -352,7 +352,7 @@ def _shard(span: int, shard_bytes: int, key_bytes: int):
                 a, b = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(seg)]]) - 1
                 whose = seg[a]
                 spans += list(zip(docs[whose], firsts[whose] + window[a], firsts[whose] + window[b] + span))
-        return frame([(_spread(rid, a), rid, a, b - a, None) for rid, a, b in spans])
+        return frame([(_spread(rid), rid, a, b - a, None) for rid, a, b in spans])
 
     def windows(rows: list[tuple]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(rows), 1000):
@@ -545,7 +545,7 @@ def _segments(span: int, gram: int):
                         add(_name(raw[a + PART : a + 1 + span] + (p - a).to_bytes(4, "little")), rid, lo, p - lo, raw[lo : hi + span])
                 if marks:
                     starts, ends = unite(*np.array(marks, np.int64).T)
-                    out += [(_spread(rid, a), rid, a, b - a, None) for a, b in zip(starts.tolist(), ends.tolist())]
+                    out += [(_spread(rid), rid, a, b - a, None) for a, b in zip(starts.tolist(), ends.tolist())]
                     marks.clear()
             for at in range(0, len(out), 20_000):
                 yield pd.DataFrame(out[at : at + 20_000], columns=["key", "rid", "first", "at", "seg"])
