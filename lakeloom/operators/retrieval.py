@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,42 +98,89 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", block_rows: int = 20_000, query_rows: int = 2_000) -> DataFrame:
+def _units(df: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors, the ids and the matrix of unit vectors; vectors that are not finite are left out."""
+    out = {}
+    for length, of in df.groupby(df["_v"].map(len)):
+        x, ids = np.stack(of["_v"].tolist()), of["_i"].to_numpy()
+        finite = np.isfinite(x).all(axis=1)
+        x, ids = x[finite], ids[finite]
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        out[length] = ids, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return out
+
+
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["q", "score", "i"], ascending=[True, False, True]).groupby("q").head(k)
+
+
+def _scan(batches: Iterator[pd.DataFrame], asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int, step: int = 1024) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+    """The best ``k`` rows of a partition for each query: (ids of the queries, frame of ``q``, ``i`` and ``score``) for each length.
+
+    A product has ``step`` times ``step`` scores at a time; only those that reach the query's worst kept score so far are looked at. Ties are
+    judged on scores that do not depend on the shape of a product.
+    """
+    held = {length: pd.DataFrame({"q": np.empty(0, "int64"), "i": pd.Series(dtype=object), "score": np.empty(0)}) for length in asked}
+    floor = {length: np.full(len(ids), -np.inf) for length, (ids, _) in asked.items()}
+    for pdf in batches:
+        for length, (ids, x) in _units(pdf).items():
+            if length not in asked:
+                continue
+            near, low = asked[length][1], floor[length]
+            for top in range(0, len(x), step):
+                part, found = x[top : top + step], [held[length]]
+                for at in range(0, len(near), step):
+                    scores = near[at : at + step] @ part.T
+                    least = low[at : at + step]
+                    if len(part) > k:
+                        least = np.maximum(least, np.partition(scores, len(part) - k, axis=1)[:, len(part) - k])
+                    q, row = np.nonzero(scores >= least[:, None] - 1e-12)
+                    if len(q):
+                        exact = np.einsum("ij,ij->i", near[at + q], part[row])
+                        found.append(_best(pd.DataFrame({"q": at + q, "i": ids[top + row], "score": exact}), k))
+                if len(found) > 1:
+                    held[length] = kept = _best(pd.concat(found[not len(found[0]) :]), k)
+                    worst = kept.groupby("q")["score"].agg(["min", "size"])
+                    worst = worst[worst["size"] == k]
+                    low[worst.index.to_numpy()] = worst["min"].to_numpy()
+    yield from ((asked[length][0], kept) for length, kept in held.items())
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", round_bytes: int = 64 << 20) -> DataFrame:
     """[R4] (query, rank, id, score): each query's ``k`` most similar vectors, exactly; ties to the smaller id.
 
-    A stated set of queries against all vectors: blocks of both meet, a block's similarities are one matrix product, and only its best ``k``
-    a query are shuffled. Vectors that are null, zero or hold a null have no score; only those of equal length are compared.
+    The vectors stay where they are. Queries come to them as a broadcast of about ``round_bytes`` (measured first), in as many rounds as that
+    takes; of several rounds, each is cut by a checkpoint and its broadcast given up. A task hands on its best ``k`` a query. Vectors that
+    are null, zero or hold a null or non-finite number have no score; only those of equal length are compared. Ids of queries are keys.
     """
-    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
-
-    def blocks(df: DataFrame, name: str, rows: int) -> tuple[DataFrame, Column]:
-        v = F.col(vector_col).cast("array<double>")
-        sound = df.select(F.col(name).alias("_i"), v.alias("_v")).filter(F.forall("_v", lambda x: x.isNotNull()) & F.exists("_v", lambda x: x != 0))
-        n = max(1, -(-df.count() // rows))
-        return sound.select("_i", "_v", F.size("_v").alias("_dim"), F.pmod(F.xxhash64("_i"), F.lit(n)).cast("int").alias("_own")), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    (rows, all_rows), (asked, all_asked) = blocks(vectors, id_col, block_rows), blocks(queries, query_col, query_rows)
-    rows, asked = rows.withColumn("_row", F.col("_own")).withColumn("_ask", all_asked), asked.withColumn("_ask", F.col("_own")).withColumn("_row", all_rows)
-    key = ["_dim", "_row", "_ask"]
-
-    def unit(v: pd.Series) -> np.ndarray:
-        x = np.stack(v)
-        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-    def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({query_col: [], id_col: [], "score": []})]
-        if len(asked) and len(rows):
-            rows = rows.sort_values("_i")
-            scores = unit(asked["_v"]) @ unit(rows["_v"]).T
-            for query, score in zip(asked["_i"], scores):
-                near = np.flatnonzero(score >= np.partition(score, len(score) - min(k, len(score)))[len(score) - min(k, len(score))])
-                near = near[np.argsort(-score[near], kind="stable")][:k]
-                out.append(pd.DataFrame({query_col: query, id_col: rows["_i"].to_numpy()[near], "score": score[near]}))
-        return pd.concat(out[1:] or out)
-
-    scored = asked.groupBy(key).cogroup(rows.groupBy(key)).applyInPandas(meet, f"`{query_col}` {kinds[query_col]}, `{id_col}` {kinds[id_col]}, score double")
+    spark, kinds = vectors.sparkSession, {**dict(queries.dtypes), **dict(vectors.dtypes)}
+
+    def sound(df: DataFrame, name: str) -> DataFrame:
+        held = df.select(F.col(name).alias("_i"), F.col(vector_col).cast("array<double>").alias("_v"))
+        return held.filter(F.forall("_v", lambda x: x.isNotNull()) & F.exists("_v", lambda x: x != 0))
+
+    def meeting(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for ids, kept in _scan(batches, shared.value, k):
+                yield pd.DataFrame({query_col: ids[kept["q"]], id_col: kept["i"].to_numpy(), "score": kept["score"].to_numpy()})
+
+        return meet
+
+    rows, asked = sound(vectors, id_col), sound(queries, query_col)
     order = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    n_rounds = max(1, -(-(asked.agg(F.sum(F.size("_v") * 8)).head()[0] or 0) // round_bytes))
+    rounds = []
+    for number in range(n_rounds):
+        mine = asked.filter(F.pmod(F.xxhash64("_i"), F.lit(n_rounds)) == number) if n_rounds > 1 else asked
+        shared = spark.sparkContext.broadcast(_units(mine.toArrow().to_pandas()))
+
+        scored = rows.mapInPandas(meeting(shared), f"`{query_col}` {kinds[query_col]}, `{id_col}` {kinds[id_col]}, score double")
+        ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if n_rounds > 1:
+            ranked = ranked.checkpoint()
+            shared.unpersist()
+        rounds.append(ranked)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def low_confidence(scored: DataFrame, queries: DataFrame, query_col: str = "query_id", threshold: float = LOW_CONFIDENCE) -> DataFrame:

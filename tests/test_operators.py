@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -169,6 +170,28 @@ def test_top_k_and_confidence(spark):
     assert rows(V.low_confidence(V.cosine_top_k(v, q, 2).limit(0), q), "low_confidence") == [(True,), (True,)]
 
 
+def test_top_k_in_steps_equals_a_sort():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x, near = r.normal(size=(500, 6)), r.normal(size=(40, 6))
+    x[100:300] = near[0] * 2  # more copies than k of one query's own vector
+    frame = lambda v: pd.DataFrame({"_i": np.arange(len(v))[::-1], "_v": list(v)})
+    (ids, unit), (own, asked) = V._units(frame(x))[6], V._units(frame(near))[6]
+    ((_, kept),) = V._scan(iter([frame(x).iloc[:210], frame(x).iloc[210:]]), {6: (own, asked)}, 5, step=16)
+    for q in range(40):
+        score = np.einsum("j,ij->i", asked[q], unit)
+        want = ids[np.lexsort((ids, -score.round(12)))][:5]
+        assert kept[kept["q"] == q]["i"].tolist() == want.tolist()
+
+
+def test_top_k_of_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, [1e200, 1e200]), (4, [1.0, 0.0]), (5, [])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [1.0]), ("c", None)], "query_id string, embedding array<double>")
+    assert rows(V.cosine_top_k(v, q, 3), "query_id", "rank", "vec_id", F.round("score", 4)) == [("a", 1, 3, 1.0), ("a", 2, 4, 0.7071)]
+    assert rows(V.cosine_top_k(v.limit(0), q)) == [] and rows(V.cosine_top_k(v, q.limit(0))) == []
+
+
 def test_null_keys_are_keys(spark):
     """An upsert or snapshot that is run again changes nothing, null keys included."""
     schema = "k int, a int, b int"
@@ -239,7 +262,9 @@ def test_cosine_in_blocks_equals_all_pairs(spark):
     x[50:60] = x[0]
     x[7] = 0
     df = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(x)], (900, None), (901, [1.0, None, 0.0, 0.0, 0.0]), (902, [1.0])], "vec_id long, embedding array<double>")
-    got = rows(V.cosine_top_k(df, df.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), k=4, block_rows=40, query_rows=2), "query_id", "rank", "vec_id")
+    asked = df.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    got = rows(V.cosine_top_k(df, asked, k=4, round_bytes=100), "query_id", "rank", "vec_id")
+    assert got == rows(V.cosine_top_k(df.repartition(7), asked, k=4), "query_id", "rank", "vec_id")
     want, norms = [], np.sqrt((x * x).sum(axis=1))
     for q in range(0, 300, 50):
         score = np.round((x @ x[q]) / np.where(norms > 0, norms * norms[q], 1), 12)
