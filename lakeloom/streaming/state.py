@@ -1,11 +1,13 @@
-"""Keyed state over two types of events in any order of arrival."""
+"""Keyed state over two types of events in any order of arrival, held by buckets of keys."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,78 +28,87 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
+_HELD = pa.schema([("key", pa.string()), ("at_ms", pa.int64()), ("is_end", pa.bool_()), ("record", pa.string())])
+
+
 class _Pairs(StatefulProcessor):
-    """Of each key the start, and the ends that wait for it; times in milliseconds."""
+    """Of all keys of a bucket the starts, one each, and the ends that wait for them, as one Arrow table beside its next timer; times in milliseconds."""
 
     def __init__(self, wait: int, keep: int) -> None:
         self.wait, self.keep = wait, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        record = T.StructType([T.StructField("at", T.LongType()), T.StructField("record", T.StringType())])
-        self.handle, self.start, self.ends = handle, handle.getValueState("start", record), handle.getListState("ends", record)
-
-    def _fits(self, start: tuple[int, str] | None, at: int) -> bool:
-        return start is not None and at - self.keep <= start[0] <= at + self.wait
-
-    @staticmethod
-    def _out(key: tuple, pairs: list[tuple[str, str | None]]) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]] * len(pairs), "end": [e for e, _ in pairs], "start": pd.Series([s for _, s in pairs], dtype=object)})
+        self.handle, self.open = handle, handle.getValueState("open", T.StructType([T.StructField("timer", T.LongType()), T.StructField("rows", T.BinaryType())]))
+
+    def _held(self) -> tuple[int | None, pd.DataFrame]:
+        if not self.open.exists():
+            return None, _HELD.empty_table().to_pandas()
+        timer, data = self.open.get()
+        return timer, pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
+
+    def _over(self, rows: pd.DataFrame) -> pd.Series:
+        """When the rows are given up."""
+        return rows["at_ms"] + np.where(rows["is_end"].astype(bool), self.wait, self.keep)
+
+    def _store(self, rows: pd.DataFrame, timer: int | None) -> None:
+        """Replaces what is held; ``timer`` is the one that is still set."""
+        due = int(self._over(rows).min()) if len(rows) else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.open.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, _HELD) as w:
+            w.write_table(pa.Table.from_pandas(rows, _HELD, preserve_index=False))
+        self.open.update((due, out.getvalue().to_pybytes()))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        starts, fresh = [], []
-        for pdf in rows:
-            for at, is_end, record in zip(pdf["at_ms"].tolist(), pdf["is_end"].tolist(), pdf["record"].tolist()):
-                (fresh if is_end else starts).append((at, record))
-        start = self.start.get() if self.start.exists() else None
-        if start is None and starts:
-            start = min(starts)
-            self.start.update(start)
-            self.handle.registerTimer(start[0] + self.keep)
-            waiting = list(self.ends.get()) if self.ends.exists() else []
-        else:
-            waiting = []  # those of earlier batches have met this start already
-        done = [(record, start[1]) for at, record in waiting + fresh if self._fits(start, at)]
-        left = [(at, record) for at, record in fresh if not self._fits(start, at)]
-        for at, _ in left:
-            self.handle.registerTimer(at + self.wait)
-        if waiting:
-            still = [(at, record) for at, record in waiting if not self._fits(start, at)] + left
-            self.ends.put(still) if still else self.ends.clear()
-        elif left:
-            self.ends.appendList(left)
-        if done:
-            yield self._out(key, done)
+        timer, held = self._held()
+        # A key's held start comes first, then the earliest of the batch; ends that met a start before don't fit it now.
+        fresh = pd.concat([pdf[_HELD.names] for pdf in rows], ignore_index=True).sort_values(["at_ms", "record"])
+        both = pd.concat([held, fresh], ignore_index=True).astype({"is_end": bool}) if len(held) else fresh.astype({"is_end": bool})
+        starts, ends = both[~both["is_end"]].drop_duplicates("key"), both[both["is_end"]]
+        met = ends[["key", "at_ms", "record"]].merge(starts[["key", "at_ms", "record"]], "left", "key", suffixes=("", "_start"))
+        fits = ((met["at_ms"] - self.keep <= met["at_ms_start"]) & (met["at_ms_start"] <= met["at_ms"] + self.wait)).to_numpy()
+        self._store(pd.concat([starts, ends[~fits]]), timer)
+        if fits.any():
+            done = met[fits]
+            yield pd.DataFrame({"key": done["key"], "end": done["record"], "start": done["record_start"]})
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = list(self.ends.get()) if self.ends.exists() else []
-        over = [(record, None) for at, record in waiting if at + self.wait <= now]
-        if over:
-            still = [(at, record) for at, record in waiting if at + self.wait > now]
-            self.ends.put(still) if still else self.ends.clear()
-            yield self._out(key, over)
-        if self.start.exists() and self.start.get()[0] + self.keep <= now:
-            self.start.clear()
-
-
-def paired(events: DataFrame, key: str, at: str, is_end: str, start_columns: Sequence[str], end_columns: Sequence[str], wait_seconds: int, keep_seconds: int) -> DataFrame:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        timer, held = self._held()
+        over = self._over(held) <= now
+        if over.any():
+            self._store(held[~over], None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
+        lost = held[over & held["is_end"].astype(bool)]
+        if len(lost):
+            yield pd.DataFrame({"key": lost["key"], "end": lost["record"], "start": pd.Series([None] * len(lost), dtype=object, index=lost.index)})
+
+
+def paired(events: DataFrame, key: str, at: str, is_end: str, start_columns: Sequence[str], end_columns: Sequence[str], wait_seconds: int, keep_seconds: int, buckets: int = 256) -> DataFrame:
     """[M9, J12] One row for each end of a stream of starts and ends: the key, ``end_columns``, ``start_columns``, ``data_quality`` and ``record_source``.
 
     ``events`` has a watermark on ``at``; ``is_end`` tells ends from starts; the two lists share no name. An end that knows its start, which may be ``keep_seconds``
     older or ``wait_seconds`` younger, comes out at once as 'ok'. One without is held until the watermark has passed it by ``wait_seconds`` and comes
     out as 'missing_start' then. A key has one start: of several in a batch the earliest, later ones are left out.
-    Its state goes by timers, so it is as large as what is open. Start the query inside :func:`state_store`.
+    Its state goes by timers, so it is as large as what is open. Python is called once for each of the ``buckets`` of keys and batch, not for each key: choose them so
+    that a bucket's rows of a batch and what it has open are some ten thousand rows; a checkpoint keeps its number. Keys are of a type that Spark casts to text
+    and back. Start the query inside :func:`state_store`.
     """
     record = lambda columns: F.to_json(F.struct(*columns), _TIMES)
     rows = events.select(
-        F.col(key).alias("key"), F.col(at), F.unix_millis(at).alias("at_ms"), F.col(is_end).alias("is_end"), F.when(F.col(is_end), record(end_columns)).otherwise(record(start_columns)).alias("record")
+        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), F.col(key).cast("string").alias("key"), F.col(at), F.unix_millis(at).alias("at_ms"), F.col(is_end).alias("is_end"), F.when(F.col(is_end), record(end_columns)).otherwise(record(start_columns)).alias("record")
     )
     kind = events.schema[key].dataType
-    out = T.StructType([T.StructField("key", kind), T.StructField("end", T.StringType()), T.StructField("start", T.StringType())])
-    pairs = rows.groupBy("key").transformWithStateInPandas(_Pairs(wait_seconds * 1000, keep_seconds * 1000), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("end", T.StringType()), T.StructField("start", T.StringType())])
+    pairs = rows.groupBy("bucket").transformWithStateInPandas(_Pairs(wait_seconds * 1000, keep_seconds * 1000), outputStructType=out, outputMode="Append", timeMode="EventTime")
     shape = lambda columns: T.StructType([events.schema[c] for c in columns])
     ok = F.col("start").isNotNull()
     return pairs.select(
-        F.col("key").alias(key), F.from_json("end", shape(end_columns), _TIMES).alias("_end"), F.from_json("start", shape(start_columns), _TIMES).alias("_start"),
+        F.col("key").cast(kind).alias(key), F.from_json("end", shape(end_columns), _TIMES).alias("_end"), F.from_json("start", shape(start_columns), _TIMES).alias("_start"),
         F.when(ok, "ok").otherwise("missing_start").alias("data_quality"), F.when(ok, "trip_end_update").otherwise("trip_end_upsert").alias("record_source"),
     ).select(key, "_end.*", "_start.*", "data_quality", "record_source")

@@ -77,6 +77,20 @@ def test_pairs_in_any_order_equal_a_join(spark, tmp_path):
     assert [g[:4] for g in got[-1]] == sorted(((str(i), i if i % 5 else None, i, "ok" if i % 5 else "missing_start") for i in ends), key=repr)
 
 
+def test_state_is_held_by_buckets_of_keys(spark, tmp_path):
+    """Python is called, and state kept, for each bucket of keys and not for each key; null is a key."""
+    source = spark.readStream.schema(TRIPS).parquet(str(tmp_path / "i[n]")).withWatermark("ts", "1 day")
+    out = P.paired(source, "trip", "ts", "is_end", ["start_id"], ["end_id"], 3600, 7200, buckets=2)
+    keys = [None, *[str(i) for i in range(300)]]
+    with P.state_store(spark):
+        for batch in ([(k, t(1), i % 2 == 1, i, i) for i, k in enumerate(keys)], [(k, t(1, 5), i % 2 == 0, i, i) for i, k in enumerate(keys)]):
+            spark.createDataFrame(batch, TRIPS).write.mode("append").parquet(str(tmp_path / "in"))
+            q = W.start(out, "parquet", str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+            q.awaitTermination()
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 2 * 4
+    assert rows(spark.read.schema(out.schema).parquet(str(tmp_path / "out")), "trip", "start_id", "end_id") == sorted(((k, i, i) for i, k in enumerate(keys)), key=repr)
+
+
 # --- counted expectations ---------------------------------------------------
 
 
