@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ LOW_CONFIDENCE = 0.20
 
 #: Where a text is cut, the best first; '' cuts anywhere.
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Characters of documents whose chunks are handed on together.
+_CHUNK_CHARS = 1 << 20
 _HEADING = re.compile(r"^#{1,2} .+", re.M)
 
 
@@ -81,16 +84,27 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, source, text in zip(pdf["_id"], pdf["_source"], pdf["_text"]):
-                pieces = split_text(text or "", size, overlap)
-                for i, (piece, section) in enumerate(zip(pieces, sections_at(text or "", pieces))):
-                    out.append((doc, source, i, f"{source}_{doc}_chunk_{i}", piece, section))
-            yield pd.DataFrame(out, columns=["_id", "source", "chunk_index", "chunk_id", "text", "section"])
-
-    return rows.mapInPandas(run, f"_id {kind}, source string, chunk_index int, chunk_id string, text string, section string").withColumnRenamed("_id", id_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [("_id", batch.schema.field("_id").type), ("source", pa.string()), ("chunk_index", pa.int32()), ("chunk_id", pa.string()), ("text", pa.string()), ("section", pa.string())]
+            out, held = [], 0
+            for at in range(0, batch.num_rows, 16):  # a batch may hold texts of hundreds of megabytes: few are Python's at a time
+                few = batch.slice(at, 16)
+                for doc, source, text in zip(*[few.column(c).to_pylist() for c in ("_id", "_source", "_text")]):
+                    pieces = split_text(text or "", size, overlap)
+                    for i, (piece, section) in enumerate(zip(pieces, sections_at(text or "", pieces))):
+                        out.append((doc, source, i, f"{source}_{doc}_chunk_{i}", piece, section))
+                    held += len(text or "")
+                    if held >= _CHUNK_CHARS:
+                        yield _batch(out, kinds)
+                        out, held = [], 0
+            yield _batch(out, kinds)
+
+    return rows.mapInArrow(run, f"_id {kind}, source string, chunk_index int, chunk_id string, text string, section string").withColumnRenamed("_id", id_col)
+
+
+def _batch(out: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[i] for x in out], k) for i, (_, k) in enumerate(kinds)], names=[c for c, _ in kinds])
 
 
 def dot(a: str | Column, b: str | Column) -> Column:

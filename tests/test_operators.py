@@ -160,6 +160,20 @@ def test_chunks_and_history(spark):
     assert got["context"].split("\n") == ["Assistant: m5", "User: m6", "Assistant: m7", "User: m8", "Assistant: m9"] and got["n_messages"] == 5
 
 
+def test_chunks_are_handed_on_in_small_batches(spark, monkeypatch):
+    """Of one batch of many texts only some chunks are held at a time."""
+    import pyarrow as pa
+
+    docs, held = spark.createDataFrame([], "doc_id long, text string, source string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: held.append(run) or df.withColumnRenamed("_source", "source"))
+    V.chunks(docs)
+    batch = pa.record_batch({"_id": [None, *range(99)], "_source": ["s"] * 100, "_text": ["word " * 20_000] * 100})
+    got = list(held[0](iter([batch])))
+    sizes = [sum(map(len, g.column("text").to_pylist())) for g in got]
+    assert max(sizes) < sum(sizes) / 5 and sum(g.num_rows for g in got) == 100 * len(V.split_text("word " * 20_000))
+    assert got[0].column("_id")[0].as_py() is None and got[-1].column("_id").type == pa.int64()
+
+
 def test_top_k_and_confidence(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<double>")
     q = spark.createDataFrame([(9, [2.0, 0.0]), (8, [-1.0, -1.0])], "query_id long, embedding array<double>")
