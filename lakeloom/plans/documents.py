@@ -29,11 +29,14 @@ def chunk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     solid = lambda x: F.length(F.regexp_replace(x, r"\s", ""))
     pieces = R.chunks(docs).select("doc_id", "chunk_index", "chunk_id", "section", F.col("text").alias("chunk"))
-    joined = pieces.join(docs.select("doc_id", "text"), "doc_id")
+    # A text is looked through once, and no longer there when the rows of its chunks are sorted.
+    joined = pieces.join(docs.select("doc_id", "text", solid("text").alias("n_text")), "doc_id").select(
+        "doc_id", "chunk_index", "chunk_id", "section", F.length("chunk").alias("n_chars"), F.contains("text", "chunk").alias("inside"), solid("chunk").alias("n_chunk"), "n_text"
+    )
     n = F.count(F.lit(1))
     return joined.groupBy("doc_id").agg(
-        (F.max(F.length("chunk")) <= 500).alias("fit"), F.bool_and(F.contains("text", "chunk")).alias("contained"),
-        ((F.count_distinct("chunk_id") == n) & (F.max("chunk_index") == n - 1)).alias("numbered"), (F.sum(solid("chunk")) >= F.max(solid("text"))).alias("whole"),
+        (F.max("n_chars") <= 500).alias("fit"), F.bool_and("inside").alias("contained"),
+        ((F.count_distinct("chunk_id") == n) & (F.max("chunk_index") == n - 1)).alias("numbered"), (F.sum("n_chunk") >= F.max("n_text")).alias("whole"),
         F.min_by("section", "chunk_index").alias("first_section"),
     )
 

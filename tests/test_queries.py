@@ -83,6 +83,12 @@ def test_circuits_count_races_on_narrow_columns(spark, sf):
     assert plan.count("ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>") == 1
 
 
+def test_chunk_checks_look_through_a_text_once(spark, sf):
+    """Whole texts are measured before they meet their chunks, and neither sorted nor aggregated with them."""
+    plan = registry.QUERIES["chunk_checks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Aggregate" in line and "regexp_replace(text" in line for line in plan.splitlines())
+
+
 def test_cosine_has_no_nested_loop(spark, sf):
     plan = registry.QUERIES["cosine_top_k"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and plan.count("Exchange hashpartitioning") == 1  # of the best rows only
