@@ -37,3 +37,18 @@ def total(x: Column | str) -> Column:
 
 def ntz(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("timestamp_ntz")
+
+
+#: Rows of a fact that a task sorts, joins and groups by nearly unique keys, at most: a few hundred megabytes.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: int, *sides: tuple[DataFrame, str], task_rows: int | None = None) -> list[DataFrame]:
+    """The sides of a join, each in partitions of its key, as many as ``rows`` of the largest need; left to the session and AQE if its shuffle partitions are enough.
+
+    A task's memory then stays the same when the tables grow and the session's number of partitions doesn't.
+    """
+    n = -(-rows // (task_rows or TASK_ROWS))
+    if n <= int(sides[0][0].sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return [df for df, _ in sides]
+    return [df.repartition(n, key) for df, key in sides]
