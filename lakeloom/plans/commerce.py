@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import day_count, normal_text, sentiment, year_month
 from ..operators.joins import assemble, interval_join
-from .base import query, table, total
+from .base import dealt, query, table, total
 
 
 def order_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,10 @@ def category_month_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[A5, J5] Finished orders only; products without a category are 'unknown'."""
     items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").filter("p_size > 5").select("p_partkey", "p_brand")
     orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", year_month("o_orderdate").alias("order_month"))
-    joined = items.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = items.count()  # footers only
+    items, parts = dealt(rows, (items, "l_partkey"), (parts, "p_partkey"))
+    items, orders = dealt(rows, (items.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left"), "l_orderkey"), (orders, "o_orderkey"))
+    joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy(F.coalesce("p_brand", F.lit("unknown")).alias("category"), "order_month").agg(
         F.count_distinct("o_orderkey").alias("total_orders"), F.count(F.lit(1)).alias("total_units"), F.sum("l_linenumber").alias("item_number_sum"), total("l_extendedprice").alias("total_revenue")
     )

@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
+from conftest import rows
 
 from lakeloom.plans import registry
 
@@ -83,6 +84,18 @@ def test_circuits_count_races_on_narrow_columns(spark, sf):
     assert plan.count("ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>") == 1
 
 
+@pytest.mark.parametrize("name", ["driver_championship", "category_month_revenue", "circuit_benchmarks"])
+def test_large_joins_are_dealt_by_their_rows(spark, sf, name, monkeypatch):
+    """With more rows than the session's partitions should take, a task gets no more than its share, and the rows are the same."""
+    from lakeloom.plans import base
+
+    want = rows(registry.QUERIES[name](spark, sf))
+    monkeypatch.setattr(base, "TASK_ROWS", 1000)  # about 6,000 items
+    df = registry.QUERIES[name](spark, sf)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 1000)
+    assert n > 4 and f", {n}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString() and rows(df) == want
+
+
 def test_chunk_checks_look_through_a_text_once(spark, sf):
     """Whole texts are measured before they meet their chunks, and neither sorted nor aggregated with them."""
     plan = registry.QUERIES["chunk_checks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
