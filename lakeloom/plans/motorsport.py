@@ -213,13 +213,16 @@ RESULT_COLUMNS = (
 
 def typed_race_results(raw: DataFrame, schedule: DataFrame) -> DataFrame:
     """[P5, J2] Results as text, typed, with the circuit, name and date of their race; what can't be read is null."""
-    whole = {c: clean_number(c, "int").alias(c) for c in ("season", "round", "driver_number", "grid_position", "final_position", "laps_completed", "fastest_lap_rank")}
+    # The whole numbers are read as one array: all parsers written out in one loop are a method too long for the JVM to compile.
+    numbers = ("season", "round", "driver_number", "grid_position", "final_position", "laps_completed", "fastest_lap_rank")
+    whole = {c: F.get("_whole", F.lit(i)).alias(c) for i, c in enumerate(numbers)}
     other = {
         "race_date": F.try_to_timestamp("race_date", F.lit("yyyy-MM-dd")).cast("date"), "is_classified": is_digits("position_text"), "status_category": status_category(F.coalesce("status", F.lit(""))), "points": F.col("points").try_cast("double"),
         "race_time_seconds": clock_seconds("race_time"), "gap_to_winner_seconds": gap_seconds("race_time"), "fastest_lap_seconds": clock_seconds("fastest_lap_time"), "fastest_lap_speed_kph": F.col("fastest_lap_speed").try_cast("double"),
     }
-    joined = raw.join(schedule, ["season", "round"], "left")
-    return joined.select(*[whole[c] if c in whole else other[c].alias(c) if c in other else F.col(c) for c in RESULT_COLUMNS])
+    read = F.transform(F.array(*[F.col(c).cast("string") for c in numbers]), lambda x: clean_number(x, "int"))
+    joined = raw.join(schedule, ["season", "round"], "left").select(read.alias("_whole"), *[other[c].alias(c) if c in other else F.col(c) for c in RESULT_COLUMNS if c not in numbers])
+    return joined.select(*[whole.get(c, F.col(c)) for c in RESULT_COLUMNS])
 
 
 @query("typed_race_results", """
@@ -246,7 +249,8 @@ def all_typed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 1, text(driver % 50 + 200, ".0")).otherwise("").alias("fastest_lap_speed"), F.when(F.col("l_returnflag") == "A", "+1 Lap").when(F.col("l_returnflag") == "R", "Gearbox").otherwise("Retired").alias("status"),
         F.lit("2024-02-01").alias("ingested_at"), F.lit("api").alias("source_name"),
     )
-    return typed_race_results(raw, schedule).withColumn("race_date", F.col("race_date").cast("string"))
+    # One row for each month of the calendar: as a broadcast it leaves the wide results where they are, which two short keys would gather in few tasks.
+    return typed_race_results(raw, F.broadcast(schedule)).withColumn("race_date", F.col("race_date").cast("string"))
 
 
 @query("top_drivers_rounds", _STANDINGS + ", t AS (SELECT driver FROM s GROUP BY 1 ORDER BY max(points) DESC NULLS LAST, driver LIMIT 5) SELECT season, round, driver, points FROM s WHERE driver IN (SELECT driver FROM t)")

@@ -96,6 +96,17 @@ def test_large_joins_are_dealt_by_their_rows(spark, sf, name, monkeypatch):
     assert n > 4 and f", {n}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString() and rows(df) == want
 
 
+def test_typed_results_stay_where_they_are(spark, sf):
+    """Wide rows of text are not shuffled by season and round: only the schedule is made by them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        plan = registry.QUERIES["typed_race_results"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(season") == 1 and plan.count("BroadcastHashJoin") == 1
+
+
 def test_chunk_checks_look_through_a_text_once(spark, sf):
     """Whole texts are measured before they meet their chunks, and neither sorted nor aggregated with them."""
     plan = registry.QUERIES["chunk_checks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
