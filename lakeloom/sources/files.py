@@ -154,8 +154,13 @@ def affected_hours(files: DataFrame, path: str, now: Column, cap_minutes: int |
 
 
 def load_documents(spark: SparkSession, path: str, kinds: Mapping[str, str]) -> DataFrame:
-    """[R1] (text, source, type) of the text files below a folder; type by a part of the path, else 'general'."""
-    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    """[R1] (text, source, type) of the text files below a folder; type by a part of the path, else 'general'.
+
+    Files are small, so a session beside the given one reads them at a low cost of opening: else Spark gives a task only a few files, however small they are.
+    """
+    reader = spark.newSession()
+    reader.conf.set("spark.sql.files.openCostInBytes", "64k")
+    df = reader.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     kind = F.lit("general")
     for part, name in reversed(list(kinds.items())):
         kind = F.when(F.col("_metadata.file_path").contains(part), name).otherwise(kind)

@@ -54,10 +54,13 @@ def write_documents(docs: DataFrame, folder: str) -> int:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = arrow_fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+        made: set[str] = set()
         for pdf in batches:
             for path, text in zip(pdf["path"], pdf["text"]):
                 at = f"{root}/{path}"
-                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                if (parent := at.rsplit("/", 1)[0]) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with fs.open_output_stream(at) as out:
                     out.write((text or "").encode())
             yield pd.DataFrame({"n": [len(pdf)]})

@@ -126,3 +126,11 @@ def test_written_documents_load_again(spark, tmp_path):
     found = rows(S.load_documents(spark, str(tmp_path / "d"), {"/a/": "first", "/c/": "second"}), "source", "type", "text")
     assert found == [("x", "first", "one\ntwo"), ("y", "second", "é"), ("z", "general", "new")]
     assert K.write_documents(docs.limit(0), str(tmp_path / "d")) == 0
+
+
+def test_small_documents_share_tasks(spark, tmp_path):
+    docs = spark.range(400).select(F.concat(F.lit("a/"), F.col("id").cast("string"), F.lit(".md")).alias("path"), F.lit("text").alias("text"))
+    K.write_documents(docs, str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    loaded = S.load_documents(spark, str(tmp_path / "d"), {})
+    assert loaded.rdd.getNumPartitions() <= 6 and loaded.count() == 400 and spark.conf.get("spark.sql.files.openCostInBytes") == before
