@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.history import scd1, scd2, scd2_merge, scd2_split, upsert
+from ..operators.history import scd1, scd2, scd2_insert, scd2_merge, unseen, upsert
 from ..operators.joins import interval_join
 from ..sources.buckets import BucketTable
 from ..sources.sinks import exists
@@ -112,21 +112,35 @@ class HistoryTable:
         whole = T.StructType([*kind.fields, *[T.StructField(p, T.IntegerType()) for p in parts]])
         return spark.read.schema(whole).parquet(f"{self.path}/{part}") if exists(spark, f"{self.path}/{part}") else spark.createDataFrame([], whole)
 
+    def _timed(self) -> bool:
+        return isinstance(self.schema[self.sequence[0]].dataType, T.TimestampType)
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket")
+
     def merge(self, batch: DataFrame, number: int) -> list[int]:
         """The touched buckets; none if the batch is done already."""
         spark, names = batch.sparkSession, self.schema.names
         if exists(spark, f"{self.path}/done/{number}/_SUCCESS"):
             return []
-        touched = sorted(r[0] for r in batch.select(self._bucket()).distinct().collect())  # n rows at most
+        at, here = self.sequence[0], F.col("_bucket").isin
+        found = batch.groupBy(self._bucket()).agg(F.unix_micros(F.min(at)), F.unix_micros(F.max(at))) if self._timed() else batch.select(self._bucket()).distinct()
+        found = found.collect()  # n rows at most
+        touched = sorted(r[0] for r in found)
         if touched:
-            here = F.col("_bucket").isin(touched)
-            log = self._stored(spark, "log", self.schema, ["batch", "_bucket"]).filter(here & (F.col("batch") < number)).select(*names)
-            history = self._stored(spark, "history", self._kind(), ["_bucket"]).filter(here).select(*self._kind().names)
-            history, fresh = scd2_split(history, log, batch.select(*names), self.keys, self.sequence, self.tracked, deletes=self.deletes)
-            fresh.withColumn("_bucket", self._bucket()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/log/batch={number}")
+            stored = lambda: self._stored(spark, "log", self.schema, ["batch", "_bucket"]).filter(here(touched))
+            log = stored().filter(F.col("batch") < number).select(*names)
+            seen = log
+            if self._timed():  # a row that comes again is of the batch's span of time
+                lo, hi = (F.timestamp_micros(F.lit(x)) for x in (min(r[1] for r in found), max(r[2] for r in found)))
+                seen = log.filter(F.col(at).between(lo, hi))
+            fresh = unseen(seen, batch.select(*names), self.keys, self.sequence)
+            self._dealt(fresh).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/log/batch={number}")
+            fresh = stored().filter(F.col("batch") == number).select(*names)
+            history = self._stored(spark, "history", self._kind(), ["_bucket"]).filter(here(touched)).select(*self._kind().names)
+            history = scd2_insert(history, log, fresh, self.keys, self.sequence, self.tracked, deletes=self.deletes)
             # Rows of a key never vanish altogether, so every touched bucket is written.
-            dealt = history.select(*self._kind().names, self._bucket().alias("_bucket")).hint("rebalance", "_bucket")
-            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/history")
+            self._dealt(history).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/history")
         spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").json(f"{self.path}/done/{number}")
         return touched
 

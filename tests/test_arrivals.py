@@ -182,6 +182,31 @@ def test_only_touched_intervals_are_made_again(spark):
     assert again == [10, 10, 11] and fresh.count() == 1  # the interval around the row, the new one, the next one
 
 
+def test_a_split_reads_each_side_once(spark, tmp_path):
+    data = [("k", t(i), i, "xyz"[i % 3], i) for i in range(10)]
+    df = spark.createDataFrame(data, CHANGES)
+    sides = {"history": H.scd2(df, *SPEC), "log": df, "batch": df.limit(1)}
+    for name, side in sides.items():
+        side.write.parquet(str(tmp_path / name))
+    read = {name: spark.read.parquet(str(tmp_path / name)) for name in sides}
+    got, _ = H.scd2_split(read["history"], read["log"], read["batch"], *SPEC)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Relation") == 4  # the log twice: new rows are told by it
+    assert rows(got) == rows(sides["history"])
+
+
+def test_rows_of_earlier_batches_come_again_in_later_ones(spark, tmp_path):
+    r, gone = random.Random(11), F.col("v") == "gone"
+    data = [(r.choice(["a", "b", None]), t(0) + timedelta(minutes=r.randrange(30)), i, r.choice(["x", None, "gone"]), i) for i in range(90)]
+    held = W.HistoryTable(str(tmp_path / "h"), *SPEC, spark.createDataFrame([], CHANGES).schema, gone, n=4)
+    for n, part in enumerate((data[:50], data[40:], data[10:20], data[:1])):
+        held.merge(spark.createDataFrame(part, CHANGES), n)
+    assert rows(held.read(spark)) == rows(H.scd2(spark.createDataFrame(data, CHANGES), *SPEC, deletes=gone))
+    log = spark.read.parquet(str(tmp_path / "h/log"))
+    assert log.count() == 90 and {x.name for x in (tmp_path / "h/log").iterdir()} >= {f"batch={n}" for n in range(4)}
+    assert {r[0]: r[1] for r in log.groupBy("batch").count().collect()} == {0: 50, 1: 40}
+
+
 # --- buckets ----------------------------------------------------------------
 
 
