@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,15 +156,108 @@ def affected_hours(files: DataFrame, path: str, now: Column, cap_minutes: int |
     return hour.withColumn("in_time", F.lit(True) if cap_minutes is None else age <= cap_minutes)
 
 
+def arrow_store(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    """Arrow's filesystem for a path as Spark writes it, and the path in it."""
+    return arrow_fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", uri))
+
+
+def _resolved(spark: SparkSession, path: str) -> str:
+    """The path in the store where it lies: with its scheme, past mount points; as it is if nothing is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (store.resolvePath(at) if store.exists(at) else at).toString()
+
+
+def _kind_in_arrow(uri: str) -> arrow_fs.FileType:
+    """What Arrow finds at a path; NotFound if it doesn't know the store."""
+    try:
+        fs, root = arrow_store(uri)
+        return fs.get_file_info(root).type
+    except (pa.ArrowInvalid, OSError):
+        return arrow_fs.FileType.NotFound
+
+
+def _hidden(name: str) -> bool:
+    """As Spark's readers have it."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+_LISTED = pa.schema([("path", pa.string()), ("folder", pa.bool_())])
+#: Paths that a listing task hands on together, and bytes of texts that a reading one does.
+_LISTED_ROWS, _LOADED_BYTES = 10_000, 4 << 20
+
+
+def _below(uri: str, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over (path, folder): files stay, folders become what is in them, or with ``deep`` all files below them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = arrow_store(uri)
+        for batch in batches:
+            yield batch.filter(pc.invert(batch.column("folder")))
+            todo = batch.filter(batch.column("folder")).column("path").to_pylist()
+            out: list[dict] = []
+            while todo:
+                for x in fs.get_file_info(arrow_fs.FileSelector(todo.pop())):
+                    folder = x.type == arrow_fs.FileType.Directory
+                    if _hidden(x.base_name) or not (folder or x.type == arrow_fs.FileType.File and x.size != 0):
+                        continue
+                    if folder and deep:
+                        todo.append(x.path)
+                        continue
+                    out.append({"path": x.path, "folder": folder})
+                    if len(out) >= _LISTED_ROWS:
+                        yield pa.RecordBatch.from_pylist(out, _LISTED)
+                        out = []
+            yield pa.RecordBatch.from_pylist(out, _LISTED)
+
+    return run
+
+
+def _contents(uri: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over paths: (path, value) with the bytes of each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = arrow_store(uri)
+        paths, values, held = [], [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with fs.open_input_stream(path) as file:
+                    values.append(file.read())
+                paths.append(path)
+                held += len(values[-1])
+                if held >= _LOADED_BYTES:
+                    yield pa.record_batch([pa.array(paths, pa.string()), pa.array(values, pa.binary())], names=["path", "value"])
+                    paths, values, held = [], [], 0
+        yield pa.record_batch([pa.array(paths, pa.string()), pa.array(values, pa.binary())], names=["path", "value"])
+
+    return run
+
+
 def load_documents(spark: SparkSession, path: str, kinds: Mapping[str, str]) -> DataFrame:
     """[R1] (text, source, type) of the text files below a folder; type by a part of the path, else 'general'.
 
-    Files are small, so a session beside the given one reads them at a low cost of opening: else Spark gives a task only a few files, however small they are.
+    Folders are listed and files read in tasks, so the driver holds the name of no file; a task holds those of one folder. As with Spark's readers, empty files are no rows, and
+    names that begin with ``_`` or ``.`` are left out. Only for patterns and stores that Arrow doesn't know does Spark's reader take over, whose index has all files on the driver.
     """
+    uri = _resolved(spark, path)
+    kind_of_root = _kind_in_arrow(uri)
+    if kind_of_root == arrow_fs.FileType.NotFound:
+        loaded = _read_by_index(spark, path)
+    else:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        listed = spark.createDataFrame([(arrow_store(uri)[1], kind_of_root == arrow_fs.FileType.Directory)], "path string, folder boolean")
+        for deep in (False, False, True):  # after two levels there are folders enough for all tasks
+            listed = listed.mapInArrow(_below(uri, deep), "path string, folder boolean").repartition(tasks, "path")
+        loaded = listed.select("path").mapInArrow(_contents(uri), "path string, value binary").withColumn("value", F.col("value").cast("string"))
+    kind = F.lit("general")
+    for part, name in reversed(list(kinds.items())):
+        kind = F.when(F.col("path").contains(part), name).otherwise(kind)
+    return loaded.select(F.col("value").alias("text"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("source"), kind.alias("type"))
+
+
+def _read_by_index(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) by Spark's reader. Files are small, so a session beside the given one reads them at a low cost of opening: else a task gets only a few, however small they are."""
     reader = spark.newSession()
     reader.conf.set("spark.sql.files.openCostInBytes", "64k")
     df = reader.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    kind = F.lit("general")
-    for part, name in reversed(list(kinds.items())):
-        kind = F.when(F.col("_metadata.file_path").contains(part), name).otherwise(kind)
-    return df.select(F.col("value").alias("text"), F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("source"), kind.alias("type"))
+    return df.select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"), "value")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import upsert
+from .files import arrow_store
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -50,10 +50,9 @@ def write_microbatch(path: str, partitions: Sequence[str] = (), row_bytes: int =
 
 def write_documents(docs: DataFrame, folder: str) -> int:
     """[R1] One text file for each (``path``, ``text``) below a folder that all executors reach; returns their number. A file that is written again is replaced."""
-    from pyarrow import fs as arrow_fs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = arrow_fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+        fs, root = arrow_store(folder)
         made: set[str] = set()
         for pdf in batches:
             for path, text in zip(pdf["path"], pdf["text"]):

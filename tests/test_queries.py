@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,8 @@ import pandas as pd
 import pytest
 from conftest import rows
 
-from lakeloom.plans import registry
+from lakeloom.plans import documents, registry
+from lakeloom.sources.sinks import write_documents
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -138,3 +140,12 @@ def test_entry_without_the_corpus_subpackage():
         "names = e.queries(); assert names and not any(n.startswith('op1') or n == 'pipeline' for n in names); assert e.oracle_sql()\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_loaded_documents_are_dealt_over_folders(spark, sf, monkeypatch):
+    """The plan knows no file by name, and no folder has a large share of the files."""
+    folders = []
+    monkeypatch.setattr(documents, "write_documents", lambda docs, folder: folders.append(folder) or write_documents(docs, folder))
+    assert documents.loaded_documents(spark, sf).inputFiles() == []
+    files = list(Path(folders[0].removeprefix("file:")).rglob("*.md"))
+    assert len(files) > 100 and max(Counter(p.parent for p in files).values()) <= 0.05 * len(files)

@@ -1,3 +1,4 @@
+import gzip
 import json
 from datetime import datetime
 
@@ -134,3 +135,19 @@ def test_small_documents_share_tasks(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.openCostInBytes")
     loaded = S.load_documents(spark, str(tmp_path / "d"), {})
     assert loaded.rdd.getNumPartitions() <= 6 and loaded.count() == 400 and spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_documents_are_listed_in_tasks(spark, tmp_path):
+    """No file is known to the plan, and the rows are those of Spark's own reader: nothing for empty and hidden files, bytes as they are, compressed files read; names as they are called."""
+    texts = {"top.md": b"top", "a/b/c/d/e.tar.md": b"five", "a/empty.md": b"", "a/_x.md": b"no", "a/.y.md": b"no", "_h/z.md": b"no", "a/q._COPYING_": b"no", "_k=v/p.md": b"part", "a/my doc+100%.md": b"\xff\x00", "en/g.md.gz": gzip.compress(b"zipped")}
+    for name, text in texts.items():
+        (tmp_path / "my docs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "my docs" / name).write_bytes(text)
+    (tmp_path / "my docs/void").mkdir()
+    want = [("e.tar", "general", b"five"), ("g.md", "en", b"zipped"), ("my doc+100%", "general", b"\xff\x00"), ("p", "general", b"part"), ("top", "general", b"top")]
+    bytes_of = F.col("text").cast("binary").alias("text")
+    found = lambda path: sorted((s, k, bytes(t)) for s, k, t in S.load_documents(spark, path, {"/en/": "en"}).select("source", "type", bytes_of).collect())
+    assert S.load_documents(spark, str(tmp_path / "my docs"), {}).inputFiles() == []
+    assert found(str(tmp_path / "my docs")) == found(f"file://{tmp_path}/my docs") == want
+    assert found(f"{tmp_path}/my*") == want  # a pattern: by Spark's reader
+    assert found(str(tmp_path / "my docs/top.md")) == want[-1:] and found(str(tmp_path / "my docs/void")) == []
