@@ -193,7 +193,7 @@ def _below(uri: str, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = arrow_store(uri)
         for batch in batches:
-            yield batch.filter(pc.invert(batch.column("folder")))
+            yield batch.filter(pc.invert(batch.column("folder"))).cast(_LISTED)
             todo = batch.filter(batch.column("folder")).column("path").to_pylist()
             out: list[dict] = []
             while todo:
@@ -244,10 +244,11 @@ def load_documents(spark: SparkSession, path: str, kinds: Mapping[str, str]) ->
     if kind_of_root == arrow_fs.FileType.NotFound:
         loaded = _read_by_index(spark, path)
     else:
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        listed = spark.createDataFrame([(arrow_store(uri)[1], kind_of_root == arrow_fs.FileType.Directory)], "path string, folder boolean")
-        for deep in (False, False, True):  # after two levels there are folders enough for all tasks
-            listed = listed.mapInArrow(_below(uri, deep), "path string, folder boolean").repartition(tasks, "path")
+        cores = spark.sparkContext.defaultParallelism
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+        listed = spark.range(0, 1, 1, 1).select(F.lit(arrow_store(uri)[1]).alias("path"), F.lit(kind_of_root == arrow_fs.FileType.Directory).alias("folder"))
+        for deep, dealt in ((False, cores), (False, cores), (True, tasks)):  # after two levels there are folders enough for all cores
+            listed = listed.mapInArrow(_below(uri, deep), "path string, folder boolean").repartition(dealt, "path")
         loaded = listed.select("path").mapInArrow(_contents(uri), "path string, value binary").withColumn("value", F.col("value").cast("string"))
     kind = F.lit("general")
     for part, name in reversed(list(kinds.items())):
